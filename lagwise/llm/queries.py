@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagwise.llm import queries_a
+from lagwise.llm import queries_a, queries_b
 
-QUERIES = {**queries_a.QUERIES}
-SQL = {**queries_a.SQL}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES}
+SQL = {**queries_a.SQL, **queries_b.SQL}
