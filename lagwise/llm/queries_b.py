@@ -1,13 +1,34 @@
-"""Queries that apply the Jaccard join to whole tables, and their SQL."""
+"""Queries that apply packing, search and the Jaccard join to whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lagwise.llm import jaccard_join
+from lagwise.llm import jaccard_join, packing, topk
 from lagwise.llm.scratch import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id != q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM p QUALIFY rank <= 5
+"""
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,5 +47,5 @@ r(doc_id, seen) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM
 SELECT n.doc_id, n.n AS n_shingles, min(r.seen) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL
 """
 
-QUERIES = {"op6_jaccard_join": op6_jaccard_join}
-SQL = {"op6_jaccard_join": OP6_SQL}
+QUERIES = {"op1_packing": op1_packing, "op5_topk": op5_topk, "op6_jaccard_join": op6_jaccard_join}
+SQL = {"op5_topk": OP5_SQL, "op6_jaccard_join": OP6_SQL}
