@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagwise.llm import queries_a, queries_b
+from lagwise.llm import queries_a, queries_b, queries_c
 
-QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES}
-SQL = {**queries_a.SQL, **queries_b.SQL}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES, **queries_c.QUERIES}
+SQL = {**queries_a.SQL, **queries_b.SQL, **queries_c.SQL}

@@ -68,10 +68,10 @@ def chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray,
         a = b
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word, and the first word of each row (one more at the end)."""
     inside = np.zeros(len(data) + 1, bool)
-    np.logical_not(SPACE[data], out=inside[:-1])
+    np.logical_not(space[data], out=inside[:-1])
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.zeros(len(data) + 1, bool)
