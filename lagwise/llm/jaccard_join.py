@@ -12,6 +12,10 @@ partitions of either set all but k are filled alike in the other.
   anything else. Which signatures count as common changes the work and never the result.
 * A set that fills k partitions or fewer adds those of another cut (another seed), until it has
   enough; two similar sets meet at the first cut at which one of them has.
+
+Sets that meet are first compared by sketches, one byte for each of about as many partitions as a
+set has elements: partitions whose bytes differ are spoiled, and more than H spoiled ones settle it.
+Only what passes has its elements compared.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwise.llm.components import connected_components
 from lagwise.llm.scratch import Scratch
-from lagwise.llm.textbytes import SPACE, WORDS, U, chunks, mix, shingle_sets  # noqa: F401
+from lagwise.llm.textbytes import WORDS, U, chunks, mix, shingle_sets
 
 #: Ratio of the ends of a band, partitions for each element that may differ.
 BAND, SPREAD = 2.5, 2
@@ -34,9 +39,12 @@ BAND, SPREAD = 2.5, 2
 SMALL_GROUP = 8
 #: A signature is common if one task sees it in COMMON_LOCAL sets and all tasks in COMMON_TOTAL; at
 #: most COMMON_KEPT, the commonest, are sent to all tasks (16 bytes each).
-COMMON_LOCAL, COMMON_TOTAL, COMMON_KEPT = 4, 16, 500_000
+COMMON_LOCAL, COMMON_TOTAL, COMMON_KEPT = 2, 3, 1_000_000
+#: Bits of the table in which a task marks signatures it has met (a byte each); marks that coincide only
+#: make a signature look more common.
+MET_BITS = 25
 #: Bytes of signatures that a task gathers before it sends them on.
-GATHER = 32 << 20
+GATHER = 8 << 20
 #: Sets that a task of the comparison should hold, and pairs of a group's block.
 TASK_SETS, BLOCK = 4_000, 256
 #: Document ids up to which a list of them is broadcast (8 bytes each); beyond, a shuffled join.
@@ -138,37 +146,75 @@ def prints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Each row's size (4 bytes), then a byte per partition: the sum of its elements' lowest bytes.
+
+    Partitions are ranges of the hash, the smallest power of two that is half the size or more;
+    neighbours added give the sketch with half as many.
+    """
+    size = np.diff(at)
+    bits = np.where(size > 2, np.ceil(np.log2(np.maximum(size, 1) / 2)), 0).astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(1 << bits)))
+    row = np.repeat(np.arange(len(size)), size)
+    where = begin[row] + np.where(bits[row] > 0, (sets >> (U(64) - np.maximum(bits[row], 1).astype(U))).astype(np.int64), 0)
+    out = np.zeros(begin[-1], np.uint8)
+    if len(sets):
+        heads = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+        out[where[heads]] = np.add.reduceat(sets.astype(np.uint8), heads, dtype=np.uint8)
+    return [np.uint32(n).tobytes() + out[a:b].tobytes() for n, a, b in zip(size, begin[:-1], begin[1:], strict=True)]
+
+
+def may_be_similar(u: np.ndarray, v: np.ndarray, c: Fraction) -> bool:
+    """False only if two sets with these sketches differ in more than c times the sum of their sizes."""
+    most = (int(u[:4].view("<u4")[0]) + int(v[:4].view("<u4")[0])) * c.numerator // c.denominator
+    u, v = u[4:], v[4:]
+    if len(u) < len(v):
+        u, v = v, u
+    while len(u) > len(v):
+        u = u[0::2] + u[1::2]
+    return np.count_nonzero(u != v) <= most
+
+
+def _folded(bodies: list[np.ndarray], width: int) -> np.ndarray:
+    """The sketches with neighbours added until each has `width` bytes: fewer spoiled partitions, never more."""
+    return np.stack([x[4:].reshape(width, -1).sum(1, dtype=np.uint8) for x in bodies])
+
+
 def _batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in cols.values()], names=list(cols))
 
 
 def keys(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """Rows (doc_id, n, fp) of all documents, and rows (sig, seen) of what a task saw often."""
+    """Rows (doc_id, n, fp, sketch) of all documents, and rows (sig, seen) of what a task saw often."""
     signer = Signer(similarity, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        kept, seen = np.zeros(0, U), np.zeros(0, np.int64)
+        met, again, times = np.zeros(1 << MET_BITS, bool), [], []
+
         for batch in batches:
             for a, data, offsets in chunks(batch.column("text")):
                 sets, at = shingle_sets(data, offsets, size)
                 n, fp = np.diff(at), prints(sets, at)
                 ids = batch.column("doc_id").slice(a, len(n)).cast(pa.int64())
                 none = pa.nulls(len(n), pa.int64())
-                yield _batch(doc_id=ids, n=n.astype(np.int64), fp=fp, sig=none, seen=none)
+                yield _batch(doc_id=ids, n=n.astype(np.int64), fp=fp, sketch=pa.array(sketches(sets, at), pa.binary()), sig=none, seen=none)
                 fresh = [r for r, f in enumerate(fp.tolist()) if n[r] and f not in known and not known.add(f)]
                 sig, _ = signer.emit(*_only(sets, at, np.array(fresh, np.int64)), every=True)
-                both, where = np.unique(np.concatenate((kept, sig)), return_inverse=True)
-                count = np.bincount(where, np.concatenate((seen, np.ones(len(sig), np.int64))), len(both)).astype(np.int64)
-                if len(both) > 4_000_000:  # forget what came once; this only concerns the order
-                    both, count = both[count > 1], count[count > 1]
-                kept, seen = both, count
+                sig, count = np.unique(sig, return_counts=True)
+                where = (sig >> U(64 - MET_BITS)).astype(np.int64)
+                more = met[where] | (count > 1)
+                again.append(sig[more])
+                times.append(count[more])
+                met[where] = True
+        sig, where = np.unique(np.concatenate(again or [np.zeros(0, U)]), return_inverse=True)
+        seen = 1 + np.bincount(where, np.concatenate(times or [np.zeros(0)]), len(sig)).astype(np.int64)
         often = seen >= COMMON_LOCAL
         if often.any():
             none = pa.nulls(int(often.sum()), pa.int64())
-            yield _batch(doc_id=none, n=none, fp=none, sig=kept[often].view(np.int64), seen=seen[often])
+            yield _batch(doc_id=none, n=none, fp=none, sketch=pa.nulls(len(none), pa.binary()), sig=sig[often].view(np.int64), seen=seen[often])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, sig long, seen long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, sketch binary, sig long, seen long")
 
 
 def _only(sets: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,45 +331,34 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
     return blobs.mapInArrow(run, "a long, b long, lead long, gid long, fp long, n long")
 
 
-def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, similarity: Fraction, scratch: Scratch) -> DataFrame:
-    """Of pairs (a, b, lead) links (a, b) that span what the similar ones connect.
+def _placed(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(a, b, bucket) of the pairs, (fp, bucket) of what each bucket needs, and the buckets.
 
-    Each pair goes to a bucket by the smallest lead of its first set, and each set once to every
-    bucket where a pair needs it; near copies share leads, so a set rarely moves twice. A lead
-    with more sets than a task should hold is cut by its first sets.
+    A pair goes to a bucket by the smallest lead of its first set, and a set once to every bucket
+    where a pair needs it; near copies share leads, so a set rarely moves twice. A lead with more
+    sets than a task should hold is cut by its first sets.
     """
-    spark = docs.sparkSession
     lead = pairs.groupBy("a").agg(F.min("lead").alias("lead"))
     load = lead.groupBy("lead").agg(F.count(F.lit(1)).alias("load"))
     lead = lead.join(load, "lead").withColumn("cut", F.pmod(F.xxhash64("a"), F.ceil(F.col("load") / F.lit(float(TASK_SETS))).cast("long")))
-    total = pairs.select("a").union(pairs.select("b")).distinct()
-    total = scratch.save(total.toDF("fp"), "wanted")
-    n_sets = total.count()
-    if not n_sets:
-        return spark.createDataFrame([], "a long, b long")
-    buckets = max(1, -(-n_sets // TASK_SETS), min(n_sets, spark.sparkContext.defaultParallelism))
-    placed = scratch.save(pairs.select("a", "b").distinct().join(lead, "a").select("a", "b", F.pmod(F.xxhash64("lead", "cut"), F.lit(buckets)).cast("int").alias("bucket")), "placed")
-    need = placed.select(F.col("a").alias("fp"), "bucket").union(placed.select("b", "bucket")).distinct()
-    rep = key.join(total, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id")).getField("doc_id").alias("doc_id")).select(F.col("doc_id").alias("rep"))
-    rep = scratch.save(rep.distinct(), "rep")
-    rep = F.broadcast(rep) if rep.count() <= BROADCAST_IDS else rep
-    texts = docs.join(rep, docs["doc_id"].eqNullSafe(rep["rep"]), "left_semi").select("text")
+    n_sets = pairs.select("a").union(pairs.select("b")).distinct().count()
+    buckets = max(1, -(-n_sets // TASK_SETS), min(n_sets, pairs.sparkSession.sparkContext.defaultParallelism))
+    placed = pairs.select("a", "b").distinct().join(lead, "a").select("a", "b", F.pmod(F.xxhash64("lead", "cut"), F.lit(buckets)).cast("int").alias("bucket"))
+    placed = scratch.save(placed, "placed")
+    return placed, placed.select(F.col("a").alias("fp"), "bucket").union(placed.select("b", "bucket")).distinct(), buckets
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
-                sets, at = shingle_sets(data, offsets, size)
-                fp = prints(sets, at).tolist()
-                fresh = [r for r, f in enumerate(fp) if f not in known and not known.add(f)]
-                yield _batch(fp=pa.array([fp[r] for r in fresh], pa.int64()), elements=pa.array([sets[at[r] : at[r + 1]].tobytes() for r in fresh], pa.binary()))
 
-    held = texts.mapInArrow(sets_of, "fp long, elements binary").join(need, "fp").select("bucket", F.lit(None).cast("long").alias("a"), F.col("fp").alias("b"), "elements")
-    asked = placed.select("bucket", "a", "b", F.lit(None).cast("binary").alias("elements"))
-    rows = held.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("elements").isNull(), "a", "b")
-    p, q = similarity.numerator, similarity.denominator
+def _meet(held: DataFrame, placed: DataFrame, buckets: int) -> DataFrame:
+    """Rows by bucket: first its sets (b, body), then its pairs (a, b)."""
+    held = held.select("bucket", F.lit(None).cast("long").alias("a"), F.col("fp").alias("b"), "body")
+    asked = placed.select("bucket", "a", "b", F.lit(None).cast("binary").alias("body"))
+    return held.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("body").isNull(), "a", "b")
+
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(rows: DataFrame, kind, same, spanning: bool) -> DataFrame:
+    """The pairs (a, b) that same(x, y) accepts; spanning: no more than connect what they connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets, root = None, {}, {}
 
         def find(x: int) -> int:
@@ -333,50 +368,88 @@ def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, simil
 
         for batch in batches:
             left, right = [], []
-            for bucket, a, b, elements in zip(*(batch.column(c) for c in ("bucket", "a", "b", "elements")), strict=True):
-                bucket, a, b = bucket.as_py(), a.as_py(), b.as_py()
+            for bucket, a, b, body in zip(batch.column("bucket").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("body"), strict=True):
                 if bucket != now:
                     now, sets, root = bucket, {}, {}
                 if a is None:
                     if b not in sets:
-                        sets[b] = np.frombuffer(elements.as_py(), U)
+                        sets[b] = np.frombuffer(body.as_py(), kind)
                     continue
-                x, y = find(a), find(b)
-                if x == y:
+                if spanning and find(a) == find(b):
                     continue
-                u, v = sets[a], sets[b]
-                both = len(u) + len(v) - len(np.union1d(u, v))
-                if both * q >= p * (len(u) + len(v) - both):
-                    root[x] = y
+                if same(sets[a], sets[b]):
+                    if spanning:
+                        root[find(a)] = find(b)
                     left.append(a)
                     right.append(b)
             yield _batch(a=pa.array(left, pa.int64()), b=pa.array(right, pa.int64()))
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def open_pairs(groups: DataFrame, labels: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, lead) of large groups' members that no link connects yet, block by block.
+def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, similarity: Fraction, scratch: Scratch) -> DataFrame:
+    """Of pairs (a, b, lead) links (a, b) that span what the similar ones connect: sketches, then elements."""
+    p, q, c = similarity.numerator, similarity.denominator, (1 - similarity) / (1 + similarity)
+    pairs = scratch.save(pairs, "pairs")
+    placed, need, buckets = _placed(pairs, scratch)
+    body = key.join(need.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("sketch").alias("body"))
+    passed = scratch.save(_compared(_meet(body.join(need, "fp"), placed, buckets), np.uint8, lambda u, v: may_be_similar(u, v, c), False), "passed")
+    # Which set stands for a group is told by the link itself from here on: what passed is mostly similar.
+    placed, need, buckets = _placed(passed.withColumn("lead", F.least("a", "b")), scratch)
+    rep = key.join(need.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id")).getField("doc_id").alias("doc_id"))
+    rep = scratch.save(rep.select(F.col("doc_id").alias("rep")).distinct(), "rep")
+    rep = F.broadcast(rep) if rep.count() <= BROADCAST_IDS else rep
+    texts = docs.join(rep, docs["doc_id"].eqNullSafe(rep["rep"]), "left_semi").select("text")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for batch in batches:
+            for _, data, offsets in chunks(batch.column("text")):
+                sets, at = shingle_sets(data, offsets, size)
+                fp = prints(sets, at).tolist()
+                fresh = [r for r, f in enumerate(fp) if f not in known and not known.add(f)]
+                yield _batch(fp=pa.array([fp[r] for r in fresh], pa.int64()), body=pa.array([sets[at[r] : at[r + 1]].tobytes() for r in fresh], pa.binary()))
+
+    def similar(u: np.ndarray, v: np.ndarray) -> bool:
+        either = len(np.union1d(u, v))
+        return (len(u) + len(v) - either) * q >= p * either
+
+    held = texts.mapInArrow(sets_of, "fp long, body binary").join(need, "fp")
+    return _compared(_meet(held, placed, buckets), U, similar, True)
+
+
+def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, lead) of large groups' members that no link connects yet and whose sketches allow it.
 
-    A group all of whose members are connected has none. In the rest every two members of
-    different components are a pair if their sizes allow; two blocks of members meet in a task.
+    A group all of whose members are connected has none. In the rest, members come in blocks with
+    their sketches, and two blocks meet in a task, which lets through only pairs of different
+    components that may be similar; so few rows leave, however large a group is.
     """
     member = groups.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     left = member.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).filter("r0 != r1")
-    member = member.join(left.select("gid", "m"), "gid")
+    member = scratch.save(member.join(left.select("gid", "m"), "gid"), "members")
+    body = key.join(member.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("sketch").alias("sketch"))
     blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("long")
-    member = member.withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("blocks", blocks)
-    packed = scratch.save(member.groupBy("gid", "block", "blocks").agg(F.collect_list(F.struct("fp", "n", "root")).alias("own")), "blocks")
-    other = packed.select("gid", F.col("block").alias("block2"), F.col("own").alias("own2"))
-    meet = packed.select("gid", "block", "own", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block2")).join(other, ["gid", "block2"])
-    p, q = similarity.numerator, similarity.denominator
+    # Ranges of size: blocks far apart hold no pair whose sizes allow it.
+    rank = F.row_number().over(W.partitionBy("gid").orderBy("n", "fp")) - 1
+    member = member.withColumn("blocks", blocks).withColumn("block", F.floor(rank / F.lit(float(BLOCK))).cast("long")).join(body, "fp")
+    packed = member.groupBy("gid", "block", "blocks").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("fp", "n", "root", "sketch")).alias("own"))
+    packed = scratch.save(packed, "blocks")
+    other = packed.select("gid", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("own").alias("own2"))
+    p, q, c = similarity.numerator, similarity.denominator, (1 - similarity) / (1 + similarity)
+    meet = packed.select("gid", "block", "high", "own", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block2")).join(other, ["gid", "block2"]).filter(F.col("high") * q >= F.col("low2") * p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, own2 in zip(batch.column("own"), batch.column("own2"), strict=True):
-                (f, n, r), (f2, n2, r2) = ([x.values.field(i).to_numpy() for i in range(3)] for x in (own, own2))
+                (f, n, r, s), (f2, n2, r2, s2) = ([*(x.values.field(i).to_numpy() for i in range(3)), [np.frombuffer(y.as_py(), np.uint8) for y in x.values.field(3)]] for x in (own, own2))
                 ok = (r[:, None] != r2) & (np.minimum(n[:, None], n2) * q >= np.maximum(n[:, None], n2) * p) & (f[:, None] != f2)
-                i, j = np.nonzero(ok)
+                width = min(len(x) - 4 for x in (*s, *s2))
+                flat, flat2 = _folded(s, width), _folded(s2, width)
+                for i in np.flatnonzero(ok.any(1)):
+                    ok[i] &= np.count_nonzero(flat2 != flat[i], axis=1) <= (n[i] + n2) * c.numerator // c.denominator
+                pairs = [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True) if may_be_similar(s[i], s2[j], c)]
+                i, j = np.array(pairs, np.int64).reshape(-1, 2).T
                 a, b = np.minimum(f[i], f2[j]), np.maximum(f[i], f2[j])
                 yield _batch(a=a, b=b, lead=a)
 
@@ -398,7 +471,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), s
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     first = scratch.save(keys(docs, size, similarity), "keys")
-    key_rows = first.filter("n is not null").select("doc_id", "n", "fp")
+    key_rows = first.filter("n is not null").select("doc_id", "n", "fp", "sketch")
     often = first.filter("sig is not null").groupBy("sig").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= COMMON_TOTAL)
     top = often.orderBy(F.desc("seen"), "sig").limit(COMMON_KEPT).toPandas()
     sig = top["sig"].to_numpy(np.int64).view(U)
@@ -414,7 +487,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), s
     groups = scratch.save(found.filter("gid is not null").select("gid", "fp", "n").distinct(), "groups")
     labels = connected_components(links, scratch)
     if groups.limit(1).count():
-        more = scratch.save(open_pairs(groups, labels, similarity, scratch), "open")
+        more = scratch.save(open_pairs(groups, labels, some, similarity, scratch), "open")
         if more.limit(1).count():
             again = verified(more, some, docs, size, similarity, scratch)
             labels = connected_components(scratch.save(links.union(again), "links"), scratch)
@@ -422,3 +495,29 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), s
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("root", "least")
     out = placed.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), size: int = WORDS) -> DataFrame:
+    """The rows of documents less all but one of each group of near-duplicates: the smallest doc_id stays.
+
+    Rows are told apart by a hash of all they hold, so repeated or null ids do no harm; of fully
+    repeated rows one stays. Rows whose text has no words are in no group and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "deduplicate")
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    found = scratch.save(near_duplicates(docs.select(row.alias("row"), "text"), similarity, size, key="row"), "found")
+    ids = scratch.save(docs.select(row.alias("row"), "doc_id"), "ids")
+    grouped = found.filter("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    many = grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("component_id")
+    member = grouped.join(many, "component_id").join(ids.distinct(), "row")
+    first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    gone = member.join(first, "component_id").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("g_row")).distinct()
+    gone = scratch.save(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, row == gone["g_row"], "left_anti")
+    again = scratch.save(ids.groupBy("row").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").join(grouped.select("row"), "row", "left_semi").select(F.col("row").alias("a_row")), "again")
+    if not again.limit(1).count():
+        return left
+    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    twice = left.join(again, row == again["a_row"], "left_semi").withColumn("__row", row).dropDuplicates(["__row"]).drop("__row")
+    return left.join(again, row == again["a_row"], "left_anti").unionByName(twice)
