@@ -4,9 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lagwise.llm import jaccard_join, language, mixing, packing, queries_a, queries_c, toxicity
+from lagwise.llm.scratch import Scratch, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language, as text, declared language and source together say; the others go."""
+    return language.drop_rejected(docs)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine, learned from the labels of these documents, doesn't call toxic."""
+    out = toxicity.score(docs, queries_c.toxicity_machine(docs, sf_dir))
+    return out.filter("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return jaccard_join.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.repeat_mixed(docs, **queries_a.MIX)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language_id), ("toxicity", toxicity_filter), ("jaccard", near_duplicates), ("mixing", mix_sources), ("packing", pack)]
+
+#: The stages learn models and hash; they are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.save(out, name)
+    out._pipeline = scratch
+    return out

@@ -22,6 +22,8 @@ EVIDENCE = 60.0
 #: What smoothing adds: to a trigram's count, and rows of the parent level to each level of hosts.
 ADDED, PARENT_ROWS = 0.05, 20.0
 CONFIDENCE = 0.5
+#: Rejected rows up to which they are broadcast (16 bytes each).
+BROADCAST_ROWS = 2_000_000
 # Letters keep their folded byte, digits are one class, all else is a space.
 _CLASS = np.full(256, 32, np.uint32)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(97, 123)
@@ -206,3 +208,17 @@ def page_rows(pages: DataFrame, id_: Column) -> DataFrame:
     suffix = F.nullif(F.when(F.length(tld) == 2, tld).otherwise(segment), F.lit(""))
     body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
     return pages.select(id_.alias("id"), body.alias("text"), primary(F.regexp_extract("html", r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([^\"'>\s]+)", 1)).alias("declared"), suffix.alias("suffix"), tld.alias("tld"), domain.alias("domain"), host.alias("host"))
+
+
+def drop_rejected(docs: DataFrame, accepted: tuple[str, ...] | None = None, confidence: float = CONFIDENCE) -> DataFrame:
+    """The rows of documents that identify() keeps, with their own columns.
+
+    Rejected rows are few, and are told by their id and a hash of what was judged; so texts move
+    only if there are more of them than BROADCAST_ROWS.
+    """
+    judged = F.xxhash64("doc_id", "text", "lang", "source")
+    out = identify(document_rows(docs, F.struct(F.col("doc_id").alias("d"), judged.alias("h"))), accepted, confidence)
+    scratch = Scratch(docs.sparkSession, "language")
+    gone = scratch.save(out.filter(~F.col("kept")).select(F.col("id.d").alias("r_id"), F.col("id.h").alias("r_hash")).distinct(), "rejected")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["r_id"]) & (judged == gone["r_hash"]), "left_anti")

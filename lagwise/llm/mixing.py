@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lagwise.llm.scratch import Scratch
 
 #: Rows that a bucket of one source should hold; buckets only bound the work of a task.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_096
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,6 +52,46 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float)
     return df.select("source", "source_size", "n", F.when(F.col("held"), F.col("cap")).otherwise(F.col("w") * free).alias("target"))
 
 
+def _ordered(docs: DataFrame, weight: Column, text: str, source: str, key: str, seed: str) -> dict[str, Column]:
+    """The columns m_key, m_source, m_size and m_order of a table of documents."""
+    size = word_count(F.col(f"`{text}`"))
+    u = uniform(F.col(f"`{key}`"), F.col(f"`{source}`"), size, seed=seed)
+    return {"m_key": F.col(f"`{key}`"), "m_source": F.col(f"`{source}`"), "m_size": size, "m_order": -F.log(u) / weight}
+
+
+def _bucket(buckets: Column) -> Column:
+    # 1 - exp(-order) spreads the keys evenly over (0, 1) for weight 1, and monotonically for any.
+    return F.least(F.floor((1 - F.exp(-F.col("m_order"))) * buckets), buckets - 1).cast("long")
+
+
+def plan(rows: DataFrame, weights: Sequence[int], share: float, cap: float, scratch: Scratch) -> DataFrame:
+    """Per source: source, source_size, target, epochs, buckets, edge, cut.
+
+    rows: m_key, m_source, m_size, m_order. A row is picked beyond its source's whole epochs if its
+    bucket comes before the edge, or is the edge and (m_order, m_key) <= cut.
+    """
+    goal = targets(rows.groupBy(F.col("m_source").alias("source")).agg(F.sum("m_size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    goal = goal.select("source", "source_size", "target", epochs.alias("epochs"), F.ceil(F.col("n") / F.lit(float(BUCKET_ROWS))).cast("long").alias("buckets"))
+    goal = scratch.save(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "goal")
+    placed = rows.join(goal, F.col("m_source").eqNullSafe(F.col("source"))).withColumn("bucket", _bucket(F.col("buckets")))
+    sums = placed.groupBy("source", "rest", "bucket").agg(F.sum("m_size").alias("words"))
+    upto = F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+    edge = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", F.col("upto").alias("u"), "words")).alias("e"))
+    edge = scratch.save(edge.select(F.col("source").alias("e_source"), F.col("e.bucket").alias("edge"), (F.col("e.u") - F.col("e.words")).alias("before")), "edge")
+    inside = placed.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("edge")))
+    at = F.col("before") + F.sum("m_size").over(W.partitionBy("source").orderBy("m_order", "m_key").rowsBetween(W.unboundedPreceding, 0))
+    taken = inside.withColumn("at", at).filter(F.col("at") - F.col("m_size") / F.lit(2.0) <= F.col("rest"))
+    cut = taken.groupBy(F.col("source").alias("c_source")).agg(F.max(F.struct("m_order", "m_key")).alias("cut"))
+    out = goal.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left")
+    return scratch.save(out.select("source", "source_size", "target", "epochs", "buckets", F.coalesce("edge", "buckets").alias("edge"), "cut"), "plan")
+
+
+def _picked() -> Column:
+    bucket = _bucket(F.col("buckets"))
+    return (bucket < F.col("edge")) | ((bucket == F.col("edge")) & F.coalesce(F.struct("m_order", "m_key") <= F.col("cut"), F.lit(False)))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (3, 1, 2),
@@ -67,46 +107,50 @@ def mix(
 
     size: words of the text (null: 0). taken = size * epochs, and once more if picked. epochs is
     the whole part of target / source_size; for the rest of the target, documents come in the order
-    of the exponential key -ln(u) / weight (u from a hash of the key and the text, weight from
+    of the exponential key -ln(u) / weight (u from a hash of key, source and size, weight from
     quality(key, weight), 1 where it has none), and those of which at least half lies within the
     rest are picked. So a source misses its target by half a document at most, and reruns agree.
 
-    A hot source is cut into buckets of its keys' range: sums per bucket say which buckets are
-    wholly within the rest, and only the one bucket of each source that holds the end is sorted.
+    A hot source is cut into buckets of its keys' range: sums per bucket say in which one the rest
+    ends, and only that bucket of each source, some BUCKET_ROWS rows, is sorted.
     Nulls: a null source is one source, last; a null key is a key. Equal keys of the order are
-    told apart by document key; fully repeated rows have equal keys and follow each other in any
-    order, with equal sizes. An empty table gives no rows. Other columns are ignored.
+    told apart by document key; fully repeated rows are picked together. An empty table gives no
+    rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    scratch = Scratch(docs.sparkSession, "mix")
     if quality is None:
-        rows = rows.withColumn("weight", F.lit(1.0))
+        docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), F.lit(1.0).alias("weight"))
+        rows = docs.select(*(c.alias(k) for k, c in _ordered(docs, F.col("weight"), "text", "source", "key", seed).items()))
     else:
+        # Numbers only meet the weights, not texts.
+        own = docs.select(*(c.alias(k) for k, c in _ordered(docs, F.lit(1.0), text, source, key, seed).items()))
         q = quality.groupBy(F.col("key").alias("q_key")).agg(F.max("weight").alias("weight"))
-        rows = rows.join(q, F.col("key").eqNullSafe(F.col("q_key")), "left").drop("q_key").withColumn("weight", F.coalesce(F.col("weight"), F.lit(1.0)))
-    u = uniform(F.col("key"), F.col("source"), F.col("size"), seed=seed)
-    rows = scratch.save(rows.withColumn("order", -F.log(u) / F.col("weight")), "rows")
-    goal = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, cap), "targets")
-    goal = goal.select(
-        F.col("source").alias("g_source"),
-        "source_size",
-        "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
-        F.ceil(F.col("n") / F.lit(float(BUCKET_ROWS))).cast("long").alias("buckets"),
-    ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    same = F.col("source").eqNullSafe(F.col("g_source"))
-    # 1 - exp(-order) spreads the keys evenly over (0, 1) for weight 1, and monotonically for any.
-    bucket = F.least(F.floor((1 - F.exp(-F.col("order"))) * F.col("buckets")), F.col("buckets") - 1).cast("long")
-    rows = rows.join(goal, same).withColumn("bucket", bucket)
-    sums = rows.groupBy("g_source", "rest", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("b_n"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(W.partitionBy("g_source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    sums = scratch.save(sums.select(F.col("g_source").alias("b_source"), F.col("bucket").alias("b_bucket"), "before", "words"), "sums")
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    whole, none = F.col("before") + F.col("words") <= F.col("rest"), F.col("before") > F.col("rest")
-    out = ("key", "source", "size", "source_size", "target", "epochs")
-    plain = rows.filter(whole | none).select(*out, whole.alias("picked"))
-    at = F.col("before") + F.sum("size").over(W.partitionBy("source", "bucket").orderBy("order", "key").rowsBetween(W.unboundedPreceding, 0))
-    edge = rows.filter(~(whole | none)).select(*out, (at - F.col("size") / F.lit(2.0) <= F.col("rest")).alias("picked"))
-    both = plain.unionByName(edge)
-    return both.withColumn("taken", F.col("size") * (F.col("epochs") + F.when(F.col("picked"), 1).otherwise(0)))
+        rows = own.join(q, F.col("m_key").eqNullSafe(F.col("q_key")), "left").withColumn("m_order", F.col("m_order") / F.coalesce(F.col("weight"), F.lit(1.0))).select("m_key", "m_source", "m_size", "m_order")
+    rows = scratch.save(rows, "rows")
+    plans = plan(rows, weights, share, cap, scratch)
+    both = rows.join(plans, F.col("m_source").eqNullSafe(F.col("source"))).withColumn("picked", _picked())
+    out = both.select(F.col("m_key").alias("key"), F.col("m_source").alias("source"), F.col("m_size").alias("size"), "source_size", "target", "epochs", "picked")
+    return out.withColumn("taken", F.col("size") * (F.col("epochs") + F.when(F.col("picked"), 1).otherwise(0)))
+
+
+def text_quality(text: Column) -> Column:
+    """A weight from the text itself: 1 where words have 2 to 12 characters on average, else a half."""
+    mean = F.length(text) / F.greatest(word_count(text), F.lit(1))
+    return F.when(mean.between(3.0, 13.0), 1.0).otherwise(0.5)
+
+
+def repeat_mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = "mix") -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with its own columns.
+
+    Weights are text_quality's. Whether a row is picked follows from the row and its source's line
+    of the plan, so texts never move. Nulls, ties and repeated rows as in mix().
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    found = _ordered(docs, text_quality(F.col(f"`{text}`")), text, source, key, seed)
+    plans = plan(scratch.save(docs.select(*(c.alias(k) for k, c in found.items())), "rows"), weights, share, cap, scratch)
+    plans = plans.select(*(F.col(c).alias(f"m_{c}") for c in ("source", "epochs", "edge", "buckets", "cut"))).withColumnRenamed("m_source", "p_source")
+    names = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), *(c.alias(k) for k, c in found.items()))
+    rows = rows.join(plans, F.col("m_source").eqNullSafe(F.col("p_source"))).withColumnsRenamed({"m_edge": "edge", "m_buckets": "buckets", "m_cut": "cut"})
+    copies = (F.col("m_epochs") + F.when(_picked(), 1).otherwise(0)).cast("int")
+    return rows.select("__row", F.explode(F.array_repeat(F.lit(True), copies)).alias("__copy")).select(*(F.col(f"__row.`{c}`") for c in names))
