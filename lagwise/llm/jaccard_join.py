@@ -319,10 +319,12 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
         pairs = np.unique(np.rec.fromarrays([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), lead[i]], names="a,b,lead"))
         none = lambda k: pa.nulls(k, pa.int64())
         yield _batch(a=np.ascontiguousarray(pairs.a), b=np.ascontiguousarray(pairs.b), lead=np.ascontiguousarray(pairs.lead), gid=none(len(pairs)), fp=none(len(pairs)), n=none(len(pairs)))
-        # Large groups with the same members are one: a group is named by the sum of its members.
-        name = np.add.reduceat(mix(fp.view(U)), heads).view(np.int64)
+        # Large groups meet again by their smallest set: those of one cluster mostly share it, and so
+        # a set goes there once and not with every signature.
+        name = np.minimum.reduceat(fp, heads)
+        same_members = np.add.reduceat(mix(fp.view(U)), heads)
         large = np.flatnonzero(count > SMALL_GROUP)
-        large = large[np.unique(name[large], return_index=True)[1]]
+        large = large[np.unique(same_members[large], return_index=True)[1]]
         for g in large.tolist():
             s = slice(heads[g], heads[g] + count[g])
             k = int(count[g])
