@@ -50,6 +50,8 @@ TASK_SETS, BLOCK = 4_000, 256
 #: Document ids up to which a list of them is broadcast (8 bytes each); beyond, a shuffled join.
 BROADCAST_IDS = 2_000_000
 MAX_CUTS = 64
+#: Steps of a size code for each doubling of the size.
+CODE = 1024
 
 
 class Bands:
@@ -223,29 +225,32 @@ def _only(sets: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarra
     return sets[np.arange(to[-1]) + np.repeat(at[rows] - to[:-1], size)], to
 
 
-ROW = np.dtype([("fp", "<i8"), ("n", "<u4"), ("count", "<u4")])
+def size_codes(n: np.ndarray) -> np.ndarray:
+    """Two bytes that tell a set's size to a part in 1,477, rounded down; larger sets never have smaller codes."""
+    return np.floor(np.log2(np.maximum(n, 1)) * CODE).astype(np.uint16)
 
 
 def dealt(docs: DataFrame, size: int, similarity: Fraction, common, buckets: int) -> DataFrame:
-    """(bucket, owners, sigs): packed signatures of a task's documents for one bucket; copies in a task count once."""
+    """(bucket, sigs, sizes, fps): signatures of a task's documents for one bucket; copies in a task count once.
+
+    A signature takes 14 bytes however many buckets there are: 4 of its own beside those that chose
+    the bucket (two that coincide only make more to compare), its set's size code and its set's name.
+    """
     signer_of = lambda: Signer(similarity, common.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, known = signer_of(), set()
-        sigs, fps, ns, held = [], [], [], 0
+        sigs, fps, codes, held = [], [], [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            sig, fp, n = (np.concatenate(x) for x in (sigs, fps, ns))
-            bucket = (sig % U(buckets)).astype(np.int64)
-            order = np.lexsort((fp, bucket)) if len(sig) else np.zeros(0, np.int64)
-            sig, fp, n, bucket = sig[order], fp[order], n[order], bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            sig, fp, code = (np.concatenate(x) for x in (sigs, fps, codes))
+            bucket = sig % U(buckets)
+            order = np.argsort(bucket, kind="stable")
+            own, fp, code = (sig[order] >> U(32)).astype("<u4"), fp[order], code[order]
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
             for b in np.flatnonzero(np.diff(cut)):
-                i, j = cut[b], cut[b + 1]
-                heads = np.flatnonzero(np.concatenate(([True], fp[i + 1 : j] != fp[i : j - 1])))
-                own = np.empty(len(heads), ROW)
-                own["fp"], own["n"], own["count"] = fp[i:j][heads], n[i:j][heads], np.diff(np.append(heads, j - i))
-                yield _batch(bucket=np.array([b], np.int32), owners=pa.array([own.tobytes()], pa.binary()), sigs=pa.array([sig[i:j].tobytes()], pa.binary()))
+                s = slice(cut[b], cut[b + 1])
+                yield _batch(bucket=np.array([b], np.int32), **{k: pa.array([x[s].tobytes()], pa.binary()) for k, x in (("sigs", own), ("sizes", code), ("fps", fp))})
 
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
@@ -255,33 +260,32 @@ def dealt(docs: DataFrame, size: int, similarity: Fraction, common, buckets: int
                 sig, owner = signer.emit(*_only(sets, at, fresh))
                 sigs.append(sig)
                 fps.append(fp[fresh][owner])
-                ns.append(n[fresh][owner])
+                codes.append(size_codes(n[fresh])[owner])
                 held += sig.nbytes
                 if held >= GATHER:
                     yield from send()
-                    sigs, fps, ns, held = [], [], [], 0
+                    sigs, fps, codes, held = [], [], [], 0
         if sigs:
             yield from send()
 
-    return docs.select("text").mapInArrow(run, "bucket int, owners binary, sigs binary")
+    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, sizes binary, fps binary")
 
 
 def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b, lead, gid, fp, n): pairs to compare, and the members of large groups (gid set).
+    """(a, b, lead, gid, fp): pairs to compare, and the members of large groups (gid set).
 
     Groups of one signature up to SMALL_GROUP sets give all their pairs; larger ones, sorted by
     size, the next two of each set and the first. What that leaves open is settled later.
     """
-    p, q = similarity.numerator, similarity.denominator
+    apart = int(np.ceil(CODE * np.log2(similarity.denominator / similarity.numerator))) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, fps, ns = [], [], []
         for batch in batches:
-            for own, sig in zip(batch.column("owners"), batch.column("sigs"), strict=True):
-                own = np.frombuffer(own.as_buffer(), ROW)
-                sigs.append(np.frombuffer(sig.as_buffer(), U).copy())
-                fps.append(np.repeat(own["fp"], own["count"]))
-                ns.append(np.repeat(own["n"], own["count"]).astype(np.int64))
+            for bucket, sig, code, fp in zip(batch.column("bucket").to_pylist(), *(batch.column(k) for k in ("sigs", "sizes", "fps")), strict=True):
+                sigs.append(np.frombuffer(sig.as_buffer(), "<u4").astype(U) | U(bucket << 32))
+                ns.append(np.frombuffer(code.as_buffer(), np.uint16).copy())
+                fps.append(np.frombuffer(fp.as_buffer(), np.int64).copy())
         if not sigs:
             return
         sig, fp, n = (np.concatenate(x) for x in (sigs, fps, ns))
@@ -292,7 +296,7 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
         same[1:-1] = sig[1:] == sig[:-1]
         some = same[1:] | same[:-1]
         sig, order = sig[some], order[some]
-        fp, n = fp[order], n[order]
+        fp, n = fp[order], n[order].astype(np.int64)
         order = np.lexsort((fp, n, sig))
         sig, fp, n = sig[order], fp[order], n[order]
         one = np.ones(len(sig), bool)
@@ -314,11 +318,11 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
         left.append(head[star])
         right.append(star)
         i, j = np.concatenate(left), np.concatenate(right)
-        ok = (n[i] * q >= n[j] * p) & (fp[i] != fp[j])
+        ok = (n[i] >= n[j] - apart) & (fp[i] != fp[j])
         i, j = i[ok], j[ok]
         pairs = np.unique(np.rec.fromarrays([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), lead[i]], names="a,b,lead"))
         none = lambda k: pa.nulls(k, pa.int64())
-        yield _batch(a=np.ascontiguousarray(pairs.a), b=np.ascontiguousarray(pairs.b), lead=np.ascontiguousarray(pairs.lead), gid=none(len(pairs)), fp=none(len(pairs)), n=none(len(pairs)))
+        yield _batch(a=np.ascontiguousarray(pairs.a), b=np.ascontiguousarray(pairs.b), lead=np.ascontiguousarray(pairs.lead), gid=none(len(pairs)), fp=none(len(pairs)))
         # Large groups meet again by their smallest set: those of one cluster mostly share it, and so
         # a set goes there once and not with every signature.
         name = np.minimum.reduceat(fp, heads)
@@ -328,9 +332,9 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
         for g in large.tolist():
             s = slice(heads[g], heads[g] + count[g])
             k = int(count[g])
-            yield _batch(a=none(k), b=none(k), lead=none(k), gid=np.full(k, name[g]), fp=fp[s], n=n[s])
+            yield _batch(a=none(k), b=none(k), lead=none(k), gid=np.full(k, name[g]), fp=fp[s])
 
-    return blobs.mapInArrow(run, "a long, b long, lead long, gid long, fp long, n long")
+    return blobs.mapInArrow(run, "a long, b long, lead long, gid long, fp long")
 
 
 def _placed(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
@@ -430,11 +434,11 @@ def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, similarity:
     member = groups.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     left = member.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).filter("r0 != r1")
     member = scratch.save(member.join(left.select("gid", "m"), "gid"), "members")
-    body = key.join(member.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("sketch").alias("sketch"))
+    body = key.join(member.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("long")
     # Ranges of size: blocks far apart hold no pair whose sizes allow it.
     rank = F.row_number().over(W.partitionBy("gid").orderBy("n", "fp")) - 1
-    member = member.withColumn("blocks", blocks).withColumn("block", F.floor(rank / F.lit(float(BLOCK))).cast("long")).join(body, "fp")
+    member = member.withColumn("blocks", blocks).join(body, "fp").withColumn("block", F.floor(rank / F.lit(float(BLOCK))).cast("long"))
     packed = member.groupBy("gid", "block", "blocks").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("fp", "n", "root", "sketch")).alias("own"))
     packed = scratch.save(packed, "blocks")
     other = packed.select("gid", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("own").alias("own2"))
@@ -486,7 +490,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), s
     some = key_rows.filter("n > 0")
     pairs = found.filter("gid is null").groupBy("a", "b").agg(F.min("lead").alias("lead"))
     links = scratch.save(verified(pairs, some, docs, size, similarity, scratch), "links")
-    groups = scratch.save(found.filter("gid is not null").select("gid", "fp", "n").distinct(), "groups")
+    groups = scratch.save(found.filter("gid is not null").select("gid", "fp").distinct(), "groups")
     labels = connected_components(links, scratch)
     if groups.limit(1).count():
         more = scratch.save(open_pairs(groups, labels, some, similarity, scratch), "open")

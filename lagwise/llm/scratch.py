@@ -10,6 +10,8 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
+#: Shuffle files go when the write that needed them ends, not when the driver next collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", compression).parquet(path)
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = self  # keeps the folder's owner alive with the frame
         return out
