@@ -26,7 +26,6 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwise.llm.components import connected_components
@@ -47,6 +46,8 @@ MET_BITS = 25
 GATHER = 8 << 20
 #: Sets that a task of the comparison should hold, and pairs of a group's block.
 TASK_SETS, BLOCK = 4_000, 256
+#: Groups that a member of an open group names.
+LISTED = 256
 #: Document ids up to which a list of them is broadcast (8 bytes each); beyond, a shuffled join.
 BROADCAST_IDS = 2_000_000
 MAX_CUTS = 64
@@ -428,38 +429,47 @@ def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, similarity:
     """Pairs (a, b, lead) of large groups' members that no link connects yet and whose sketches allow it.
 
     A group all of whose members are connected has none. In the rest, members come in blocks with
-    their sketches, and two blocks meet in a task, which lets through only pairs of different
-    components that may be similar; so few rows leave, however large a group is.
+    their sketches, by classes of size of which only neighbours can link, and two blocks meet in a
+    task, which lets through only pairs of different components that may be similar; so few rows
+    leave, however large a group is. A pair that shares several groups leaves from the first: each
+    member names up to LISTED of its first groups, and longer lists only let a pair leave again.
     """
-    member = groups.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    left = member.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).filter("r0 != r1")
-    member = scratch.save(member.join(left.select("gid", "m"), "gid"), "members")
-    body = key.join(member.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("long")
-    # Ranges of size: blocks far apart hold no pair whose sizes allow it.
-    rank = F.row_number().over(W.partitionBy("gid").orderBy("n", "fp")) - 1
-    member = member.withColumn("blocks", blocks).join(body, "fp").withColumn("block", F.floor(rank / F.lit(float(BLOCK))).cast("long"))
-    packed = member.groupBy("gid", "block", "blocks").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("fp", "n", "root", "sketch")).alias("own"))
-    packed = scratch.save(packed, "blocks")
-    other = packed.select("gid", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("own").alias("own2"))
     p, q, c = similarity.numerator, similarity.denominator, (1 - similarity) / (1 + similarity)
-    meet = packed.select("gid", "block", "high", "own", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block2")).join(other, ["gid", "block2"]).filter(F.col("high") * q >= F.col("low2") * p)
+    member = groups.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    left = member.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("gid")
+    member = scratch.save(member.join(left, "gid"), "members")
+    of = member.groupBy("fp").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, LISTED).alias("gids"))
+    body = key.join(of, "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("gids").alias("gids"))
+    step = max(0.01, 1.0001 * float(np.log(q / p)))
+    member = scratch.save(member.join(body, "fp").withColumn("cls", F.floor(F.log("n") / F.lit(step)).cast("long")), "members")
+    blocks = member.groupBy("gid", "cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("long").alias("blocks"))
+    blocks = scratch.save(blocks, "classes")
+    packed = member.join(blocks, ["gid", "cls"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    packed = scratch.save(packed.groupBy("gid", "cls", "block", "blocks").agg(F.collect_list(F.struct("fp", "n", "root", "sketch", "gids")).alias("own")), "blocks")
+    above = blocks.select("gid", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("more"))
+    first = packed.join(above, ["gid", "cls"], "left")
+    here = first.select("gid", "own", F.col("cls").alias("cls2"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block2"))
+    next_up = first.filter("more is not null").select("gid", "own", (F.col("cls") + 1).alias("cls2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("block2"))
+    other = packed.select("gid", F.col("cls").alias("cls2"), F.col("block").alias("block2"), F.col("own").alias("own2"))
+    meet = here.unionByName(next_up).join(other, ["gid", "cls2", "block2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, own2 in zip(batch.column("own"), batch.column("own2"), strict=True):
-                (f, n, r, s), (f2, n2, r2, s2) = ([*(x.values.field(i).to_numpy() for i in range(3)), [np.frombuffer(y.as_py(), np.uint8) for y in x.values.field(3)]] for x in (own, own2))
+            for gid, own, own2 in zip(batch.column("gid").to_pylist(), batch.column("own"), batch.column("own2"), strict=True):
+                (f, n, r, s, g), (f2, n2, r2, s2, g2) = (
+                    [*(x.values.field(i).to_numpy() for i in range(3)), [np.frombuffer(y.as_py(), np.uint8) for y in x.values.field(3)], [{z for z in y.as_py() if z < gid} for y in x.values.field(4)]] for x in (own, own2)
+                )
                 ok = (r[:, None] != r2) & (np.minimum(n[:, None], n2) * q >= np.maximum(n[:, None], n2) * p) & (f[:, None] != f2)
                 width = min(len(x) - 4 for x in (*s, *s2))
                 flat, flat2 = _folded(s, width), _folded(s2, width)
                 for i in np.flatnonzero(ok.any(1)):
                     ok[i] &= np.count_nonzero(flat2 != flat[i], axis=1) <= (n[i] + n2) * c.numerator // c.denominator
-                pairs = [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True) if may_be_similar(s[i], s2[j], c)]
+                pairs = [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True) if g[i].isdisjoint(g2[j]) and may_be_similar(s[i], s2[j], c)]
                 i, j = np.array(pairs, np.int64).reshape(-1, 2).T
                 a, b = np.minimum(f[i], f2[j]), np.maximum(f[i], f2[j])
                 yield _batch(a=a, b=b, lead=a)
 
-    return meet.select("own", "own2").mapInArrow(run, "a long, b long, lead long").groupBy("a", "b").agg(F.min("lead").alias("lead"))
+    return meet.select("gid", "own", "own2").mapInArrow(run, "a long, b long, lead long").groupBy("a", "b").agg(F.min("lead").alias("lead"))
 
 
 def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), size: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
