@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lagwise.llm.components import connected_components
 from lagwise.llm.scratch import Scratch
-from lagwise.llm.textbytes import WORDS, U, chunks, mix, shingle_sets
+from lagwise.llm.textbytes import WORDS, U, chunks, frugal, mix, shingle_sets
 
 #: Ratio of the ends of a band, partitions for each element that may differ.
 BAND, SPREAD = 2.5, 2
@@ -217,7 +217,7 @@ def keys(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
             none = pa.nulls(int(often.sum()), pa.int64())
             yield _batch(doc_id=none, n=none, fp=none, sketch=pa.nulls(len(none), pa.binary()), sig=sig[often].view(np.int64), seen=seen[often])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, sketch binary, sig long, seen long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n long, fp long, sketch binary, sig long, seen long")
 
 
 def _only(sets: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +269,7 @@ def dealt(docs: DataFrame, size: int, similarity: Fraction, common, buckets: int
         if sigs:
             yield from send()
 
-    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, sizes binary, fps binary")
+    return docs.select("text").mapInArrow(frugal(run), "bucket int, sigs binary, sizes binary, fps binary")
 
 
 def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
@@ -335,7 +335,7 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
             k = int(count[g])
             yield _batch(a=none(k), b=none(k), lead=none(k), gid=np.full(k, name[g]), fp=fp[s])
 
-    return blobs.mapInArrow(run, "a long, b long, lead long, gid long, fp long")
+    return blobs.mapInArrow(frugal(run), "a long, b long, lead long, gid long, fp long")
 
 
 def _placed(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
@@ -391,7 +391,7 @@ def _compared(rows: DataFrame, kind, same, spanning: bool) -> DataFrame:
                     right.append(b)
             yield _batch(a=pa.array(left, pa.int64()), b=pa.array(right, pa.int64()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(frugal(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, similarity: Fraction, scratch: Scratch) -> DataFrame:
@@ -421,7 +421,7 @@ def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, simil
         either = len(np.union1d(u, v))
         return (len(u) + len(v) - either) * q >= p * either
 
-    held = texts.mapInArrow(sets_of, "fp long, body binary").join(need, "fp")
+    held = texts.mapInArrow(frugal(sets_of), "fp long, body binary").join(need, "fp")
     return _compared(_meet(held, placed, buckets), U, similar, True)
 
 
@@ -469,7 +469,7 @@ def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, similarity:
                 a, b = np.minimum(f[i], f2[j]), np.maximum(f[i], f2[j])
                 yield _batch(a=a, b=b, lead=a)
 
-    return meet.select("gid", "own", "own2").mapInArrow(run, "a long, b long, lead long").groupBy("a", "b").agg(F.min("lead").alias("lead"))
+    return meet.select("gid", "own", "own2").mapInArrow(frugal(run), "a long, b long, lead long").groupBy("a", "b").agg(F.min("lead").alias("lead"))
 
 
 def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), size: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:

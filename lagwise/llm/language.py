@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.llm.scratch import Scratch
-from lagwise.llm.textbytes import U, chunks
+from lagwise.llm.textbytes import U, chunks, frugal
 
 #: The class of texts in none of the languages, and what it gets before all evidence.
 NONE, NONE_PRIOR = "und", 0.005
@@ -90,7 +90,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE, scratch: Scratch | None = None)
 
         # Rows that share the last hash (copies) come along: at most so many more.
         used = named.filter(F.col("declared").isin(*names) & (order <= last))
-        cells = used.mapInArrow(run, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()
+        cells = used.mapInArrow(frugal(run), "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()
         counts[cells["k"], cells["b"]] += cells["n"]
     counts[-1] = 1.0
     return TextModel((*names, NONE), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
@@ -140,7 +140,7 @@ def identify(rows: DataFrame, accepted: tuple[str, ...] | None = None, confidenc
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, k) for c in cols), lists, pa.array(best, pa.int32()), pa.array(n)], names=[*cols, "ll", "best", "n"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    seen = scratch.save(rows.select(*cols, "text").mapInArrow(run, f"id {id_type}, declared string, suffix string, tld string, domain string, host string, ll array<double>, best int, n long"), "seen")
+    seen = scratch.save(rows.select(*cols, "text").mapInArrow(frugal(run), f"id {id_type}, declared string, suffix string, tld string, domain string, host string, ll array<double>, best int, n long"), "seen")
     count = [F.sum(F.when(F.col("best") == k, 1.0).otherwise(0.0)).alias(f"c{k}") for k in range(n_lang)]
 
     def prior(level: list[str], parent: DataFrame | None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lagwise.llm import tokens
 from lagwise.llm.scratch import Scratch
+from lagwise.llm.textbytes import frugal
 
 CAPACITY, END_ID = 2048, 0
 #: Rows in a batch that a task sends on.
@@ -99,7 +100,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     rows = []
         yield send()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE_DDL)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), PIECE_DDL)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -158,6 +159,6 @@ def fill(docs: DataFrame, placed: DataFrame, vocabulary: str | None = None, end_
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["sequence_id", "offset", "ids"])
 
-    parts = joined.select("text", "own").mapInArrow(run, "sequence_id long, offset long, ids binary")
+    parts = joined.select("text", "own").mapInArrow(frugal(run), "sequence_id long, offset long, ids binary")
     joined_ids = F.aggregate(F.array_sort(F.collect_list(F.struct("offset", "ids"))), F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
     return parts.groupBy("sequence_id").agg(joined_ids.alias("ids"))

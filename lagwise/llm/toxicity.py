@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.llm.scratch import Scratch
-from lagwise.llm.textbytes import U, chunks, spans, word_hashes
+from lagwise.llm.textbytes import U, chunks, frugal, spans, word_hashes
 
 #: Bits of a term's bucket, terms that the machine sees, its factors, bytes of a word's beginning that are a term too.
 BITS, TERMS, FACTORS, STEM = 20, 768, 8, 5
@@ -99,7 +99,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
                 held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(both & (1 << BITS) - 1, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, len(offsets) - 1), held], names=["y", "terms"])
 
-    rows = scratch.save(texts.mapInArrow(run, "y int, terms array<int>"), "terms")
+    rows = scratch.save(texts.mapInArrow(frugal(run), "y int, terms array<int>"), "terms")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     n, pos = float(total["n"]), float(total["pos"])
     seen = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("a"), F.sum("y").cast("double").alias("b"))
@@ -142,4 +142,4 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", threshold: floa
 
     if text not in names:
         raise ValueError(f"the text's column must not be {text}")
-    return docs.select(*[docs[c] for c in names]).mapInArrow(run, ddl)
+    return docs.select(*[docs[c] for c in names]).mapInArrow(frugal(run), ddl)
