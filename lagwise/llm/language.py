@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.llm.scratch import Scratch
@@ -15,7 +15,7 @@ from lagwise.llm.textbytes import U, chunks, frugal
 
 #: The class of texts in none of the languages, and what it gets before all evidence.
 NONE, NONE_PRIOR = "und", 0.005
-#: Bits of a trigram's bucket; labelled rows to learn from at most (first by a hash of the text); languages at most.
+#: Bits of a trigram's bucket; rows of a language to learn from, about (first by a hash of the text); languages at most.
 BITS, SAMPLE, LANGUAGES = 16, 12_000, 32
 #: Trigrams are not independent: n of them count as n / (1 + n / EVIDENCE).
 EVIDENCE = 60.0
@@ -24,6 +24,9 @@ ADDED, PARENT_ROWS = 0.05, 20.0
 CONFIDENCE = 0.5
 #: Rejected rows up to which they are broadcast (16 bytes each).
 BROADCAST_ROWS = 2_000_000
+#: Steps of a 63-bit hash, each 1/32 of where it begins at most: its length in bits, then the five bits after the first.
+_HASH = "(xxhash64(text, declared) & 9223372036854775807)"
+_STEP = f"length(bin({_HASH})) * 32 + cast(shiftright({_HASH}, greatest(length(bin({_HASH})) - 6, 0)) & 31 as int)"
 # Letters keep their folded byte, digits are one class, all else is a space.
 _CLASS = np.full(256, 32, np.uint32)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(97, 123)
@@ -62,36 +65,37 @@ class TextModel:
 
 
 def learn(rows: DataFrame, sample: int = SAMPLE, scratch: Scratch | None = None) -> TextModel:
-    """From (text, declared): trigram counts of at most `sample` rows with a declared language.
+    """From (text, declared): trigram counts of about `sample` rows of each declared language.
 
-    The languages are the LANGUAGES most declared, at least one row each. The driver gets one
-    number a language and bucket.
+    A language's rows are taken in the order of a hash of the text, by whole steps of the hash
+    (1/32 of its size), up to the step that reaches `sample`; a language with no more rows has all
+    of them. Copies share a hash, so they come along. A language whose sampled text has fewer
+    trigrams than the smoothing adds would be all but NONE, so it is left out; of the others, the
+    LANGUAGES with most of them. The driver gets one number a language and bucket.
     """
-    named = rows.filter("declared is not null").select("declared", "text")
-    top = [r["declared"] for r in named.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()]
-    names = tuple(sorted(top))
     scratch = scratch or Scratch(rows.sparkSession, "language")
-    order = F.xxhash64("text", "declared")
-    some = scratch.save(named.filter(F.col("declared").isin(*names)).select(order.alias("h")).orderBy("h").limit(sample), "sample")
-    last = some.agg(F.max("h").alias("h")).first()["h"]
+    named = rows.filter(F.col("declared") != NONE).select("declared", "text", F.expr(_STEP).alias("step"))
+    steps = scratch.save(named.groupBy("declared", "step").agg(F.count(F.lit(1)).alias("n")), "steps")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("declared").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = steps.withColumn("before", before).filter(F.col("before") < sample).groupBy("declared").agg(F.max("step").alias("last"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = batch.column("declared").dictionary_encode()
+            who = tags.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, data, offsets in chunks(batch.column("text")):
+                bucket, first = trigrams(data, offsets)
+                cell, n = np.unique(np.repeat(who[a : a + len(offsets) - 1], np.diff(first)) << BITS | bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([tags.dictionary.take(pa.array(cell >> BITS)), pa.array(cell & (1 << BITS) - 1, pa.int32()), pa.array(n, pa.int64())], names=["declared", "b", "n"])
+
+    used = named.join(F.broadcast(last), "declared").filter(F.col("step") <= F.col("last")).select("declared", "text")
+    cells = scratch.save(used.mapInArrow(frugal(run), "declared string, b int, n long").groupBy("declared", "b").agg(F.sum("n").alias("n")), "trigrams")
+    totals = cells.groupBy("declared").agg(F.sum("n").alias("n")).filter(F.col("n") >= ADDED * (1 << BITS))
+    names = tuple(sorted(r["declared"] for r in totals.orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()))
     counts = np.full((len(names) + 1, 1 << BITS), ADDED)
-    if last is not None:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(names), 1 << BITS), np.int64)
-            for batch in batches:
-                who = np.array([names.index(x) for x in batch.column("declared").to_pylist()], np.int64)
-                for a, data, offsets in chunks(batch.column("text")):
-                    bucket, first = trigrams(data, offsets)
-                    lang = np.repeat(who[a : a + len(offsets) - 1], np.diff(first))
-                    total += np.bincount(lang << BITS | bucket, minlength=total.size).reshape(total.shape)
-            k, b = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(total[k, b])], names=["k", "b", "n"])
-
-        # Rows that share the last hash (copies) come along: at most so many more.
-        used = named.filter(F.col("declared").isin(*names) & (order <= last))
-        cells = used.mapInArrow(frugal(run), "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()
-        counts[cells["k"], cells["b"]] += cells["n"]
+    places = rows.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "declared string, k int")
+    got = cells.join(F.broadcast(places), "declared").select("k", "b", "n").toPandas()
+    counts[got["k"], got["b"]] += got["n"]
     counts[-1] = 1.0
     return TextModel((*names, NONE), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 

@@ -269,3 +269,15 @@ def test_shards_hold_every_sequence(spark, tmp_path):
     sizes = {(r.shard, r.n, len(r.payload) // r.stride) for r in spark.read.parquet(f"{tmp_path}/s").collect()}
     assert all(n == size for _, n, size in sizes) and len(sizes) == -(-n // 16)
     assert training_order.write_shards(docs.limit(0), f"{tmp_path}/e") == 0 and training_order.read_slots(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_every_language_is_sampled_and_stray_tags_learn_nothing(spark):
+    none = (None, None, None, None)
+    rows = [(i, say(lang, 40), lang, *none) for i, lang in enumerate(list(SOUNDS) * 100)] + [(900 + i, " ".join(["zbor", "vrij", "pluk"][k] for k in RNG.integers(0, 3, 400)), "nl", *none) for i in range(5)]
+    rows += [(950, "Hm.", "xx", *none)] + [(960 + i, "中文 測試 文字 " * 30, None, *none) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, tld string, domain string, host string")
+    m = language.learn(df, sample=30)
+    assert m.names == ("de", "en", "fr", "nl", "und") and (np.ptp(m.table[:-1], axis=1) > 3).all()
+    got = {r.id: r for r in language.identify(df, model=m).collect()}
+    assert all((got[960 + i].lang, got[960 + i].kept) == ("und", False) for i in range(20)) and all(got[900 + i].lang == "nl" for i in range(5))
+    assert all(got[i].lang == lang for i, lang in enumerate(list(SOUNDS) * 100))
