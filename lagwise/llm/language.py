@@ -15,8 +15,8 @@ from lagwise.llm.textbytes import U, chunks, frugal
 
 #: The class of texts in none of the languages, and what it gets before all evidence.
 NONE, NONE_PRIOR = "und", 0.005
-#: Bits of a trigram's bucket; rows of a language to learn from, about (first by a hash of the text); languages at most.
-BITS, SAMPLE, LANGUAGES = 16, 12_000, 32
+#: Bits of a trigram's bucket; rows of a language to learn from, about (first by a hash of the text).
+BITS, SAMPLE = 16, 12_000
 #: Trigrams are not independent: n of them count as n / (1 + n / EVIDENCE).
 EVIDENCE = 60.0
 #: What smoothing adds: to a trigram's count, and rows of the parent level to each level of hosts.
@@ -70,8 +70,8 @@ def learn(rows: DataFrame, sample: int = SAMPLE, scratch: Scratch | None = None)
     A language's rows are taken in the order of a hash of the text, by whole steps of the hash
     (1/32 of its size), up to the step that reaches `sample`; a language with no more rows has all
     of them. Copies share a hash, so they come along. A language whose sampled text has fewer
-    trigrams than the smoothing adds would be all but NONE, so it is left out; of the others, the
-    LANGUAGES with most of them. The driver gets one number a language and bucket.
+    trigrams than the smoothing adds would be all but NONE, so it is left out. The driver gets one
+    number a language and bucket, and the table takes 256 KB a language.
     """
     scratch = scratch or Scratch(rows.sparkSession, "language")
     named = rows.filter(F.col("declared") != NONE).select("declared", "text", F.expr(_STEP).alias("step"))
@@ -91,17 +91,15 @@ def learn(rows: DataFrame, sample: int = SAMPLE, scratch: Scratch | None = None)
     used = named.join(F.broadcast(last), "declared").filter(F.col("step") <= F.col("last")).select("declared", "text")
     cells = scratch.save(used.mapInArrow(frugal(run), "declared string, b int, n long").groupBy("declared", "b").agg(F.sum("n").alias("n")), "trigrams")
     totals = cells.groupBy("declared").agg(F.sum("n").alias("n")).filter(F.col("n") >= ADDED * (1 << BITS))
-    names = tuple(sorted(r["declared"] for r in totals.orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()))
-    counts = np.full((len(names) + 1, 1 << BITS), ADDED)
+    names = tuple(sorted(r["declared"] for r in totals.collect()))
+    table = np.empty((len(names) + 1, 1 << BITS), np.float32)
+    table[:-1], table[-1] = ADDED, -np.log(1 << BITS)
     places = rows.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "declared string, k int")
     got = cells.join(F.broadcast(places), "declared").select("k", "b", "n").toPandas()
-    counts[got["k"], got["b"]] += got["n"]
-    counts[-1] = 1.0
-    return TextModel((*names, NONE), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
-
-
-def _each(names: tuple[str, ...], f) -> Column:
-    return F.array(*(f(k) for k in range(len(names))))
+    table[got["k"], got["b"]] += got["n"].to_numpy()
+    for k in range(len(names)):
+        table[k] = np.log(table[k] / table[k].sum(dtype=np.float64))
+    return TextModel((*names, NONE), table)
 
 
 def _log_sum(c: Column) -> Column:
@@ -119,6 +117,9 @@ def identify(rows: DataFrame, accepted: tuple[str, ...] | None = None, confidenc
     domain's prior says, that one's likewise from its top-level domain, and that from all rows.
     kept: the language is one of `accepted` (null: any but und) and its posterior >= confidence.
 
+    A text that declares a language that the model lacks, for want of text to learn from, is in that
+    language, with confidence 1: nothing here can gainsay it, and it is not rejected for that.
+
     Nulls: an evidence that is null says nothing; a null host falls back to its parent. A null
     text, or one without a letter, is und. Repeated rows are judged alike, each for itself. Very
     long texts are read whole. An empty table gives no rows. Texts are read once after learning
@@ -145,21 +146,30 @@ def identify(rows: DataFrame, accepted: tuple[str, ...] | None = None, confidenc
 
     id_type = rows.schema["id"].dataType.simpleString()
     seen = scratch.save(rows.select(*cols, "text").mapInArrow(frugal(run), f"id {id_type}, declared string, suffix string, tld string, domain string, host string, ll array<double>, best int, n long"), "seen")
-    count = [F.sum(F.when(F.col("best") == k, 1.0).otherwise(0.0)).alias(f"c{k}") for k in range(n_lang)]
+    # Counts and priors are arrays over the languages, so that plans don't grow with these.
+    places = F.sequence(F.lit(0), F.lit(n_lang - 1))
+
+    def counted(df: DataFrame, level: list[str]) -> DataFrame:
+        """The level's keys and counts, rows by the language that their text suggests."""
+        some = df.groupBy(*level, "best").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        some = some.groupBy(*level).agg(F.map_from_entries(F.collect_list(F.struct("best", "c"))).alias("m"))
+        return some.select(*level, F.transform(places, lambda k: F.coalesce(F.try_element_at(F.col("m"), k.cast("int")), F.lit(0.0))).alias("counts"))
+
+    def total(c: str) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
     def prior(level: list[str], parent: DataFrame | None) -> DataFrame:
         """The level's keys (prefixed p_) and prior; a parent has all but the last key."""
-        got = seen.groupBy(*level).agg(*count)
-        total = sum((F.col(f"c{k}") for k in range(n_lang)), F.lit(0.0))
+        got = counted(seen, level)
         if parent is None:
-            share = [F.lit(NONE_PRIOR if k == n_lang - 1 else (1 - NONE_PRIOR) / max(n_lang - 1, 1)) for k in range(n_lang)]
+            got = got.withColumn("prior", F.transform(places, lambda k: F.when(k == n_lang - 1, NONE_PRIOR).otherwise((1 - NONE_PRIOR) / max(n_lang - 1, 1))))
         else:
             on = F.lit(True)
             for c in level[:-1]:
                 on = on & F.col(c).eqNullSafe(F.col(f"p_{c}"))
             got = got.join(parent, on) if level[:-1] else got.join(F.broadcast(parent))
-            share = [F.col("prior")[k] for k in range(n_lang)]
-        out = _each(names, lambda k: (F.col(f"c{k}") + PARENT_ROWS * share[k]) / (total + PARENT_ROWS))
+        got = got.withColumn("total", total("counts"))
+        out = F.zip_with("counts", "prior", lambda c, p: (c + PARENT_ROWS * p) / (F.col("total") + PARENT_ROWS))
         return scratch.save(got.select(*[F.col(c).alias(f"p_{c}") for c in level], out.alias("prior")), "-".join(["prior", *level]))
 
     every = prior([], None)
@@ -167,12 +177,11 @@ def identify(rows: DataFrame, accepted: tuple[str, ...] | None = None, confidenc
 
     def evidence(c: str) -> DataFrame:
         """log P(value | language), smoothed by the values' shares over all languages."""
-        got = seen.filter(f"{c} is not null").groupBy(c).agg(*count)
-        sums = got.agg(*(F.sum(f"c{k}").alias(f"s{k}") for k in range(n_lang)))
-        total = sum((F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(n_lang)), F.lit(0.0))
-        mine = sum((F.col(f"c{k}") for k in range(n_lang)), F.lit(0.0))
-        value = _each(names, lambda k: F.log((F.col(f"c{k}") + PARENT_ROWS * mine / total) / (F.col(f"s{k}") + PARENT_ROWS)))
-        return scratch.save(got.join(F.broadcast(sums)).select(F.col(c).alias(f"e_{c}"), value.alias(f"v_{c}")), c)
+        some = seen.filter(f"{c} is not null")
+        got = counted(some, [c]).join(F.broadcast(counted(some, []).select(F.col("counts").alias("sums"))))
+        got = got.withColumn("share", PARENT_ROWS * total("counts") / total("sums"))
+        value = F.zip_with("counts", "sums", lambda x, s: F.log((x + F.col("share")) / (s + PARENT_ROWS)))
+        return scratch.save(got.select(F.col(c).alias(f"e_{c}"), value.alias(f"v_{c}")), c)
 
     on = F.lit(True)
     for c in ("tld", "domain", "host"):
@@ -180,12 +189,14 @@ def identify(rows: DataFrame, accepted: tuple[str, ...] | None = None, confidenc
     fused = seen.join(by_host, on, "left")
     for c in ("declared", "suffix"):
         fused = fused.join(evidence(c), F.col(c) == F.col(f"e_{c}"), "left")
-    zero = F.array(*(F.lit(0.0) for _ in names))
+    zero = F.array_repeat(F.lit(0.0), n_lang)
     logs = F.transform(F.arrays_zip(F.col("ll").alias("a"), F.col("prior").alias("b"), F.coalesce("v_declared", zero).alias("c"), F.coalesce("v_suffix", zero).alias("d")), lambda x: x["a"] + F.log(x["b"]) + x["c"] + x["d"])
     fused = fused.withColumn("logs", logs)
     best = F.array_max("logs")
-    lang = F.when(F.col("n") == 0, F.lit(NONE)).otherwise(F.element_at(F.array(*(F.lit(x) for x in names)), F.array_position("logs", best).cast("int")))
-    sure = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.exp(best - _log_sum(F.col("logs"))))
+    every_name = F.array(*(F.lit(x) for x in names))
+    lacking = F.col("declared").isNotNull() & ~F.array_contains(every_name, F.col("declared"))
+    lang = F.when(F.col("n") == 0, F.lit(NONE)).when(lacking, F.col("declared")).otherwise(F.element_at(every_name, F.array_position("logs", best).cast("int")))
+    sure = F.when((F.col("n") == 0) | lacking, F.lit(1.0)).otherwise(F.exp(best - _log_sum(F.col("logs"))))
     good = (F.col("lang") != NONE) if accepted is None else F.col("lang").isin(*accepted)
     return fused.select("id", "declared", lang.alias("lang"), sure.alias("confidence")).withColumn("kept", good & (F.col("confidence") >= confidence))
 

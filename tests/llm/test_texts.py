@@ -281,3 +281,17 @@ def test_every_language_is_sampled_and_stray_tags_learn_nothing(spark):
     got = {r.id: r for r in language.identify(df, model=m).collect()}
     assert all((got[960 + i].lang, got[960 + i].kept) == ("und", False) for i in range(20)) and all(got[900 + i].lang == "nl" for i in range(5))
     assert all(got[i].lang == lang for i, lang in enumerate(list(SOUNDS) * 100))
+
+
+def test_more_than_32_languages_are_told_and_rare_ones_keep_their_declaration(spark):
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    tags = [f"q{x}" for x in letters] + [f"z{x}" for x in letters[:14]]
+    own = {tag: ["".join(RNG.choice(letters, 6)) for _ in range(12)] for tag in tags}
+    none = (None, None, None, None)
+    rows = [(100 * k + i, " ".join(RNG.choice(own[tag], 100)), tag, *none) for k, tag in enumerate(tags) for i in range(8 if k else 9)]
+    rows += [(9000 + k, " ".join(RNG.choice(own[tag], 60)), None, *none) for k, tag in enumerate(tags)] + [(9900, "Привет мир", "ru", *none), (9901, "123 !?", "ru", *none), (9902, "中文 測試 " * 30, "und", *none)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, tld string, domain string, host string")
+    got = {r.id: r for r in language.identify(df).collect()}
+    assert all((got[100 * k].lang, got[100 * k].kept) == (tag, True) and got[9000 + k].lang == tag for k, tag in enumerate(tags))
+    assert [(got[k].lang, got[k].kept) for k in (9900, 9901, 9902)] == [("ru", True), ("und", False), ("und", False)]
+    assert [r.kept for r in language.identify(df.filter("id >= 9900"), accepted=("en",)).collect()] == [False] * 3
