@@ -448,6 +448,10 @@ from lagwise.plans import reports as R  # noqa: E402
 SPEC = W.Window_(lags=2, min_train=600, refit_every=150, horizons=(1, 5))
 SETTINGS = E.Settings(spec=SPEC, alpha=0.02, overlay_alpha=0.02, threshold=0.02, min_snapshots=2, overlay_min_train=200, mask={"min_frequency": 0.5, "min_sign": 0.6, "min_retention": 0.25, "min_contributions": 20, "max_edges": 3})
 CANDIDATES = list(PORTS)
+#: What v4 takes over from v3, those of it that are its experts, and its comparisons.
+V4_MODELS = ["ar", "financial_direct_sparse", "candidate_overlay_survival", "candidate_overlay_adaptive"]
+V4_EXPERTS = ["financial_direct_sparse", "candidate_overlay_survival"]
+V4_PAIRS = [("ar", "financial_direct_sparse"), ("financial_direct_sparse", "candidate_overlay_survival"), ("financial_direct_sparse", "online_fixed_share"), ("candidate_overlay_survival", "online_fixed_share")]
 
 
 def model_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -512,9 +516,17 @@ def empirical_v3(spark: SparkSession, d: str) -> DataFrame:
     return _scores(E.run_v3(model_panel(spark, d), T.SERIES, CANDIDATES, SETTINGS))
 
 
+def _v4(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """v3's survival and gates, and the forecasts of v3 with those of v4 added."""
+    store = E.Store()
+    v3 = E.run_v3(model_panel(spark, d), T.SERIES, CANDIDATES, SETTINGS, store)
+    paths = store.keep(v3["forecasts"].filter(F.col("model").isin(V4_MODELS)))
+    return v3 | {"forecasts": store.keep(E.run_v4(paths, V4_EXPERTS)["forecasts"])}
+
+
 @query()
 def empirical_v4(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(E.run_v4(T.naive_forecasts(spark, d).replace({"mean": "ar"}, subset=["model"]), ["last", "ar"]))
+    return _scores(_v4(spark, d))
 
 
 @query()
@@ -539,4 +551,11 @@ def rolling_edge_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def report_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return R.markdown(_metrics(spark, d).filter("segment = 'all'"), inference.nested_tests(T.naive_forecasts(spark, d), _PAIRS, base_lags=2, horizons=[1, 5]))
+    out = _v4(spark, d)
+    rows = out["forecasts"].withColumnRenamed("target", "variable")
+    tests = inference.nested_tests(out["forecasts"], V4_PAIRS, base_lags=5, horizons=list(SPEC.horizons))
+
+    def latest(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(df.groupBy("h").agg(F.max("as_of").alias("as_of"))), ["h", "as_of"], "left_semi")
+
+    return R.markdown(metrics.metrics(rows, ["horizon", "model", "variable"]), tests, latest(out["survival"]), latest(out["gates"]))

@@ -84,3 +84,18 @@ def test_incomplete_panels_are_refused(spark):
     with pytest.raises(ValueError):
         regime_system(spark, 100)
     assert regime_system(spark, 220).count() == 210 * 6
+
+
+def test_queries_of_v4_and_report_go_through_v3(spark, monkeypatch):
+    from lagwise.plans import catalog
+
+    monkeypatch.setattr(catalog, "model_panel", lambda s, d: panel(spark)[1])
+    monkeypatch.setattr(catalog.T, "naive_forecasts", lambda s, d: pytest.fail("naive forecasts"))
+    monkeypatch.setattr(catalog.T, "SERIES", ["x", "y"])
+    monkeypatch.setattr(catalog, "CANDIDATES", ["p"])
+    monkeypatch.setattr(catalog, "SETTINGS", S)
+    monkeypatch.setattr(catalog, "SPEC", S.spec)
+    got = catalog.empirical_v4(spark, "").collect()
+    assert {r.model for r in got} == {"ar", "financial_direct_sparse", "candidate_overlay_survival", "candidate_overlay_adaptive", "online_fixed_share"} and {r.horizon for r in got} == {1, 3}
+    text = "\n".join(r.line for r in catalog.report_markdown(spark, "").orderBy("line_no").collect())
+    assert "## Edges" in text and "## Gates" in text and "online_fixed_share_vs_financial_direct_sparse" in text
