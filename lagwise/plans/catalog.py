@@ -445,8 +445,8 @@ from lagwise.operators import walkforward as W  # noqa: E402
 from lagwise.plans import experiments as E  # noqa: E402
 from lagwise.plans import reports as R  # noqa: E402
 
-SPEC = W.Window_(lags=2, min_train=600, refit_every=150, horizons=(1, 5))
-SETTINGS = E.Settings(spec=SPEC, alpha=0.02, overlay_alpha=0.02, threshold=0.02, min_snapshots=2, overlay_min_train=200, mask={"min_frequency": 0.5, "min_sign": 0.6, "min_retention": 0.25, "min_contributions": 20, "max_edges": 3})
+SPEC = W.Window_(lags=5, min_train=600, refit_every=20, horizons=(1, 5, 10, 20))
+SETTINGS = E.Settings(spec=SPEC, alpha=0.02, overlay_alpha=0.02, threshold=0.02, min_snapshots=3, overlay_min_train=200, mask={"min_frequency": 0.5, "min_sign": 0.6, "min_retention": 0.25, "min_contributions": 20, "max_edges": 3})
 CANDIDATES = list(PORTS)
 #: What v4 takes over from v3, those of it that are its experts, and its comparisons.
 V4_MODELS = ["ar", "financial_direct_sparse", "candidate_overlay_survival", "candidate_overlay_adaptive"]
@@ -546,7 +546,7 @@ def edge_snapshots_lasso(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rolling_edge_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return E.rolling_edges(model_panel(spark, d), T.SERIES, 400, 200, 2, 0.02)
+    return E.rolling_edges(model_panel(spark, d), T.SERIES + CANDIDATES, 400, 20, SPEC.lags, 0.02)
 
 
 @query()

@@ -99,3 +99,12 @@ def test_queries_of_v4_and_report_go_through_v3(spark, monkeypatch):
     assert {r.model for r in got} == {"ar", "financial_direct_sparse", "candidate_overlay_survival", "candidate_overlay_adaptive", "online_fixed_share"} and {r.horizon for r in got} == {1, 3}
     text = "\n".join(r.line for r in catalog.report_markdown(spark, "").orderBy("line_no").collect())
     assert "## Edges" in text and "## Gates" in text and "online_fixed_share_vs_financial_direct_sparse" in text
+
+
+def test_queries_are_registered_at_full_stride(spark, monkeypatch):
+    from lagwise.plans import catalog
+
+    assert (catalog.SPEC.lags, catalog.SPEC.refit_every, catalog.SPEC.horizons, catalog.SETTINGS.min_snapshots) == (5, 20, (1, 5, 10, 20), 3)
+    monkeypatch.setattr(catalog, "model_panel", lambda s, d: None)
+    monkeypatch.setattr(catalog.E, "rolling_edges", lambda panel, series, window, step, lags, alpha: (series, window, step, lags))
+    assert catalog.rolling_edge_snapshots(spark, "") == (catalog.T.SERIES + catalog.CANDIDATES, 400, 20, 5)
