@@ -52,11 +52,20 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float)
     return df.select("source", "source_size", "n", F.when(F.col("held"), F.col("cap")).otherwise(F.col("w") * free).alias("target"))
 
 
-def _ordered(docs: DataFrame, weight: Column, text: str, source: str, key: str, seed: str) -> dict[str, Column]:
-    """The columns m_key, m_source, m_size and m_order of a table of documents."""
+def _ordered(docs: DataFrame, text: str, source: str, key: str, seed: str) -> dict[str, Column]:
+    """The columns m_key, m_source, m_size and m_order (for weight 1) of a table of documents."""
     size = word_count(F.col(f"`{text}`"))
     u = uniform(F.col(f"`{key}`"), F.col(f"`{source}`"), size, seed=seed)
-    return {"m_key": F.col(f"`{key}`"), "m_source": F.col(f"`{source}`"), "m_size": size, "m_order": -F.log(u) / weight}
+    return {"m_key": F.col(f"`{key}`"), "m_source": F.col(f"`{source}`"), "m_size": size, "m_order": -F.log(u)}
+
+
+def _weighed(rows: DataFrame, quality: DataFrame | None) -> DataFrame:
+    """The rows with m_order divided by quality's weight of their key; several weights of a key: the highest."""
+    if quality is None:
+        return rows
+    q = quality.groupBy(F.col("key").alias("q_key")).agg(F.max("weight").alias("weight"))
+    weight = F.when(F.col("weight") >= 0, F.col("weight")).otherwise(1.0)
+    return rows.join(q, F.col("m_key").eqNullSafe(F.col("q_key")), "left").withColumn("m_order", F.coalesce(F.try_divide(F.col("m_order"), weight), F.lit(float("inf")))).drop("q_key", "weight")
 
 
 def _bucket(buckets: Column) -> Column:
@@ -65,10 +74,11 @@ def _bucket(buckets: Column) -> Column:
 
 
 def plan(rows: DataFrame, weights: Sequence[int], share: float, cap: float, scratch: Scratch) -> DataFrame:
-    """Per source: source, source_size, target, epochs, buckets, edge, cut.
+    """Per source: source, source_size, target, epochs, buckets, edge, cut, some.
 
     rows: m_key, m_source, m_size, m_order. A row is picked beyond its source's whole epochs if its
-    bucket comes before the edge, or is the edge and (m_order, m_key) <= cut.
+    bucket comes before the edge, or is the edge and (m_order, m_key, m_size) <= cut. Where the rest
+    ends among equal rows, only `some` of those at the cut are picked; else that is null.
     """
     goal = targets(rows.groupBy(F.col("m_source").alias("source")).agg(F.sum("m_size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -80,16 +90,55 @@ def plan(rows: DataFrame, weights: Sequence[int], share: float, cap: float, scra
     edge = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", F.col("upto").alias("u"), "words")).alias("e"))
     edge = scratch.save(edge.select(F.col("source").alias("e_source"), F.col("e.bucket").alias("edge"), (F.col("e.u") - F.col("e.words")).alias("before")), "edge")
     inside = placed.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("edge")))
-    at = F.col("before") + F.sum("m_size").over(W.partitionBy("source").orderBy("m_order", "m_key").rowsBetween(W.unboundedPreceding, 0))
-    taken = inside.withColumn("at", at).filter(F.col("at") - F.col("m_size") / F.lit(2.0) <= F.col("rest"))
-    cut = taken.groupBy(F.col("source").alias("c_source")).agg(F.max(F.struct("m_order", "m_key")).alias("cut"))
+    # Equal rows (in order, key and size) are one entry with a count, however many they are.
+    entries = inside.groupBy("source", "rest", "before", "m_order", "m_key", "m_size").agg(F.count(F.lit(1)).alias("copies"))
+    at = F.col("before") + F.coalesce(F.sum(F.col("m_size") * F.col("copies")).over(W.partitionBy("source").orderBy("m_order", "m_key", "m_size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fits = F.when(F.col("m_size") > 0, F.floor((F.col("rest") - at) / F.col("m_size") + 0.5)).when(at <= F.col("rest"), F.col("copies")).otherwise(0)
+    taken = entries.withColumn("some", F.least(fits, F.col("copies")).cast("long")).filter("some > 0")
+    cut = taken.groupBy(F.col("source").alias("c_source")).agg(F.max(F.struct("m_order", "m_key", "m_size", "some", "copies")).alias("c"))
+    cut = cut.select("c_source", F.struct("c.m_order", "c.m_key", "c.m_size").alias("cut"), F.when(F.col("c.some") < F.col("c.copies"), F.col("c.some")).alias("some"))
     out = goal.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left")
-    return scratch.save(out.select("source", "source_size", "target", "epochs", "buckets", F.coalesce("edge", "buckets").alias("edge"), "cut"), "plan")
+    return scratch.save(out.select("source", "source_size", "target", "epochs", "buckets", F.coalesce("edge", "buckets").alias("edge"), "cut", "some"), "plan")
+
+
+_AT = ("m_order", "m_key", "m_size")
 
 
 def _picked() -> Column:
-    bucket = _bucket(F.col("buckets"))
-    return (bucket < F.col("edge")) | ((bucket == F.col("edge")) & F.coalesce(F.struct("m_order", "m_key") <= F.col("cut"), F.lit(False)))
+    """Whether a row comes before the cut, or is at it; of a cut that takes some of its equal rows, none."""
+    bucket, at = _bucket(F.col("buckets")), F.struct(*_AT)
+    within = F.when(F.col("some").isNull(), at <= F.col("cut")).otherwise(at < F.col("cut"))
+    return (bucket < F.col("edge")) | ((bucket == F.col("edge")) & F.coalesce(within, F.lit(False)))
+
+
+def _divided() -> Column:
+    """Whether a row is one of several equal ones of which the plan takes some only."""
+    return F.coalesce(F.col("some").isNotNull() & (F.struct(*_AT) == F.col("cut")), F.lit(False))
+
+
+def _some_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Divided rows with picked: of each source's, which are equal, the first `some` as they are written.
+
+    The rows are written with a number that only grows within a task; the counts of the tasks tell
+    in which one the pick ends, and only that task's rows are ranked.
+    """
+    rows = scratch.save(rows.withColumn("nr", F.monotonically_increasing_id()), "divided")
+    part = F.shiftright("nr", 33)
+    counts = rows.groupBy(F.col("m_source").alias("n_source"), part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("some").alias("need"))
+    upto = F.sum("n").over(W.partitionBy("n_source").orderBy("part").rowsBetween(W.unboundedPreceding, 0))
+    ends = counts.withColumn("upto", upto).filter(F.col("upto") >= F.col("need")).groupBy("n_source").agg(F.min(F.struct("part", (F.col("need") - F.col("upto") + F.col("n")).alias("own"))).alias("e"))
+    ends = ends.select("n_source", F.col("e.part").alias("e_part"), F.col("e.own").alias("own"))
+    last = rows.join(ends, F.col("m_source").eqNullSafe(F.col("n_source")) & (part == F.col("e_part"))).select("n_source", "own", "nr")
+    last = last.withColumn("k", F.row_number().over(W.partitionBy("n_source").orderBy("nr"))).filter(F.col("k") == F.col("own")).select("n_source", F.col("nr").alias("last"))
+    last = scratch.save(last, "last")
+    return rows.join(last, F.col("m_source").eqNullSafe(F.col("n_source"))).withColumn("picked", F.col("nr") <= F.col("last")).drop("nr", "n_source", "last")
+
+
+def _with_picks(rows: DataFrame, plans: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds picked to rows that have met their source's line of the plan."""
+    if not plans.filter("some is not null").limit(1).count():
+        return rows.withColumn("picked", _picked())
+    return rows.filter(~_divided()).withColumn("picked", _picked()).unionByName(_some_of(rows.filter(_divided()), scratch))
 
 
 def mix(
@@ -114,43 +163,42 @@ def mix(
     A hot source is cut into buckets of its keys' range: sums per bucket say in which one the rest
     ends, and only that bucket of each source, some BUCKET_ROWS rows, is sorted.
     Nulls: a null source is one source, last; a null key is a key. Equal keys of the order are
-    told apart by document key; fully repeated rows are picked together. An empty table gives no
-    rows. Other columns are ignored.
+    told apart by document key. Rows equal in key, source and size are interchangeable, and of them
+    as many are picked as fit. A null, absent or negative quality weight is 1; 0 comes last. Very
+    long texts are counted whole. An empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    if quality is None:
-        docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), F.lit(1.0).alias("weight"))
-        rows = docs.select(*(c.alias(k) for k, c in _ordered(docs, F.col("weight"), "text", "source", "key", seed).items()))
-    else:
-        # Numbers only meet the weights, not texts.
-        own = docs.select(*(c.alias(k) for k, c in _ordered(docs, F.lit(1.0), text, source, key, seed).items()))
-        q = quality.groupBy(F.col("key").alias("q_key")).agg(F.max("weight").alias("weight"))
-        rows = own.join(q, F.col("m_key").eqNullSafe(F.col("q_key")), "left").withColumn("m_order", F.col("m_order") / F.coalesce(F.col("weight"), F.lit(1.0))).select("m_key", "m_source", "m_size", "m_order")
-    rows = scratch.save(rows, "rows")
+    rows = docs.select(*(c.alias(k) for k, c in _ordered(docs, text, source, key, seed).items()))
+    rows = scratch.save(_weighed(rows, quality), "rows")
     plans = plan(rows, weights, share, cap, scratch)
-    both = rows.join(plans, F.col("m_source").eqNullSafe(F.col("source"))).withColumn("picked", _picked())
+    both = _with_picks(rows.join(plans, F.col("m_source").eqNullSafe(F.col("source"))), plans, scratch)
     out = both.select(F.col("m_key").alias("key"), F.col("m_source").alias("source"), F.col("m_size").alias("size"), "source_size", "target", "epochs", "picked")
     return out.withColumn("taken", F.col("size") * (F.col("epochs") + F.when(F.col("picked"), 1).otherwise(0)))
 
 
-def text_quality(text: Column) -> Column:
-    """A weight from the text itself: 1 where words have 2 to 12 characters on average, else a half."""
-    mean = F.length(text) / F.greatest(word_count(text), F.lit(1))
-    return F.when(mean.between(3.0, 13.0), 1.0).otherwise(0.5)
-
-
-def repeat_mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = "mix") -> DataFrame:
+def repeat_mixed(
+    docs: DataFrame,
+    weights: Sequence[int] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    quality: DataFrame | None = None,
+    text: str = "text",
+    source: str = "source",
+    key: str = "doc_id",
+    seed: str = "mix",
+) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with its own columns.
 
-    Weights are text_quality's. Whether a row is picked follows from the row and its source's line
-    of the plan, so texts never move. Nulls, ties and repeated rows as in mix().
+    The plan is made from numbers alone; then whether a row is picked follows from the row, its
+    weight and its source's line of the plan. So texts only move to meet their weights, where
+    Spark does not find these small enough to send. Nulls, ties, repeated rows and clashing
+    columns as in mix().
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    found = _ordered(docs, text_quality(F.col(f"`{text}`")), text, source, key, seed)
-    plans = plan(scratch.save(docs.select(*(c.alias(k) for k, c in found.items())), "rows"), weights, share, cap, scratch)
-    plans = plans.select(*(F.col(c).alias(f"m_{c}") for c in ("source", "epochs", "edge", "buckets", "cut"))).withColumnRenamed("m_source", "p_source")
+    found = {k: c.alias(k) for k, c in _ordered(docs, text, source, key, seed).items()}
+    plans = plan(scratch.save(_weighed(docs.select(*found.values()), quality), "rows"), weights, share, cap, scratch)
     names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), *(c.alias(k) for k, c in found.items()))
-    rows = rows.join(plans, F.col("m_source").eqNullSafe(F.col("p_source"))).withColumnsRenamed({"m_edge": "edge", "m_buckets": "buckets", "m_cut": "cut"})
-    copies = (F.col("m_epochs") + F.when(_picked(), 1).otherwise(0)).cast("int")
+    rows = _weighed(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), *found.values()), quality)
+    rows = _with_picks(rows.join(plans, F.col("m_source").eqNullSafe(F.col("source"))), plans, scratch)
+    copies = (F.col("epochs") + F.when(F.col("picked"), 1).otherwise(0)).cast("int")
     return rows.select("__row", F.explode(F.array_repeat(F.lit(True), copies)).alias("__copy")).select(*(F.col(f"__row.`{c}`") for c in names))
