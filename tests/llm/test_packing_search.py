@@ -86,7 +86,7 @@ def brute(vectors, is_query, k):
     for q, x in vectors:
         if not is_query(q):
             continue
-        scores = sorted((-sum(int(a) * int(b) for a, b in zip(topk.quantise(np.array(x)), topk.quantise(np.array(y)), strict=False)), c) for c, y in vectors if c != q)
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(np.floor(np.array(x) * 256), np.floor(np.array(y) * 256), strict=False)), c) for c, y in vectors if c != q)
         want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:k])}
     return want
 
@@ -94,10 +94,11 @@ def brute(vectors, is_query, k):
 def test_top_k_is_exact_with_ties_nulls_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 32)
     monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 600)
     base = RNG.normal(0, 0.2, (230, 6)) * RNG.exponential(1, (230, 1))
     base[40:120] = base[40]
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(1000, []), (1001, [0.5]), (1002, [0.0] * 6)]
-    bad = [(2000, None, 0), (2001, [1.0, None], 0), (2002, [float("nan")] * 6, 0), (2003, [float("inf")] * 6, 0), (None, [1.0] * 6, 0)]
+    bad = [(2000, None, 0), (2001, [1.0, None], 0), (2002, [float("nan")] * 6, 0), (2003, [float("inf")] * 6, 0), (2004, [1e307, 1.0], 0), (2005, [-1e308], 0), (None, [1.0] * 6, 0)]
     df = spark.createDataFrame([(i, v, 0) for i, v in vectors] + bad, "vec_id long, embedding array<double>, score int")
     out = topk.exact_top_k(df, F.col("vec_id") % 10 == 0, 5)
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in out.collect()} == brute(vectors, lambda q: q % 10 == 0, 5)
@@ -106,6 +107,12 @@ def test_top_k_is_exact_with_ties_nulls_and_blocks(spark, monkeypatch):
     assert topk.exact_top_k(few.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_top_k_with_huge_components(spark):
+    vectors = [(0, [1e200, 1.0]), (1, [1e200, -5.0]), (2, [-1e200, 3.0]), (3, [0.0, 2.0]), (4, [1.0, 1.0])]
+    out = topk.exact_top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 4).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(out, key=lambda r: r.rank)] == [(1, 1, (1 << 63) - 1), (2, 4, (1 << 63) - 1), (3, 3, 256 * 512), (4, 2, -(1 << 63))]
+
+
 def test_top_k_with_products_beyond_doubles(spark):
     vectors = [(i, [float(2**40 + i), 3.0, -float(i)]) for i in range(5)]
     out = topk.exact_top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") < 2, 2).collect()
