@@ -1,21 +1,10 @@
 """Near-duplicate documents: an exact Jaccard join on word shingles with PartEnum signatures.
 
-Two sets of sizes a and b with similarity g or more differ in at most H = (a + b)(1 - g)/(1 + g)
-elements. A *band* covers a range of a + b, and so bounds H by k. In a band, the hashed domain is
-cut into n > k partitions; a set's signatures are what its enumerated partitions hold (subsets of
-one partition: n2 - k2 = 1). A differing element spoils one partition at most, so of the filled
-partitions of either set all but k are filled alike in the other.
-
-* A set that fills more than k partitions needs only k + 1 of them: with all signatures in one
-  global order, the smallest shared one is among the first k + 1 of both sets. The order puts
-  signatures that many sets have last, so common passages are not enumerated by sets that have
-  anything else. Which signatures count as common changes the work and never the result.
-* A set that fills k partitions or fewer adds those of another cut (another seed), until it has
-  enough; two similar sets meet at the first cut at which one of them has.
-
-Sets that meet are first compared by sketches, one byte for each of about as many partitions as a
-set has elements: partitions whose bytes differ are spoiled, and more than H spoiled ones settle it.
-Only what passes has its elements compared.
+Sets that share a signature (partenum) meet. They are first compared by sketches, half a byte for
+each of about as many ranges of the hash as a set has elements: ranges whose sums differ are
+spoiled, and more than H = (a + b)(1 - g)/(1 + g) spoiled ones settle it. Only what passes has its
+elements compared: pairs are grouped into components by their names alone, and a set goes once to
+the task that has its component.
 """
 
 from __future__ import annotations
@@ -29,158 +18,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.llm.components import connected_components
+from lagwise.llm.partenum import Signer
 from lagwise.llm.scratch import Scratch
 from lagwise.llm.textbytes import WORDS, U, chunks, frugal, mix, shingle_sets
 
-#: Ratio of the ends of a band, partitions for each element that may differ.
-BAND, SPREAD = 2.5, 2
 #: Groups up to this size are compared whole at once, larger ones along their order of sizes first.
 SMALL_GROUP = 8
 #: A signature is common if one task sees it in COMMON_LOCAL sets and all tasks in COMMON_TOTAL; at
 #: most COMMON_KEPT, the commonest, are sent to all tasks (16 bytes each).
-COMMON_LOCAL, COMMON_TOTAL, COMMON_KEPT = 2, 3, 1_000_000
+COMMON_LOCAL, COMMON_TOTAL, COMMON_KEPT = 3, 4, 1_000_000
 #: Bits of the table in which a task marks signatures it has met (a byte each); marks that coincide only
 #: make a signature look more common.
-MET_BITS = 25
+MET_BITS = 24
 #: Bytes of signatures that a task gathers before it sends them on.
 GATHER = 8 << 20
-#: Sets that a task of the comparison should hold, and pairs of a group's block.
-TASK_SETS, BLOCK = 4_000, 256
+#: Signatures of a bucket (14 bytes each), about; slices in which a task takes a bucket; signatures of an element, about.
+BUCKET_SIGNATURES, SLICES, PER_ELEMENT = 3_000_000, 8, 0.6
+#: Bytes of sets, and pairs, that a task of the comparison should hold.
+TASK_BYTES, TASK_PAIRS = 24 << 20, 100_000
+#: Sets, and bytes of sketches, of a block of an open group.
+BLOCK, BLOCK_BYTES = 1024, 2 << 20
 #: Groups that a member of an open group names.
 LISTED = 256
-#: Document ids up to which a list of them is broadcast (8 bytes each); beyond, a shuffled join.
-BROADCAST_IDS = 2_000_000
-MAX_CUTS = 64
+#: Rows of a few numbers up to which they are sent to all tasks (some 100 bytes each in a hash table, 25 MB); beyond, a shuffled join.
+SENT = 250_000
 #: Steps of a size code for each doubling of the size.
 CODE = 1024
 
 
-class Bands:
-    """Ends of the bands of a + b for a similarity, with each band's k and n."""
-
-    def __init__(self, similarity: Fraction):
-        self.g = similarity
-        self.c = (1 - similarity) / (1 + similarity)
-        end = max(1, int(1 / self.c) if self.c else 1 << 62)
-        ends = [end]
-        while ends[-1] < 1 << 40:
-            ends.append(int(ends[-1] * BAND) + 1)
-        self.ends = np.array(ends, np.int64)
-
-    def of(self, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, k, n) for a first, second ... band of the sets: each set is in every band where it may have a partner."""
-        p, q = self.g.numerator, self.g.denominator
-        low = sizes + -(-sizes * p // q)
-        high = sizes + sizes * q // p
-        first, last = np.searchsorted(self.ends, low), np.searchsorted(self.ends, high)
-        out = []
-        for step in range(int((last - first).max(initial=-1)) + 1):
-            rows = np.flatnonzero((first + step <= last) & (sizes > 0))
-            band = self.ends[first[rows] + step]
-            whole = band * self.c.numerator // self.c.denominator
-            k = np.minimum(band, high[rows]) * self.c.numerator // self.c.denominator
-            out.append((rows, k, whole * SPREAD + 1))
-        return out
-
-
-def signatures(sets: np.ndarray, at: np.ndarray, rows: np.ndarray, n: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the rows' filled partitions and how many each row has. sets ascend in each row."""
-    size = at[rows + 1] - at[rows]
-    begin = np.concatenate(([0], np.cumsum(size)))
-    take = np.arange(begin[-1]) + np.repeat(at[rows] - begin[:-1], size)
-    x, row, parts = sets[take], np.repeat(np.arange(len(rows)), size), np.repeat(n, size).astype(U)
-    if seed:
-        x = mix(x + U(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    part = ((x >> U(32)) * parts) >> U(32)
-    if seed:
-        order = np.lexsort((part, row))
-        x, row, part, parts = x[order], row[order], part[order], parts[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
-    heads = np.flatnonzero(new)
-    held = np.add.reduceat(mix(x ^ U(0xA5A5A5A5A5A5A5A5)), heads) if len(x) else x
-    where = mix(part[heads] * U(0xD6E8FEB86659FD93) + parts[heads] + U(seed << 48))
-    return mix(held + where), np.bincount(row[heads], minlength=len(rows))
-
-
-class Signer:
-    def __init__(self, similarity: Fraction, common: tuple[np.ndarray, np.ndarray] | None):
-        self.bands, self.common = Bands(similarity), common
-
-    def rank(self, sig: np.ndarray) -> np.ndarray:
-        """The global order: rare before common, then by value."""
-        out = sig >> U(8)
-        if self.common is not None and len(self.common[0]):
-            known, count = self.common
-            i = np.minimum(np.searchsorted(known, sig), len(known) - 1)
-            out |= np.where(known[i] == sig, count[i], 0).astype(U) << U(56)
-        return out
-
-    def emit(self, sets: np.ndarray, at: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures to send and the row of each; every: all those of filled partitions."""
-        sigs, owners = [], []
-        for rows, k, n in self.bands.of(np.diff(at)):
-            for seed in range(MAX_CUTS):
-                if not len(rows):
-                    break
-                sig, filled = signatures(sets, at, rows, n, seed)
-                if every:
-                    sigs.append(sig)
-                    owners.append(np.repeat(rows, filled))
-                    break
-                begin, rank, keep = np.concatenate(([0], np.cumsum(filled))), self.rank(sig), []
-                for a, b, need in zip(begin[:-1].tolist(), begin[1:].tolist(), (k + 1).tolist(), strict=True):
-                    keep.append(np.argpartition(rank[a:b], need - 1)[:need] + a if b - a > need else np.arange(a, b))
-                sigs.append(sig[np.concatenate(keep)])
-                owners.append(np.repeat(rows, [len(x) for x in keep]))
-                again = filled <= k
-                rows, k, n = rows[again], k[again], n[again]
-            else:
-                raise ValueError("a set fills too few partitions under every cut")
-        return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U), np.zeros(0, np.int64))
-
-
-def prints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each row's set; of an empty one 0."""
-    out = np.zeros(len(at) - 1, U)
+def prints(sets: np.ndarray, at: np.ndarray, clash: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of each row's set, of an empty one 0, and a second one; names in clash give way to the second."""
+    one, two = np.zeros(len(at) - 1, U), np.zeros(len(at) - 1, U)
     some = np.diff(at) > 0
     if some.any():
-        out[some] = mix(np.add.reduceat(mix(sets ^ U(0x5851F42D4C957F2D)), at[:-1][some]) + np.diff(at)[some].astype(U))
-    return out.view(np.int64)
+        n = np.diff(at)[some].astype(U)
+        one[some] = mix(np.add.reduceat(mix(sets ^ U(0x5851F42D4C957F2D)), at[:-1][some]) + n)
+        two[some] = mix(np.add.reduceat(mix(sets + U(0x2545F4914F6CDD1D)), at[:-1][some]) ^ n)
+    one, two = one.view(np.int64), two.view(np.int64)
+    return (one if clash is None or not len(clash) else np.where(np.isin(one, clash), two, one)), two
 
 
 def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Each row's size (4 bytes), then a byte per partition: the sum of its elements' lowest bytes.
+    """Each row's size (4 bytes), then half a byte per range of the hash: the sum of its elements' lowest bits.
 
-    Partitions are ranges of the hash, the smallest power of two that is half the size or more;
+    The ranges are the smallest power of two that is 0.4 times the size or more, 2 at least;
     neighbours added give the sketch with half as many.
     """
     size = np.diff(at)
-    bits = np.where(size > 2, np.ceil(np.log2(np.maximum(size, 1) / 2)), 0).astype(np.int64)
+    bits = np.maximum(1, np.ceil(np.log2(np.maximum(size, 1) * 0.4))).astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(1 << bits)))
     row = np.repeat(np.arange(len(size)), size)
-    where = begin[row] + np.where(bits[row] > 0, (sets >> (U(64) - np.maximum(bits[row], 1).astype(U))).astype(np.int64), 0)
+    where = begin[row] + (sets >> (U(64) - bits[row].astype(U))).astype(np.int64)
     out = np.zeros(begin[-1], np.uint8)
     if len(sets):
         heads = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-        out[where[heads]] = np.add.reduceat(sets.astype(np.uint8), heads, dtype=np.uint8)
-    return [np.uint32(n).tobytes() + out[a:b].tobytes() for n, a, b in zip(size, begin[:-1], begin[1:], strict=True)]
+        out[where[heads]] = np.add.reduceat(sets.astype(np.uint8) & 15, heads, dtype=np.uint8) & 15
+    out = out[0::2] | out[1::2] << 4
+    return [np.uint32(n).tobytes() + out[a:b].tobytes() for n, a, b in zip(size, begin[:-1] // 2, begin[1:] // 2, strict=True)]
+
+
+def opened(sketch: bytes) -> tuple[int, np.ndarray]:
+    """A sketch's size and its ranges, a byte each."""
+    half = np.frombuffer(sketch, np.uint8, offset=4)
+    out = np.empty(2 * len(half), np.uint8)
+    out[0::2], out[1::2] = half & 15, half >> 4
+    return int.from_bytes(sketch[:4], "little"), out
 
 
-def may_be_similar(u: np.ndarray, v: np.ndarray, c: Fraction) -> bool:
-    """False only if two sets with these sketches differ in more than c times the sum of their sizes."""
-    most = (int(u[:4].view("<u4")[0]) + int(v[:4].view("<u4")[0])) * c.numerator // c.denominator
-    u, v = u[4:], v[4:]
-    if len(u) < len(v):
-        u, v = v, u
-    while len(u) > len(v):
-        u = u[0::2] + u[1::2]
-    return np.count_nonzero(u != v) <= most
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Neighbours added until `width` are left: fewer spoiled ranges, never more."""
+    return x if len(x) == width else x.reshape(width, -1).sum(1, dtype=np.uint8) & 15
 
 
-def _folded(bodies: list[np.ndarray], width: int) -> np.ndarray:
-    """The sketches with neighbours added until each has `width` bytes: fewer spoiled partitions, never more."""
-    return np.stack([x[4:].reshape(width, -1).sum(1, dtype=np.uint8) for x in bodies])
+def may_be_similar(u: tuple[int, np.ndarray], v: tuple[int, np.ndarray], c: Fraction) -> bool:
+    """False only if two sets with these opened sketches differ in more than c times the sum of their sizes."""
+    width = min(len(u[1]), len(v[1]))
+    return np.count_nonzero(folded(u[1], width) != folded(v[1], width)) <= (u[0] + v[0]) * c.numerator // c.denominator
 
 
 def _batch(**cols) -> pa.RecordBatch:
@@ -188,20 +101,22 @@ def _batch(**cols) -> pa.RecordBatch:
 
 
 def keys(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """Rows (doc_id, n, fp, sketch) of all documents, and rows (sig, seen) of what a task saw often."""
+    """Rows (doc_id, tag, n, fp, fp2, sketch) of all documents, and rows (sig, seen) of what a task saw often."""
     signer = Signer(similarity, None)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         met, again, times = np.zeros(1 << MET_BITS, bool), [], []
+        id_type = None
 
         for batch in batches:
+            id_type = batch.column("doc_id").type
             for a, data, offsets in chunks(batch.column("text")):
                 sets, at = shingle_sets(data, offsets, size)
-                n, fp = np.diff(at), prints(sets, at)
-                ids = batch.column("doc_id").slice(a, len(n)).cast(pa.int64())
+                n, (fp, fp2) = np.diff(at), prints(sets, at)
                 none = pa.nulls(len(n), pa.int64())
-                yield _batch(doc_id=ids, n=n.astype(np.int64), fp=fp, sketch=pa.array(sketches(sets, at), pa.binary()), sig=none, seen=none)
+                yield _batch(doc_id=batch.column("doc_id").slice(a, len(n)), tag=batch.column("tag").slice(a, len(n)), n=n.astype(np.int64), fp=fp, fp2=fp2, sketch=pa.array(sketches(sets, at), pa.binary()), sig=none, seen=none)
                 fresh = [r for r, f in enumerate(fp.tolist()) if n[r] and f not in known and not known.add(f)]
                 sig, _ = signer.emit(*_only(sets, at, np.array(fresh, np.int64)), every=True)
                 sig, count = np.unique(sig, return_counts=True)
@@ -210,14 +125,17 @@ def keys(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
                 again.append(sig[more])
                 times.append(count[more])
                 met[where] = True
+        if id_type is None:
+            return
         sig, where = np.unique(np.concatenate(again or [np.zeros(0, U)]), return_inverse=True)
         seen = 1 + np.bincount(where, np.concatenate(times or [np.zeros(0)]), len(sig)).astype(np.int64)
         often = seen >= COMMON_LOCAL
         if often.any():
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield _batch(doc_id=none, n=none, fp=none, sketch=pa.nulls(len(none), pa.binary()), sig=sig[often].view(np.int64), seen=seen[often])
+            k = int(often.sum())
+            none = pa.nulls(k, pa.int64())
+            yield _batch(doc_id=pa.nulls(k, id_type), tag=none, n=none, fp=none, fp2=none, sketch=pa.nulls(k, pa.binary()), sig=sig[often].view(np.int64), seen=seen[often])
 
-    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n long, fp long, sketch binary, sig long, seen long")
+    return docs.select("doc_id", "tag", "text").mapInArrow(frugal(run), f"doc_id {kind}, tag long, n long, fp long, fp2 long, sketch binary, sig long, seen long")
 
 
 def _only(sets: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +149,7 @@ def size_codes(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1)) * CODE).astype(np.uint16)
 
 
-def dealt(docs: DataFrame, size: int, similarity: Fraction, common, buckets: int) -> DataFrame:
+def dealt(docs: DataFrame, size: int, similarity: Fraction, common, clash: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, sigs, sizes, fps): signatures of a task's documents for one bucket; copies in a task count once.
 
     A signature takes 14 bytes however many buckets there are: 4 of its own beside those that chose
@@ -256,7 +174,7 @@ def dealt(docs: DataFrame, size: int, similarity: Fraction, common, buckets: int
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
                 sets, at = shingle_sets(data, offsets, size)
-                n, fp = np.diff(at), prints(sets, at)
+                n, fp = np.diff(at), prints(sets, at, clash)[0]
                 fresh = np.array([r for r, f in enumerate(fp.tolist()) if n[r] and f not in known and not known.add(f)], np.int64)
                 sig, owner = signer.emit(*_only(sets, at, fresh))
                 sigs.append(sig)
@@ -290,14 +208,22 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
         if not sigs:
             return
         sig, fp, n = (np.concatenate(x) for x in (sigs, fps, ns))
-        del sigs, fps, ns
+        sigs.clear(), fps.clear(), ns.clear()
+        told: set[int] = set()
+        for part in range(SLICES):
+            some = np.flatnonzero((sig >> U(29)) % U(SLICES) == part)
+            if len(some):
+                yield from meet(sig[some], fp[some], n[some].astype(np.int64), told)
+
+    def meet(sig: np.ndarray, fp: np.ndarray, n: np.ndarray, told: set[int]) -> Iterator[pa.RecordBatch]:
+        """told: names of the member lists of large groups that have been sent."""
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         same = np.zeros(len(sig) + 1, bool)
         same[1:-1] = sig[1:] == sig[:-1]
         some = same[1:] | same[:-1]
         sig, order = sig[some], order[some]
-        fp, n = fp[order], n[order].astype(np.int64)
+        fp, n = fp[order], n[order]
         order = np.lexsort((fp, n, sig))
         sig, fp, n = sig[order], fp[order], n[order]
         one = np.ones(len(sig), bool)
@@ -330,6 +256,7 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
         same_members = np.add.reduceat(mix(fp.view(U)), heads)
         large = np.flatnonzero(count > SMALL_GROUP)
         large = large[np.unique(same_members[large], return_index=True)[1]]
+        large = np.array([g for g in large.tolist() if (m := int(same_members[g])) not in told and not told.add(m)], np.int64)
         for g in large.tolist():
             s = slice(heads[g], heads[g] + count[g])
             k = int(count[g])
@@ -338,32 +265,47 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
     return blobs.mapInArrow(frugal(run), "a long, b long, lead long, gid long, fp long")
 
 
-def _placed(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """(a, b, bucket) of the pairs, (fp, bucket) of what each bucket needs, and the buckets.
+def _placed(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(a, b, bucket) of pairs (a, b, lead), (fp, rep, bucket) of what each bucket needs, and the buckets.
 
-    A pair goes to a bucket by the smallest lead of its first set, and a set once to every bucket
-    where a pair needs it; near copies share leads, so a set rarely moves twice. A lead with more
-    sets than a task should hold is cut by its first sets.
+    sets: (fp, rep, bytes). The pairs of a lead share a bucket, and sets that share leads rarely
+    move twice. A lead with more pairs, or bytes of sets, than a task should hold is cut by a hash
+    of both ends, so a hub is cut as well.
     """
-    lead = pairs.groupBy("a").agg(F.min("lead").alias("lead"))
-    load = lead.groupBy("lead").agg(F.count(F.lit(1)).alias("load"))
-    lead = lead.join(load, "lead").withColumn("cut", F.pmod(F.xxhash64("a"), F.ceil(F.col("load") / F.lit(float(TASK_SETS))).cast("long")))
-    n_sets = pairs.select("a").union(pairs.select("b")).distinct().count()
-    buckets = max(1, -(-n_sets // TASK_SETS), min(n_sets, pairs.sparkSession.sparkContext.defaultParallelism))
-    placed = pairs.select("a", "b").distinct().join(lead, "a").select("a", "b", F.pmod(F.xxhash64("lead", "cut"), F.lit(buckets)).cast("int").alias("bucket"))
+    need = pairs.select("lead", F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets, "fp")
+    need = scratch.save(need, "sets")
+    load = need.groupBy("lead").agg(F.sum("bytes").alias("bytes")).join(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "lead")
+    load = load.select("lead", "bytes", F.ceil(F.greatest(F.col("bytes") / F.lit(float(TASK_BYTES)), F.col("n") / F.lit(float(TASK_PAIRS)))).cast("long").alias("cuts"))
+    load = scratch.save(load, "load")
+    total = load.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max("cuts"), F.lit(1)).alias("cuts")).first()
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    buckets = int(max(1, -(-2 * total["bytes"] // TASK_BYTES), min(total["n"] + total["cuts"] - 1, 2 * cores)))
+    # Leads without a cut are told by their name alone; the cut ones' buckets have to be found for their sets.
+    place = lambda lead, cut: F.pmod(F.xxhash64(lead, cut), F.lit(buckets)).cast("int")
+    placed = pairs.join(load.select("lead", "cuts"), "lead")
+    placed = placed.select("a", "b", "lead", "cuts", place(F.col("lead"), F.pmod(F.xxhash64("a", "b"), F.col("cuts"))).alias("bucket"))
     placed = scratch.save(placed, "placed")
-    return placed, placed.select(F.col("a").alias("fp"), "bucket").union(placed.select("b", "bucket")).distinct(), buckets
+    whole = need.join(load.filter("cuts = 1").select("lead"), "lead").select("fp", "rep", place(F.col("lead"), F.lit(0).cast("long")).alias("bucket"))
+    if total["cuts"] > 1:
+        cut = placed.filter("cuts > 1").select(F.explode(F.array("a", "b")).alias("fp"), "bucket").distinct().join(sets.select("fp", "rep"), "fp")
+        whole = whole.unionByName(cut.select("fp", "rep", "bucket"))
+    return placed.select("a", "b", "bucket"), whole.distinct(), buckets
 
 
-def _meet(held: DataFrame, placed: DataFrame, buckets: int) -> DataFrame:
-    """Rows by bucket: first its sets (b, body), then its pairs (a, b)."""
-    held = held.select("bucket", F.lit(None).cast("long").alias("a"), F.col("fp").alias("b"), "body")
-    asked = placed.select("bucket", "a", "b", F.lit(None).cast("binary").alias("body"))
-    return held.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("body").isNull(), "a", "b")
+def _sent(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The written table, marked to be sent to all tasks if it is small enough."""
+    df = scratch.save(df, name)
+    return F.broadcast(df) if df.count() <= SENT else df
 
 
-def _compared(rows: DataFrame, kind, same, spanning: bool) -> DataFrame:
-    """The pairs (a, b) that same(x, y) accepts; spanning: no more than connect what they connect."""
+def _compared(held: DataFrame, placed: DataFrame, buckets: int, read, same, spanning: bool) -> DataFrame:
+    """The pairs (a, b) of placed that same(x, y) accepts; spanning: no more than connect what they connect.
+
+    held: (bucket, fp, body). A bucket's sets come first, once each, then its pairs.
+    """
+    held = held.select("bucket", F.lit(None).cast("long").alias("a"), F.col("fp").alias("b"), "body")
+    asked = placed.select("bucket", "a", "b", F.lit(None).cast("binary").alias("body"))
+    rows = held.unionByName(asked).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", F.col("body").isNull(), "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets, root = None, {}, {}
@@ -380,7 +322,7 @@ def _compared(rows: DataFrame, kind, same, spanning: bool) -> DataFrame:
                     now, sets, root = bucket, {}, {}
                 if a is None:
                     if b not in sets:
-                        sets[b] = np.frombuffer(body.as_py(), kind)
+                        sets[b] = read(body.as_py())
                     continue
                 if spanning and find(a) == find(b):
                     continue
@@ -394,35 +336,37 @@ def _compared(rows: DataFrame, kind, same, spanning: bool) -> DataFrame:
     return rows.mapInArrow(frugal(run), "a long, b long")
 
 
-def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, similarity: Fraction, scratch: Scratch) -> DataFrame:
-    """Of pairs (a, b, lead) links (a, b) that span what the similar ones connect: sketches, then elements."""
+def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, similarity: Fraction, clash: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Of pairs (a, b, lead) links (a, b) that span what the similar ones connect: sketches, then elements.
+
+    key: (fp, rep, n, sketch), a row for each set; rep is the tag of one row of docs that has it.
+    """
     p, q, c = similarity.numerator, similarity.denominator, (1 - similarity) / (1 + similarity)
     pairs = scratch.save(pairs, "pairs")
-    placed, need, buckets = _placed(pairs, scratch)
-    body = key.join(need.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("sketch").alias("body"))
-    passed = scratch.save(_compared(_meet(body.join(need, "fp"), placed, buckets), np.uint8, lambda u, v: may_be_similar(u, v, c), False), "passed")
-    # Which set stands for a group is told by the link itself from here on: what passed is mostly similar.
-    placed, need, buckets = _placed(passed.withColumn("lead", F.least("a", "b")), scratch)
-    rep = key.join(need.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id")).getField("doc_id").alias("doc_id"))
-    rep = scratch.save(rep.select(F.col("doc_id").alias("rep")).distinct(), "rep")
-    rep = F.broadcast(rep) if rep.count() <= BROADCAST_IDS else rep
-    texts = docs.join(rep, docs["doc_id"].eqNullSafe(rep["rep"]), "left_semi").select("text")
+    placed, need, buckets = _placed(pairs, key.select("fp", "rep", F.length("sketch").alias("bytes")), scratch)
+    held = key.select("fp", F.col("sketch").alias("body")).join(_sent(need, scratch, "need"), "fp")
+    passed = scratch.save(_compared(held, placed, buckets, opened, lambda u, v: may_be_similar(u, v, c), False), "passed")
+    # What passed is mostly similar: its components are small, and each has its sets once.
+    labels = connected_components(passed, scratch)
+    passed = passed.join(labels.select(F.col("node").alias("a"), F.col("root").alias("lead")), "a")
+    placed, need, buckets = _placed(scratch.save(passed.select("a", "b", "lead"), "passed"), key.select("fp", "rep", (F.col("n") * 8).alias("bytes")), scratch)
+    need = need.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
+    texts = docs.join(_sent(need, scratch, "need"), F.col("tag") == F.col("rep")).select("buckets", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
         for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
+            buckets = batch.column("buckets")
+            for a, data, offsets in chunks(batch.column("text")):
                 sets, at = shingle_sets(data, offsets, size)
-                fp = prints(sets, at).tolist()
-                fresh = [r for r, f in enumerate(fp) if f not in known and not known.add(f)]
-                yield _batch(fp=pa.array([fp[r] for r in fresh], pa.int64()), body=pa.array([sets[at[r] : at[r + 1]].tobytes() for r in fresh], pa.binary()))
+                fp = prints(sets, at, clash)[0].tolist()
+                rows = [(b, f, sets[at[r] : at[r + 1]].tobytes()) for r, f in enumerate(fp) for b in buckets[a + r].as_py()]
+                yield _batch(bucket=pa.array([x[0] for x in rows], pa.int32()), fp=pa.array([x[1] for x in rows], pa.int64()), body=pa.array([x[2] for x in rows], pa.binary()))
 
     def similar(u: np.ndarray, v: np.ndarray) -> bool:
         either = len(np.union1d(u, v))
         return (len(u) + len(v) - either) * q >= p * either
 
-    held = texts.mapInArrow(frugal(sets_of), "fp long, body binary").join(need, "fp")
-    return _compared(_meet(held, placed, buckets), U, similar, True)
+    return _compared(texts.mapInArrow(frugal(sets_of), "bucket int, fp long, body binary"), placed, buckets, lambda x: np.frombuffer(x, U), similar, True)
 
 
 def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
@@ -439,10 +383,10 @@ def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, similarity:
     left = member.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("gid")
     member = scratch.save(member.join(left, "gid"), "members")
     of = member.groupBy("fp").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, LISTED).alias("gids"))
-    body = key.join(of, "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("gids").alias("gids"))
+    body = key.select("fp", "n", "sketch").join(_sent(of, scratch, "listed"), "fp")
     step = max(0.01, 1.0001 * float(np.log(q / p)))
     member = scratch.save(member.join(body, "fp").withColumn("cls", F.floor(F.log("n") / F.lit(step)).cast("long")), "members")
-    blocks = member.groupBy("gid", "cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("long").alias("blocks"))
+    blocks = member.groupBy("gid", "cls").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(BLOCK)), F.sum(F.length("sketch")) / F.lit(float(BLOCK_BYTES)))).cast("long").alias("blocks"))
     blocks = scratch.save(blocks, "classes")
     packed = member.join(blocks, ["gid", "cls"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     packed = scratch.save(packed.groupBy("gid", "cls", "block", "blocks").agg(F.collect_list(F.struct("fp", "n", "root", "sketch", "gids")).alias("own")), "blocks")
@@ -457,13 +401,14 @@ def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, similarity:
         for batch in batches:
             for gid, own, own2 in zip(batch.column("gid").to_pylist(), batch.column("own"), batch.column("own2"), strict=True):
                 (f, n, r, s, g), (f2, n2, r2, s2, g2) = (
-                    [*(x.values.field(i).to_numpy() for i in range(3)), [np.frombuffer(y.as_py(), np.uint8) for y in x.values.field(3)], [{z for z in y.as_py() if z < gid} for y in x.values.field(4)]] for x in (own, own2)
+                    [*(x.values.field(i).to_numpy() for i in range(3)), [opened(y.as_py()) for y in x.values.field(3)], [{z for z in y.as_py() if z < gid} for y in x.values.field(4)]] for x in (own, own2)
                 )
                 ok = (r[:, None] != r2) & (np.minimum(n[:, None], n2) * q >= np.maximum(n[:, None], n2) * p) & (f[:, None] != f2)
-                width = min(len(x) - 4 for x in (*s, *s2))
-                flat, flat2 = _folded(s, width), _folded(s2, width)
+                width = min(len(x[1]) for x in (*s, *s2))
+                flat, flat2 = (np.stack([folded(x[1], width) for x in y]) for y in (s, s2))
                 for i in np.flatnonzero(ok.any(1)):
-                    ok[i] &= np.count_nonzero(flat2 != flat[i], axis=1) <= (n[i] + n2) * c.numerator // c.denominator
+                    at = np.flatnonzero(ok[i])
+                    ok[i, at] = np.count_nonzero(flat2[at] != flat[i], axis=1) <= (n[i] + n2[at]) * c.numerator // c.denominator
                 pairs = [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True) if g[i].isdisjoint(g2[j]) and may_be_similar(s[i], s2[j], c)]
                 i, j = np.array(pairs, np.int64).reshape(-1, 2).T
                 a, b = np.minimum(f[i], f2[j]), np.maximum(f[i], f2[j])
@@ -479,61 +424,82 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), s
     `size` words, or all words as one run where there are fewer. Two rows link if |A n B| >=
     similarity * |A u B|. A null, empty or blank text has no set and links with nothing (its
     component is its own id). Equal sets are one node from the start, so copies cost nothing;
-    repeated rows and repeated ids each get their row. A null id has a null id, and a component of
-    null ids only is null. Very long texts are taken whole. Sets are compared element by element,
-    as 64-bit hashes. Other columns are ignored; an empty table gives no rows.
+    repeated rows and repeated ids each get their row. Ids may be of any type with an order; a null
+    id has a null id, and a component of null ids only is null. Very long texts are taken whole.
+    Sets are compared element by element, as 64-bit hashes, and told apart by two 64-bit names.
+    Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("tag"))
     first = scratch.save(keys(docs, size, similarity), "keys")
-    key_rows = first.filter("n is not null").select("doc_id", "n", "fp", "sketch")
+    rows = first.filter("n is not null")
     often = first.filter("sig is not null").groupBy("sig").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= COMMON_TOTAL)
     top = often.orderBy(F.desc("seen"), "sig").limit(COMMON_KEPT).toPandas()
     sig = top["sig"].to_numpy(np.int64).view(U)
     order = np.argsort(sig)
     level = np.minimum(255, np.log2(np.maximum(top["seen"].to_numpy(np.float64), 1)) * 4).astype(np.int64)
     common = spark.sparkContext.broadcast((sig[order], level[order]))
-    parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blobs = dealt(docs, size, similarity, common, parts).repartition(parts, "bucket")
+    some = rows.filter("n > 0")
+    # Names that two different sets share: none is expected below some billion sets.
+    clash = some.groupBy("fp").agg(F.min("fp2").alias("x"), F.max("fp2").alias("y"), F.count(F.lit(1)).alias("m"), F.min("tag").alias("rep"), F.first("n").alias("n"))
+    reps = scratch.save(clash, "sets")
+    clash = np.array([r["fp"] for r in reps.filter("x != y").select("fp").collect()], np.int64)
+    if len(clash):
+        # Their rows go by the second name.
+        rows = scratch.save(rows.withColumn("fp", F.when(F.col("fp").isin(clash.tolist()), F.col("fp2")).otherwise(F.col("fp"))), "renamed")
+        some = rows.filter("n > 0")
+        reps = scratch.save(some.groupBy("fp").agg(F.count(F.lit(1)).alias("m"), F.min("tag").alias("rep"), F.first("n").alias("n")), "sets")
+    elements = reps.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    buckets = int(max(2 * spark.sparkContext.defaultParallelism, -(-elements * PER_ELEMENT // BUCKET_SIGNATURES)))
+    blobs = dealt(docs, size, similarity, common, clash, buckets).repartitionById(buckets, F.col("bucket"))
     found = scratch.save(candidates(blobs, similarity), "candidates")
-    some = key_rows.filter("n > 0")
+    common.destroy()
+    key_rows = scratch.save(_of_each_set(some, found, scratch), "sketches")
     pairs = found.filter("gid is null").groupBy("a", "b").agg(F.min("lead").alias("lead"))
-    links = scratch.save(verified(pairs, some, docs, size, similarity, scratch), "links")
-    groups = scratch.save(found.filter("gid is not null").select("gid", "fp").distinct(), "groups")
+    links = scratch.save(verified(pairs, key_rows, docs, size, similarity, clash, scratch), "links")
     labels = connected_components(links, scratch)
-    if groups.limit(1).count():
-        more = scratch.save(open_pairs(groups, labels, some, similarity, scratch), "open")
+    if found.filter("gid is not null").limit(1).count():
+        groups = scratch.save(found.filter("gid is not null").select("gid", "fp").distinct(), "groups")
+        more = scratch.save(open_pairs(groups, labels, key_rows, similarity, scratch), "open")
         if more.limit(1).count():
-            again = verified(more, some, docs, size, similarity, scratch)
-            labels = connected_components(scratch.save(links.union(again), "links"), scratch)
-    placed = key_rows.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("root", "least")
-    out = placed.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+            again = verified(more, key_rows, docs, size, similarity, clash, scratch)
+            links = scratch.save(links.union(again), "links")
+            labels = connected_components(links, scratch)
+    # Only sets that copies or links have can share a component with another row.
+    placed = rows.select("doc_id", "n", "fp").join(_sent(labels.select("node", "root"), scratch, "labels"), F.col("fp") == F.col("node"), "left")
+    placed = placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
+    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("root").alias("l_root"), "least")
+    out = placed.join(_sent(least, scratch, "least"), F.col("root") == F.col("l_root"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("l_root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _of_each_set(rows: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, rep, n, sketch) of the sets that are in a pair or a group, from one of the rows that have them."""
+    ends = found.select(F.explode(F.array("a", "b", "fp")).alias("w")).filter("w is not null").distinct()
+    met = rows.select("fp", "tag", "n", "sketch").join(_sent(ends, scratch, "met"), F.col("fp") == F.col("w"), "left_semi")
+    return met.groupBy("fp").agg(F.min(F.struct("tag", "n", "sketch")).alias("r")).select("fp", F.col("r.tag").alias("rep"), "r.n", "r.sketch")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), size: int = WORDS) -> DataFrame:
     """The rows of documents less all but one of each group of near-duplicates: the smallest doc_id stays.
 
-    Rows are told apart by a hash of all they hold, so repeated or null ids do no harm; of fully
-    repeated rows one stays. Rows whose text has no words are in no group and stay.
+    Rows are told apart by their id and two 64-bit hashes of all they hold, so repeated or null ids
+    do no harm (a null id is the smallest); of fully repeated rows one stays. Rows whose text has
+    no words are in no group and stay. An empty table gives no rows; other columns stay as they are,
+    whatever their names. Rows that go are sent to all tasks while they are few; texts move beyond.
     """
     scratch = Scratch(docs.sparkSession, "deduplicate")
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    found = scratch.save(near_duplicates(docs.select(row.alias("row"), "text"), similarity, size, key="row"), "found")
-    ids = scratch.save(docs.select(row.alias("row"), "doc_id"), "ids")
-    grouped = found.filter("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id").distinct()
-    many = grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("component_id")
-    member = grouped.join(many, "component_id").join(ids.distinct(), "row")
-    first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    gone = member.join(first, "component_id").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("g_row")).distinct()
-    gone = scratch.save(gone, "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(gone, row == gone["g_row"], "left_anti")
-    again = scratch.save(ids.groupBy("row").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").join(grouped.select("row"), "row", "left_semi").select(F.col("row").alias("a_row")), "again")
-    if not again.limit(1).count():
-        return left
-    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    twice = left.join(again, row == again["a_row"], "left_semi").withColumn("__row", row).dropDuplicates(["__row"]).drop("__row")
-    return left.join(again, row == again["a_row"], "left_anti").unionByName(twice)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(F.col("doc_id").alias("d"), F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit("again"), *reversed(cols)).alias("g"))
+    found = near_duplicates(docs.select(row.alias("row"), "text"), similarity, size, key="row").filter("n_shingles > 0")
+    found = scratch.save(found.groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("m")), "found")
+    gone = found.filter("row != first").select("row.d", "row.h", "row.g")
+    whole = docs.select(F.struct(*cols).alias("__whole"), row.alias("__row"))
+    on = lambda t: F.col("__row.d").eqNullSafe(F.col("d")) & (F.col("__row.h") == F.col("h")) & (F.col("__row.g") == F.col("g"))
+    left = whole.join(_sent(gone, scratch, "gone"), on("gone"), "left_anti")
+    again = found.filter("row = first and m > 1").select("row.d", "row.h", "row.g")
+    if again.limit(1).count():
+        again = _sent(again, scratch, "again")
+        left = left.join(again, on("again"), "left_anti").unionByName(left.join(again, on("again"), "left_semi").dropDuplicates(["__row"]))
+    return left.select(*(F.col(f"__whole.`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lagwise.llm import jaccard_join as J
-from lagwise.llm import language, mixing, queries_a, queries_c, textbytes, toxicity, training_order, url_filter
+from lagwise.llm import language, mixing, partenum, queries_a, queries_c, textbytes, toxicity, training_order, url_filter
 
 RNG = np.random.default_rng(3)
 WORDS = [f"w{i}" for i in range(4000)]
@@ -101,11 +101,11 @@ def test_partenum_never_misses():
         both = len(np.intersect1d(a, b))
         if not len(b) or both * 100 < 75 * (len(a) + len(b) - both):
             continue
-        u, v = (np.frombuffer(x, np.uint8) for x in J.sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])))
+        u, v = (J.opened(x) for x in J.sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])))
         assert J.may_be_similar(u, v, Fraction(1, 7))
-        known = np.unique(RNG.choice(np.concatenate([J.Signer(Fraction(3, 4), None).emit(x, np.array([0, len(x)]), True)[0] for x in (a, b)]), 20))
+        known = np.unique(RNG.choice(np.concatenate([partenum.Signer(Fraction(3, 4), None).emit(x, np.array([0, len(x)]), True)[0] for x in (a, b)]), 20))
         for common in (None, (known, np.full(len(known), 9))):
-            one, two = (set(J.Signer(Fraction(3, 4), common).emit(x, np.array([0, len(x)]))[0].tolist()) for x in (a, b))
+            one, two = (set(partenum.Signer(Fraction(3, 4), common).emit(x, np.array([0, len(x)]))[0].tolist()) for x in (a, b))
             assert one & two
 
 
@@ -161,6 +161,16 @@ def test_mix_meets_its_targets(spark, monkeypatch):
     assert all(abs(copies[s] - target[s]) <= biggest[s] / 2 + 1e-6 for s in size)
 
 
+@pytest.mark.parametrize(("share", "n"), [(1.495, 1), (0.485, 1), (0.5, 3)])
+def test_equal_rows_are_taken_as_far_as_they_fit(spark, share, n):
+    """1,000 rows of which most are equal, in every column that orders them."""
+    docs = spark.createDataFrame([(i % n if i < 990 else None, "s", "a b c d") for i in range(1000)], "doc_id long, source string, text string").repartition(5)
+    out = mixing.mix(docs, share=share).collect()
+    assert len(out) == 1000 and all(r.taken in (0, 4, 8) for r in out)
+    assert abs(sum(r.taken for r in out) - min(share, 2.0) * 4000) <= 2
+    assert abs(4 * mixing.repeat_mixed(docs, share=share).count() - min(share, 2.0) * 4000) <= 2
+
+
 def test_heavier_documents_come_first(spark):
     docs = spark.createDataFrame([(i, "s", "a b c d") for i in range(2000)], "doc_id long, source string, text string")
     quality = spark.createDataFrame([(i, 8.0) for i in range(1000)], "key long, weight double")
