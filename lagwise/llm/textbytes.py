@@ -11,7 +11,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are hashed in one go; only a single longer text makes a larger piece.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Bytes over which prefix sums run at once.
 SLICE = 1 << 18
 WORDS = 5

@@ -9,8 +9,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; beyond, it starts anew (some 150 bytes each).
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps, some 200 bytes each: those of the last half of it, and of the half before.
+KEPT_WORDS = 160_000
 #: Texts for which splitting at white space and lower-casing first gives the same ids: Latin-1 without
 #: control characters or the marks of special tokens.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
@@ -32,22 +32,25 @@ class _Words(dict):
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.before = tokenizer, {}
 
     def __missing__(self, word: str) -> bytes:
-        # A last . or , after a letter is a token of its own.
-        if word.isalpha():  # letters only are one piece, which the model takes as it is
-            piece = word.encode().decode("latin-1").translate(_BYTES)
-            out = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
-        elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-            out = self[word[:-1]] + self[word[-1]]
-        else:
-            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= KEPT_WORDS:
+        out = self.before.get(word) or self.found(word)
+        if len(self) >= KEPT_WORDS // 2:
+            self.before = dict(self)
             self.clear()
         self[word] = out
         return out
 
+    def found(self, word: str) -> bytes:
+        # A last . or , after a letter is a token of its own.
+        if word.isalpha():  # letters only are one piece, which the model takes as it is
+            piece = word.encode().decode("latin-1").translate(_BYTES)
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 class Encoder:
     """encode() of tokenizers with add_special_tokens=False, remembering words.
