@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mixing.repeat_mixed(docs, **queries_a.MIX)
+    """Every document as often as the mix takes it, weighed by the labels' quality."""
+    return mixing.repeat_mixed(docs, quality=queries_a.quality_weights(spark, sf_dir), **queries_a.MIX)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
