@@ -62,80 +62,96 @@ def pack_packbits(row: bytes) -> bytes:
     return bytes(out)
 
 
+#: Widths of the codes that follow a clear code, and the bits before each: the table has 258 entries, and one
+#: more from the second code on.
+_LZW_WIDTH = np.array([min(12, max(9, (259 + max(0, j - 1)).bit_length())) for j in range(4096)])
+_LZW_AT = np.concatenate(([0], np.cumsum(_LZW_WIDTH)))
+
+
+def _lzw_codes(bits: np.ndarray, at: int, full: bool) -> tuple[list[int], int]:
+    """The codes from a bit on, up to the next clear or end code, the last whole one or 4,096, and the bit after them.
+
+    full: the table has been filled without a clear code, so all have 12 bits.
+    """
+    width, begin = (np.full(4096, 12), np.arange(4097) * 12) if full else (_LZW_WIDTH, _LZW_AT)
+    n = int(np.searchsorted(begin, len(bits) - at, "right")) - 1
+    width = width[:n]
+    place = at + begin[:n, None] + np.arange(12)
+    held = bits[np.minimum(place, len(bits) - 1)].astype(np.int64) << np.maximum(width[:, None] - 1 - np.arange(12), 0)
+    codes = np.where(np.arange(12) < width[:, None], held, 0).sum(1)
+    stop = np.flatnonzero((codes == 256) | (codes == 257))
+    if len(stop):
+        n = int(stop[0]) + 1
+    return codes[:n].tolist(), at + int(begin[n])
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
     """Codes of 9 to 12 bits, highest bit first; the width grows one code early."""
+    bits, at = np.unpackbits(np.frombuffer(data, np.uint8)), 0
     base = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, held, bits, last = list(base), 9, 0, 0, b""
-    out, got = [], 0
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            table, width, last = list(base), 9, b""
-            continue
-        if code == 257:
+    table, out, got, last, full = list(base), [], 0, b"", False
+    while got < size:
+        codes, at = _lzw_codes(bits, at, full)
+        if not codes:
             break
-        if not last:
-            entry = table[code]
-        else:
-            if code < len(table):
+        add, put = table.append, out.append
+        for code in codes:
+            if code == 256:
+                table, last, full = list(base), b"", False
+                break
+            if code == 257:
+                return b"".join(out)
+            if not last:
                 entry = table[code]
-            elif code == len(table):
-                entry = last + last[:1]
             else:
-                raise TiffError("LZW code beyond the table")
-            table.append(last + entry[:1])
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-        out.append(entry)
-        got += len(entry)
-        last = entry
-        if got >= size:
-            break
+                try:
+                    entry = table[code]
+                except IndexError:
+                    if code != len(table):
+                        raise TiffError("LZW code beyond the table") from None
+                    entry = last + last[:1]
+                add(last + entry[:1])
+            put(entry)
+            got += len(entry)
+            last = entry
+            if got >= size:
+                break
+        else:
+            full = True
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-    table, width, free = {bytes([i]): i for i in range(256)}, 9, 258
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-
-    put(256)
-    seen = b""
-    for i in range(len(data)):
-        longer = seen + data[i : i + 1]
-        if longer in table:
-            seen = longer
+    """Codes for lzw_decode; the table is cleared before it needs a thirteenth bit."""
+    codes, widths = [256], [9]
+    table, width, free, now = {}, 9, 258, -1
+    for byte in data:
+        if now < 0:
+            now = byte
+            continue
+        key = now << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
+            now = longer
             continue
-        put(table[seen])
-        table[longer], free = free, free + 1
-        seen = longer[-1:]
+        codes.append(now)
+        widths.append(width)
+        table[key], free, now = free, free + 1, byte
         if free == 4094:
-            put(table[seen])
-            put(256)
-            table, width, free, seen = {bytes([i]): i for i in range(256)}, 9, 258, b""
-        elif free + 1 > (1 << width):
+            codes += (now, 256)
+            widths += (width, width)
+            table, width, free, now = {}, 9, 258, -1
+        elif free + 1 > 1 << width:
             width += 1
-    if seen:
-        put(table[seen])
-        free += 1
-        if free + 1 > (1 << width) and width < 12:
-            width += 1
-    put(257)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    if now >= 0:
+        codes.append(now)
+        widths.append(width)
+        width += free + 2 > 1 << width and width < 12
+    codes.append(257)
+    widths.append(width)
+    shifts = np.array(widths)[:, None] - 1 - np.arange(12)
+    bits = np.array(codes)[:, None] >> np.maximum(shifts, 0) & 1
+    return np.packbits(bits[shifts >= 0].astype(np.uint8)).tobytes()
 
 
 def decompress(data: bytes, kind: int, size: int) -> bytes:
@@ -353,8 +369,6 @@ def store_payload(payload: bytes) -> bytes:
     pages = [pixels[i : i + PAGE_ROWS] for i in range(0, len(pixels), PAGE_ROWS)]
     pick = zlib.crc32(payload)
     kind = (LZW, PACKBITS, NONE)[pick % 8] if pick % 8 < 3 else DEFLATE
-    if kind == LZW and len(payload) > 4096:
-        kind = DEFLATE  # the LZW coder is pure Python
     return write_tiff(pages, kind, predictor=1 + (pick >> 3 & 1), tile=64 * (pick >> 4 & 1), order="<>"[pick >> 5 & 1])
 
 

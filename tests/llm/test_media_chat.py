@@ -28,6 +28,13 @@ def test_lzw_fills_its_table():
     assert tiff.lzw_decode(tiff.lzw_encode(b""), 0) == b""
 
 
+def test_lzw_without_clear_codes_after_the_table_is_full():
+    data = RNG.integers(0, 256, 9000).astype(np.uint8).tobytes()
+    bits = f"{256:09b}" + "".join(f"{b:0{min(12, max(9, (259 + max(0, j - 1)).bit_length()))}b}" for j, b in enumerate(data)) + f"{257:012b}"
+    packed = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_decode(packed, len(data)) == data
+
+
 def test_packbits_runs_and_no_ops():
     for data in (b"", b"a", b"aaaa" * 100, bytes(range(256)) * 2, b"xyyyyz" * 50):
         assert tiff.unpack_packbits(tiff.pack_packbits(data), len(data)) == data
