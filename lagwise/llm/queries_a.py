@@ -60,7 +60,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as event logs, folded into messages, rendered, and digested from the output."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], rows.schema)
-    out = chat.format_conversations(chat.reconstruct(chat.table_to_events(rows.unionByName(extra))))
+    out = chat.format_conversations(chat.reconstruct(chat.table_to_events(rows.unionByName(extra))), order=("turn", "role", "text"))
     names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 

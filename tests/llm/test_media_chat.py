@@ -88,18 +88,66 @@ def test_escapes_are_reversible():
         assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t]
 
 
+EVENTS = "conv_id long, seq long, step int, turn long, sub long, kind string, role string, text string"
+
+
 def test_events_fold(spark):
     log = [
-        (1, 0, 1, 0, "open", "user", "he"), (1, 0, 1, 2, "delta", None, "o"), (1, 0, 1, 1, "delta", None, "ll"),
-        (1, 1, 1, 0, "open", "assistant", ""), (1, 1, 1, 1, "delta", None, "bad"), (1, 1, 1, 5, "regenerate", None, None), (1, 1, 1, 6, "delta", None, "good"),
-        (1, 2, 1, 0, "open", "user", "gone"), (1, 2, 1, 9, "delete", None, None),
-        (1, 3, 1, 0, "open", "user", "a"), (1, 3, 1, 3, "edit", None, "b"), (1, 3, 1, 4, "what", "x", "?"), (1, 3, 1, None, None, None, None),
-        (None, None, None, None, "open", None, None),
+        (1, 0, 0, 0, 1, "open", "user", "he"), (1, 0, 2, 0, 1, "delta", None, "o"), (1, 0, 1, 0, 1, "delta", None, "ll"),
+        (1, 1, 0, 1, 1, "open", "assistant", ""), (1, 1, 1, 1, 1, "delta", None, "bad"), (1, 2, 0, 2, 1, "open", "user", "discarded"), (1, 3, 0, 1, 1, "regenerate", None, None), (1, 4, 0, 1, 1, "delta", None, "good"),
+        (1, 5, 0, 2, 1, "open", "user", "gone"), (1, 6, 0, 2, 1, "delete", None, None),
+        (1, 7, 0, 3, 1, "open", "user", "a"), (1, 8, 0, 4, 1, "open", "assistant", "too early"), (1, 9, 0, 3, 1, "edit", None, "b"), (1, 9, 1, 3, 1, "what", "x", "?"), (1, None, None, 3, 1, None, None, None),
+        (None, None, None, None, None, "open", None, None),
     ]
-    schema = "conv_id long, turn long, sub int, seq long, kind string, role string, text string"
-    out = chat.reconstruct(spark.createDataFrame(log, schema)).collect()
+    out = chat.reconstruct(spark.createDataFrame([(*x, "clash") for x in log], EVENTS + ", edge string")).collect()
     assert sorted((r.conv_id or 0, r.turn or 0, r.role, r.text) for r in out) == [(0, 0, "", ""), (1, 0, "user", "hello"), (1, 1, "assistant", "good"), (1, 3, "user", "b")]
-    assert chat.reconstruct(spark.createDataFrame([], schema)).count() == 0
+    assert chat.reconstruct(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+def plain_fold(log):
+    """One conversation after another, one event after another."""
+    rank = lambda x: (x is not None, x if x is not None else 0)
+    out = {}
+    for c, _, _, turn, sub, kind, role, text in sorted(log, key=lambda e: [rank(x) if not isinstance(x, str) else (True, x) for x in e]):
+        own = out.setdefault(c, {})
+        if kind == "delete" and (turn, sub) not in own:
+            own[turn, sub] = ["", "", True]
+        if kind not in ("open", "delta", "edit", "regenerate", "delete"):
+            continue
+        m = own.setdefault((turn, sub), ["", "", False])
+        m[0] = m[0] if role is None else role
+        if kind == "delta":
+            m[1] += text or ""
+        elif kind == "delete":
+            m[2] = True
+        else:
+            m[1] = "" if kind == "regenerate" else text or ""
+            if kind == "open":
+                m[2] = False
+            else:
+                for k in [k for k in own if rank(k[0]) > rank(turn)]:
+                    del own[k]
+    return sorted((c or -1, t if t is not None else -1, s, r, x) for c, own in out.items() for (t, s), (r, x, gone) in own.items() if not gone)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_runs_of_a_hot_conversation_join(spark, parts):
+    """A log of which one conversation has most, cut into many ranges, against the plain fold."""
+    log = []
+    for i in range(900):
+        c = 5 if RNG.random() < 0.7 else int(RNG.integers(0, 12))
+        kind = str(RNG.choice(["open", "delta", "delta", "delta", "edit", "regenerate", "delete", "other"], p=[0.25, 0.2, 0.2, 0.15, 0.05, 0.05, 0.05, 0.05]))
+        turn = None if RNG.random() < 0.02 else int(RNG.integers(0, 9))
+        log.append((c, int(i // 3), int(RNG.integers(0, 3)), turn, int(RNG.integers(0, 2)), kind, None if RNG.random() < 0.5 else str(RNG.choice(["user", "assistant"])), None if RNG.random() < 0.1 else f"<{i}>"))
+    log += log[:20]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = chat.reconstruct(spark.createDataFrame(log, EVENTS).repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.conv_id or -1, r.turn if r.turn is not None else -1, r["sub"], r.role, r.text) for r in out) == plain_fold(log)
 
 
 def test_query_eight_against_plain_python(spark, tmp_path):
