@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from lagwise.llm.scratch import Scratch
 from lagwise.llm.textbytes import U, chunks, frugal, spans, word_hashes
 
-#: Bits of a term's bucket, terms that the machine sees, its factors, bytes of a word's beginning that are a term too.
+#: Bits of a term's bucket, terms that are taken for what they tell alone, factors, bytes of a word's beginning that are a term too.
 BITS, TERMS, FACTORS, STEM = 20, 768, 8, 5
-#: Labelled rows that it learns from, at most: those first by a hash of the id.
-SAMPLE = 24_000
-#: Texts that a term must be in.
-LEAST_TEXTS = 5
+#: Labelled rows that it learns from, at most (those first by a hash of the id), and terms in them, about.
+SAMPLE, SAMPLE_TERMS = 24_000, 16_000_000
+#: Texts that a term, or a pair of terms, must be in.
+LEAST_TEXTS, LEAST_PAIR = 5, 12
+#: Pairs that are taken for what they tell together, and standard errors by which their rate must leave that of both terms.
+PAIRS, PAIR_Z = 128, 6.0
+#: For pairs: texts with up to PAIR_TERMS candidate terms, as many as give PAIR_WORK meetings; share of the texts that a candidate has at most.
+PAIR_TERMS, PAIR_WORK, PAIR_SHARE = 1_024, 120_000_000, 0.6
 THRESHOLD = 0.3
 #: Everything in ASCII but letters and digits parts words here.
 APART = np.ones(256, bool)
@@ -51,12 +55,18 @@ class Machine:
         return self.bias + x @ self.weights + ((x @ self.factors) ** 2 - (x * x) @ self.factors**2).sum(1) / 2
 
 
-def fit(x: np.ndarray, y: np.ndarray, terms: np.ndarray, epochs: int = 25, rate: float = 0.02, decay: float = 2e-4, seed: int = 7) -> Machine:
-    """Logistic loss by Adam over shuffled batches; the same rows give the same machine."""
+def fit(x: np.ndarray, y: np.ndarray, terms: np.ndarray, pairs: np.ndarray | None = None, epochs: int = 25, rate: float = 0.02, decay: float = 2e-4, seed: int = 7) -> Machine:
+    """Logistic loss by Adam over shuffled batches; the same rows give the same machine.
+
+    pairs: rows (i, j, sign) of columns that begin with a factor in common, as strongly as singles are learned.
+    """
     rng = np.random.default_rng(seed)
     n, f = x.shape
     base = (y.sum() + 0.5) / (n + 5)
     p = [np.array([np.log(base / (1 - base))]), np.zeros(f), rng.normal(0, 0.02, (f, FACTORS))]
+    for r, (i, j, sign) in enumerate(pairs if pairs is not None else ()):
+        p[2][i, r % FACTORS] += 0.5
+        p[2][j, r % FACTORS] += 0.5 * sign
     m, s, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     for epoch in range(epochs if f else 0):
         order = rng.permutation(n)
@@ -75,14 +85,72 @@ def fit(x: np.ndarray, y: np.ndarray, terms: np.ndarray, epochs: int = 25, rate:
     return Machine(terms, float(p[0][0]), p[1], p[2])
 
 
+def telling_terms(idx: np.ndarray, y_of: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """The TERMS buckets with the largest chi-square against the label, ascending."""
+    a, b = np.bincount(idx, minlength=1 << BITS).astype(np.float64), np.bincount(idx, y_of, 1 << BITS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # 2 x 2 table of term and label: chi-square = n (b n - a pos)^2 / (a (n - a) pos (n - pos)).
+        chi = n * (b * n - a * pos) ** 2 / (a * (n - a) * pos * (n - pos))
+    found = np.flatnonzero((a >= LEAST_TEXTS) & np.isfinite(chi))
+    return np.sort(found[np.lexsort((found, -chi[found]))][:TERMS])
+
+
+def telling_pairs(idx: np.ndarray, at: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, bucket, sign) of pairs whose label rate is beyond that of either term, the most telling first.
+
+    All pairs of candidate terms are counted, whatever the terms tell alone: a pair's rate is set
+    against the higher rate of its two terms (sign 1), or the lower one (-1).
+    """
+    n = len(y)
+    df = np.bincount(idx, minlength=1 << BITS)
+    own = np.full(1 << BITS, -1)
+    names = np.flatnonzero((df >= LEAST_PAIR) & (df <= PAIR_SHARE * n))
+    own[names] = np.arange(len(names))
+    keep = own[idx] >= 0
+    begin = np.concatenate(([0], np.cumsum(keep)))[at]
+    term, size = own[idx[keep]], np.diff(begin)
+    rows = np.flatnonzero((size > 1) & (size <= PAIR_TERMS))
+    rows = rows[: np.searchsorted(np.cumsum(size[rows].astype(np.int64) ** 2), PAIR_WORK) + 1]
+    if not len(rows):
+        return []
+    row = np.repeat(rows, size[rows])
+    place = np.concatenate([np.arange(begin[r], begin[r + 1]) for r in rows.tolist()])
+    order = np.argsort(term[place], kind="stable")
+    place, row = place[order], row[order]
+    end, y = begin[row + 1], y.astype(np.float64)
+    a1, b1 = np.bincount(term[place], minlength=len(names)), np.bincount(term[place], y[row], len(names))
+    base = y[rows].mean()
+    rate = (b1 + base) / (a1 + 1)
+    heads = np.searchsorted(term[place], np.arange(len(names) + 1))
+    found = []
+    for i in np.flatnonzero(np.diff(heads) >= LEAST_PAIR).tolist():
+        s = slice(heads[i], heads[i + 1])
+        left = end[s] - place[s] - 1
+        run = np.concatenate(([0], np.cumsum(left)))
+        other = term[np.arange(run[-1]) + np.repeat(place[s] + 1 - run[:-1], left)]
+        a = np.bincount(other, minlength=len(names))
+        b = np.bincount(other, np.repeat(y[row[s]], left), len(names))
+        j = np.flatnonzero(a >= LEAST_PAIR)
+        high, low = np.maximum(rate[i], rate[j]), np.minimum(rate[i], rate[j])
+        up, down = ((b[j] - a[j] * r) / np.sqrt(np.maximum(a[j] * r * (1 - r), 0.25)) for r in (high, low))
+        for z, sign in ((up, 1), (-down, -1)):
+            found += [(-float(z[k]), int(names[i]), int(names[j[k]]), sign) for k in np.flatnonzero(z >= PAIR_Z).tolist()]
+    return [x[1:] for x in sorted(found)[:PAIRS]]
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Machine:
     """The machine for the labelled rows: at most `sample` of them, first by a hash of the id.
 
-    Terms are the TERMS with the largest chi-square against the label, counted over the sample's
-    whole texts by grouped aggregation; the driver gets those and, for each sampled text, which of
-    them it has. Several labels of an id: the highest; null labels and ids are left out. Several
-    texts of an id are learned from each on its own. No labels: a machine with no terms, whose
-    score is 0.1.
+    Every one of the 2^20 buckets is weighed over the sample's whole texts, alone and in pairs: the
+    machine sees the TERMS with the largest chi-square against the label, and the terms of up to
+    PAIRS pairs that tell what neither of their terms does. Where the sample's texts have more than
+    SAMPLE_TERMS terms in all, rows are taken in the order of a hash up to that. The driver gets a
+    sampled text's terms as numbers (64 MB at most) and learns from them.
+
+    Several labels of an id: the highest; null labels and ids are left out. Several texts of an id
+    are learned from each on its own. Ties, of chi-square or z, go to the smaller bucket. Null and
+    empty texts have no terms. Repeated rows count as often as they come. Other columns are ignored,
+    whatever their names. No labels: a machine with no terms, whose score is 0.1.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -99,27 +167,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
                 held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(both & (1 << BITS) - 1, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, len(offsets) - 1), held], names=["y", "terms"])
 
-    rows = scratch.save(texts.mapInArrow(frugal(run), "y int, terms array<int>"), "terms")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
-    n, pos = float(total["n"]), float(total["pos"])
-    seen = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("a"), F.sum("y").cast("double").alias("b"))
-    # 2 x 2 table of term and label: chi-square = n (b n - a pos)^2 / (a (n - a) pos (n - pos)).
-    chi = n * F.pow(F.col("b") * n - F.col("a") * pos, 2) / F.nullif(F.col("a") * (n - F.col("a")) * pos * (n - pos), F.lit(0.0))
-    top = seen.filter(F.col("a") >= LEAST_TEXTS).select("term", chi.alias("chi")).filter("chi is not null").orderBy(F.desc("chi"), "term").limit(TERMS)
-    terms = np.sort(np.array([r["term"] for r in top.collect()], np.int64))
-    picked = F.array_intersect("terms", F.array(*(F.lit(int(t)) for t in terms))) if len(terms) else F.array().cast("array<int>")
-    got = rows.select("y", picked.alias("t")).orderBy("y", "t").toPandas()
-    x = np.zeros((len(got), len(terms)), np.float32)
-    for i, t in enumerate(got["t"]):
-        x[i, np.searchsorted(terms, np.asarray(t, np.int64))] = 1
-    return fit(x, got["y"].to_numpy(np.float64), terms)
+    rows = scratch.save(texts.mapInArrow(frugal(run), "y int, terms array<int>").withColumn("h", F.xxhash64("terms", "y")), "terms")
+    sizes = rows.select("h", F.size("terms").alias("m")).toPandas().sort_values("h")
+    upto = sizes["h"][sizes["m"].cumsum() <= SAMPLE_TERMS].max() if len(sizes) else 0
+    got = rows.filter(F.col("h") <= F.lit(int(upto) if upto == upto else 0)).select("y", "terms", "h").toArrow().combine_chunks().sort_by([("h", "ascending")])
+    col = got.column("terms").combine_chunks()
+    idx, at = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    y = got.column("y").to_numpy().astype(np.float64)
+    single = telling_terms(idx, np.repeat(y, np.diff(at)), len(y), int(y.sum()))
+    pairs = telling_pairs(idx, at, y)
+    terms = np.unique(np.concatenate((single, np.array([t for i, j, _ in pairs for t in (i, j)], np.int64))))
+    place = np.full(1 << BITS, -1)
+    place[terms] = np.arange(len(terms))
+    x = np.zeros((len(y), len(terms)), np.float32)
+    column, row = place[idx], np.repeat(np.arange(len(y)), np.diff(at))
+    x[row[column >= 0], column[column >= 0]] = 1
+    return fit(x, y, terms, np.array([(place[i], place[j], sign) for i, j, sign in pairs]).reshape(-1, 3))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= threshold) to every row, from its whole text alone.
 
-    No shuffle. Null and empty texts get the machine's score of no terms. Other columns stay; one
-    named score or predicted is replaced. Repeated rows score alike. An empty table gives no rows.
+    No shuffle. Null and empty texts get the machine's score of no terms, and very long ones are
+    read whole. Other columns stay; one named score or predicted is replaced. Repeated rows score
+    alike, and a score equal to the threshold is predicted 1. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     ddl = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["score double, predicted int"])
