@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import plain
 import pytest
 
 from lagwise.llm import jaccard_join as J
@@ -13,16 +14,6 @@ RNG = np.random.default_rng(3)
 WORDS = [f"w{i}" for i in range(4000)]
 
 
-def words_of(text):
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    return re.findall(r"[^\x20\x09-\x0D]+", low)
-
-
-def shingles_of(text):
-    w = words_of(text)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-
-
 def test_shingles_are_those_of_plain_python():
     texts = ["", None, " \n", "one", "One two", "a b c d e", "A B c d e f", "é ü\u00a0x\u3000y z  q\tr", "x " * 3000, "long" * 9000 + " b c d e f"] + [" ".join(RNG.choice(WORDS, int(n))) for n in RNG.integers(0, 60, 50)]
     seen, back = {}, {}
@@ -31,7 +22,7 @@ def test_shingles_are_those_of_plain_python():
         assert first == at
         sets, begin = textbytes.shingle_sets(data, offsets)
         for r in range(len(offsets) - 1):
-            plain = shingles_of(texts[at + r])
+            plain = plain.shingles_of(texts[at + r])
             own = sets[begin[r] : begin[r + 1]].tolist()
             assert len(own) == len(plain) and own == sorted(set(own))
             for s in plain:
@@ -41,25 +32,6 @@ def test_shingles_are_those_of_plain_python():
     assert at == len(texts) and all(seen.values())  # a shingle has its hash wherever it stands
 
 
-def brute_components(rows):
-    sets = {i: shingles_of(t) for i, t in rows}
-    root = {i: i for i, _ in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {(i, len(sets[i]), find(i)) for i in ids}
-
-
 def corpus():
     passage = list(RNG.choice(WORDS, 60))
     texts = [None, "", "  \n ", "one", "one", "ONE two three four", "one two three four"]
@@ -87,7 +59,7 @@ def test_join_finds_every_link(spark, monkeypatch, group):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, n long").repartition(3)
     got = {tuple(r) for r in J.near_duplicates(docs).collect()}
-    assert got == brute_components(rows)
+    assert got == plain.brute_components(rows)
 
 
 def test_partenum_never_misses():
@@ -118,25 +90,6 @@ def test_join_of_odd_tables(spark):
     assert sorted(r.doc_id for r in J.drop_near_duplicates(full).collect()) == [1, 4, 4, 5]
 
 
-def brute_mix(rows, weights, share, cap):
-    size = defaultdict(int)
-    for _, s, t in rows:
-        size[s] += len(words_of(t))
-    names = sorted(size, key=lambda s: (s is None, s or ""))
-    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, target, free = share * sum(size.values()), {}, set(names)
-    while free:
-        level = left / sum(w[s] for s in free)
-        over = {s for s in free if level * w[s] >= cap * size[s]}
-        if not over:
-            target |= {s: level * w[s] for s in free}
-            break
-        target |= {s: cap * size[s] for s in over}
-        left -= sum(target[s] for s in over)
-        free -= over
-    return size, target
-
-
 def test_mix_meets_its_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
     rows = [(i, ["a", "b", "Z", None, "é"][int(k)], " ".join(RNG.choice(WORDS, int(n)))) for i, (k, n) in enumerate(zip(RNG.choice(5, 400, p=[0.6, 0.2, 0.1, 0.05, 0.05]), RNG.integers(0, 50, 400), strict=True))] + [(400, "a", None), (None, "b", "x y"), (401, "empty", "")]
@@ -144,7 +97,7 @@ def test_mix_meets_its_targets(spark, monkeypatch):
     quality = spark.createDataFrame([(i, 2.0) for i in range(0, 400, 3)] + [(0, 1.0)], "key long, weight double")
     one, two = (sorted(map(str, mixing.mix(docs.repartition(n), quality=quality).collect())) for n in (4, 7))
     assert one == two
-    size, target = brute_mix(rows, (3, 1, 2), 1.5, 2.0)
+    size, target = plain.mix_targets(rows, (3, 1, 2), 1.5, 2.0)
     taken, biggest = defaultdict(int), defaultdict(int)
     out = mixing.mix(docs, quality=quality).collect()
     assert len(out) == len(rows)
@@ -156,7 +109,7 @@ def test_mix_meets_its_targets(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
     copies = defaultdict(int)
     for r in mixing.repeat_mixed(docs).collect():
-        copies[r.source] += len(words_of(r.text))
+        copies[r.source] += len(plain.words_of(r.text))
         assert r["size"] == "clash"
     assert all(abs(copies[s] - target[s]) <= biggest[s] / 2 + 1e-6 for s in size)
 
