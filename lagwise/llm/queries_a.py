@@ -127,9 +127,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op10_sql() -> str:
-    edge = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
-    strict = " OR ".join(edge(t) for t in url_filter.STRICT)
-    soft = " + ".join(f"{edge(t)}::INT" for t in url_filter.SOFT)
+    weight = " + ".join(f"{w} * regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t, w in url_filter.listed_terms().items())
     fits = [f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}') THEN " for r in sorted(RULES, key=lambda r: -len(r.label))]
     label = " ".join(f + f"'{r.label}'" for f, r in zip(fits, sorted(RULES, key=lambda r: -len(r.label)), strict=True))
     verdict = " ".join(f + f"'{r.verdict}'" for f, r in zip(fits, sorted(RULES, key=lambda r: -len(r.label)), strict=True))
@@ -139,7 +137,7 @@ h AS (SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r)
 SELECT page_id, host, path, CASE {label} END AS rule,
-  CASE {verdict} WHEN {strict} OR ({soft}) >= {url_filter.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict
+  CASE {verdict} WHEN {weight} >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END AS verdict
 FROM h
 """
 

@@ -134,7 +134,7 @@ def test_heavier_documents_come_first(spark):
 def test_urls(spark):
     rows = [
         (1, "https://Example.COM/en/x?y", "example.com", "/en/x", "example.com/en/", "block"), (2, "http://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"), (3, "http://a.net/es/1#t", "a.net", "/es/1", "net/es/", "block"),
-        (4, "http://xcom/", "xcom", "/", None, "allow"), (5, "http://a.org/best-casino?", "a.org", "/best-casino", None, "block"), (6, "http://a.org/casinos", "a.org", "/casinos", None, "allow"), (7, "http://a.org/win/win", "a.org", "/win/win", None, "allow"),
+        (4, "http://xcom/", "xcom", "/", None, "allow"), (5, "http://a.org/best-casino?", "a.org", "/best-casino", None, "block"), (6, "http://a.org/casinox", "a.org", "/casinox", None, "allow"), (7, "http://a.org/win/win", "a.org", "/win/win", None, "allow"),
         (8, "http://a.org/win/free", "a.org", "/win/free", None, "block"), (9, None, "", "", None, "allow"), (10, "", "", "", None, "allow"), (11, "casino", "", "", None, "block"), (12, "http://b.com/casino", "b.com", "/casino", "com/", "allow"),
         (13, "x://y://z/q", "y:", "//z/q", None, "allow"), (14, "http://h?" + "a" * 100_000 + "&porn", "h", "", None, "block"), (14, "http://h?" + "a" * 100_000 + "&porn", "h", "", None, "block"),
     ]
@@ -143,9 +143,30 @@ def test_urls(spark):
     assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in out} == {(r[0], *r[2:]) for r in rows}
     assert len(out) == len(rows) and url_filter.judge_urls(df.limit(0), url_filter.Vocabulary()).count() == 0
     for t in ("ab", "xab", "ab-cd", "abcd", "-ab-", "", None):
-        a = url_filter.automaton({"ab": True, "cd": False})
-        want = [len({m for m in re.findall(r"(?<![a-z0-9])(ab|cd)(?![a-z0-9])", t or "") if (m == "ab") == strict}) for strict in (True, False)]
-        assert list(url_filter.term_hits(a, t)) == want
+        a = url_filter.automaton({"ab": 2, "cd": 1})
+        strict, soft = ({m for m in re.findall(r"(?<![a-z0-9])(ab|cd)(?![a-z0-9])", t or "") if (m == "ab") == kind} for kind in (True, False))
+        assert url_filter.term_hits(a, t) == (len(strict), len(soft), 2 * len(strict) + len(soft))
+
+
+def test_vocabulary_and_rules_from_tables(spark, monkeypatch):
+    terms = spark.createDataFrame([("Spam", 2), ("meh", 1), ("meh", None), (None, 3), ("so", 1), ("what", None)], "term string, weight int")
+    rules = spark.createDataFrame([(f"h{i}.org", f"/{i % 7}", "block" if i % 2 else "allow") for i in range(3000)] + [(None, "/", "block"), ("org", None, "block")], "host string, path string, verdict string")
+    v = url_filter.Vocabulary.of(terms, rules)
+    urls = [f"http://a.h{i}.org/{j}/spam" for i in range(0, 3000, 251) for j in range(7)] + ["http://x.net/meh/so", "http://x.net/meh/meh", "http://x.net/what-meh", "x/SPAM"]
+    plain = {}
+    for u in urls:
+        host, _, path = u.partition("://")[2].partition("/")
+        path = "/" + path if "://" in u else ""
+        fits = [r for r in v.rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.label), r.verdict == "block"), default=None)
+        found = set(re.findall(r"(?<![a-z0-9])(spam|meh|so|what)(?![a-z0-9])", u.lower()))
+        plain[u] = (best and best.label, best.verdict if best else "block" if sum(v.terms[t] for t in found) >= 2 else "allow")
+    out = url_filter.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), v).collect()
+    assert {r.url: (r.rule, r.verdict) for r in out} == plain and {x for _, x in plain.values()} == {"allow", "block"}
+    monkeypatch.setattr(url_filter, "MOST", 10)
+    with pytest.raises(ValueError):
+        url_filter.Vocabulary.of(rules=rules)
+    assert len(url_filter.listed_terms()) > 100
 
 
 def test_machine_learns_what_only_pairs_say():
