@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lagwise.llm.scratch import Scratch
@@ -19,11 +19,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.save(both.union(both.select("b", "a")).distinct(), "links")
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("root").alias("far"))
-        found = scratch.save(step.join(jump, "to").select("node", F.least("to", "far").alias("root"), (F.least("to", "far") != F.col("root")).alias("moved")), "labels")
-        labels = found.select("node", "root")
-        if not found.filter("moved").limit(1).count():
+        # A node takes the smallest label among its neighbours' and its own label's: one exchange of both.
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), F.col("root").alias("to"))
+        jump = labels.select("node", F.col("root").alias("mid")).join(labels.select(F.col("node").alias("mid"), F.col("root").alias("to")), "mid").select("node", "to")
+        moved = Observation()
+        step = near.select("node", "to", F.lit(None).cast("long").alias("old")).unionByName(jump.select("node", "to", F.lit(None).cast("long").alias("old"))).unionByName(labels.select("node", F.col("root").alias("to"), F.col("root").alias("old")))
+        step = step.groupBy("node").agg(F.min("to").alias("root"), F.max("old").alias("old")).observe(moved, F.count_if(F.col("root") != F.col("old")).alias("n"))
+        before, labels = labels, scratch.save(step.select("node", "root", "old"), "labels").select("node", "root")
+        scratch.drop(before)
+        if not moved.get["n"]:
             scratch.drop(both)
             return labels

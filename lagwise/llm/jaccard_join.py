@@ -4,7 +4,8 @@ Sets that share a signature (partenum) meet. They are first compared by sketches
 each of about as many ranges of the hash as a set has elements: ranges whose sums differ are
 spoiled, and more than H = (a + b)(1 - g)/(1 + g) spoiled ones settle it. Only what passes has its
 elements compared: pairs are grouped into components by their names alone, and a set goes once to
-the task that has its component.
+the task that has its component. A task tells which sets its links connect, each set with the
+smallest one, so that few rounds join the components of all tasks.
 """
 
 from __future__ import annotations
@@ -299,8 +300,9 @@ def _sent(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def _compared(held: DataFrame, placed: DataFrame, buckets: int, read, same, spanning: bool) -> DataFrame:
-    """The pairs (a, b) of placed that same(x, y) accepts; spanning: no more than connect what they connect.
+    """The pairs (a, b, lead) of placed that same(x, y) accepts; lead is the smallest set that they reach in their bucket.
 
+    spanning: each set with its lead instead, and no comparison of what is connected already.
     held: (bucket, fp, body). A bucket's sets come first, once each, then its pairs.
     """
     held = held.select("bucket", F.lit(None).cast("long").alias("a"), F.col("fp").alias("b"), "body")
@@ -308,18 +310,23 @@ def _compared(held: DataFrame, placed: DataFrame, buckets: int, read, same, span
     rows = held.unionByName(asked).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", F.col("body").isNull(), "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, root = None, {}, {}
+        now, sets, root, found = None, {}, {}, []
 
         def find(x: int) -> int:
             while root.setdefault(x, x) != x:
                 root[x] = x = root[root[x]]
             return x
 
+        def ended() -> pa.RecordBatch:
+            out = [(find(x), x, find(x)) for x in root if find(x) != x] if spanning else [(a, b, find(a)) for a, b in found]
+            return _batch(**{k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("a", "b", "lead"))})
+
         for batch in batches:
-            left, right = [], []
             for bucket, a, b, body in zip(batch.column("bucket").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("body"), strict=True):
                 if bucket != now:
-                    now, sets, root = bucket, {}, {}
+                    if root:
+                        yield ended()
+                    now, sets, root, found = bucket, {}, {}, []
                 if a is None:
                     if b not in sets:
                         sets[b] = read(body.as_py())
@@ -327,13 +334,13 @@ def _compared(held: DataFrame, placed: DataFrame, buckets: int, read, same, span
                 if spanning and find(a) == find(b):
                     continue
                 if same(sets[a], sets[b]):
-                    if spanning:
-                        root[find(a)] = find(b)
-                    left.append(a)
-                    right.append(b)
-            yield _batch(a=pa.array(left, pa.int64()), b=pa.array(right, pa.int64()))
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+                    if not spanning:
+                        found.append((a, b))
+        yield ended()
 
-    return rows.mapInArrow(frugal(run), "a long, b long")
+    return rows.mapInArrow(frugal(run), "a long, b long, lead long")
 
 
 def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, similarity: Fraction, clash: np.ndarray, scratch: Scratch) -> DataFrame:
@@ -346,10 +353,8 @@ def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, simil
     placed, need, buckets = _placed(pairs, key.select("fp", "rep", F.length("sketch").alias("bytes")), scratch)
     held = key.select("fp", F.col("sketch").alias("body")).join(_sent(need, scratch, "need"), "fp")
     passed = scratch.save(_compared(held, placed, buckets, opened, lambda u, v: may_be_similar(u, v, c), False), "passed")
-    # What passed is mostly similar: its components are small, and each has its sets once.
-    labels = connected_components(passed, scratch)
-    passed = passed.join(labels.select(F.col("node").alias("a"), F.col("root").alias("lead")), "a")
-    placed, need, buckets = _placed(scratch.save(passed.select("a", "b", "lead"), "passed"), key.select("fp", "rep", (F.col("n") * 8).alias("bytes")), scratch)
+    # What passed is mostly similar: components are small, and those of a bucket have their sets once.
+    placed, need, buckets = _placed(passed, key.select("fp", "rep", (F.col("n") * 8).alias("bytes")), scratch)
     need = need.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
     texts = docs.join(_sent(need, scratch, "need"), F.col("tag") == F.col("rep")).select("buckets", "text")
 
@@ -458,20 +463,22 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), s
     key_rows = scratch.save(_of_each_set(some, found, scratch), "sketches")
     pairs = found.filter("gid is null").groupBy("a", "b").agg(F.min("lead").alias("lead"))
     links = scratch.save(verified(pairs, key_rows, docs, size, similarity, clash, scratch), "links")
-    labels = connected_components(links, scratch)
+    labels = connected_components(links.select("a", "b"), scratch)
     if found.filter("gid is not null").limit(1).count():
         groups = scratch.save(found.filter("gid is not null").select("gid", "fp").distinct(), "groups")
         more = scratch.save(open_pairs(groups, labels, key_rows, similarity, scratch), "open")
         if more.limit(1).count():
-            again = verified(more, key_rows, docs, size, similarity, clash, scratch)
-            links = scratch.save(links.union(again), "links")
-            labels = connected_components(links, scratch)
+            again = scratch.save(verified(more, key_rows, docs, size, similarity, clash, scratch), "again")
+            if again.limit(1).count():
+                labels = connected_components(links.select("a", "b").union(again.select("a", "b")), scratch)
     # Only sets that copies or links have can share a component with another row.
     placed = rows.select("doc_id", "n", "fp").join(_sent(labels.select("node", "root"), scratch, "labels"), F.col("fp") == F.col("node"), "left")
     placed = placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("root").alias("l_root"), "least")
     out = placed.join(_sent(least, scratch, "least"), F.col("root") == F.col("l_root"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("l_root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("l_root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    scratch.sweep(out)
+    return out
 
 
 def _of_each_set(rows: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:

@@ -43,7 +43,6 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     training_order.write_shards(table(spark, sf_dir, "documents"), path, seed=20)
     rows = training_order.checksums(training_order.read_slots(spark, path))
     rows = rows.select("slot", "shard", "doc_id", "piece", "count", "ids_crc32")
-    rows._scratch = scratch
     return rows
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
@@ -15,9 +16,12 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a local one is made only where none is set (tests)."""
+    """The session's shared folder; where none is set, a local one, and only for a local master."""
     found = spark.sparkContext.getConf().get(_DIR) or spark.conf.get(_DIR, None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{_DIR} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lagwise-")
         spark.conf.set(_DIR, found)
     return found.rstrip("/")
@@ -27,15 +31,18 @@ class Scratch:
     """A folder of Parquet tables under the shared folder.
 
     Tables are plain files, so a lost executor costs a retry of one task and never a
-    recomputation of what came before. They go when the process ends, or on drop().
+    recomputation of what came before. Frames read them when an action runs, which may be long after
+    the operator has returned, so they go on drop(), on sweep(), or with the session's context, at
+    the end of the process at the latest; a driver that is killed leaves them in a folder that has
+    the application's id.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self._n = 0
-        me = weakref.ref(self)
-        atexit.register(lambda root=self.root: _delete(spark, root) if me else None)
+        sc = spark.sparkContext
+        self.root = f"{shared_dir(spark)}/lagwise-{sc.applicationId}/{label}-{uuid.uuid4().hex}"
+        self._paths: list[str] = []
+        weakref.finalize(sc, _delete, weakref.ref(sc), self.root)
 
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = self.path(name)
@@ -45,24 +52,29 @@ class Scratch:
             df.write.option("compression", compression).parquet(path)
         finally:
             self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch = self  # keeps the folder's owner alive with the frame
-        return out
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n}-{name}"
+        self._paths.append(f"{self.root}/{len(self._paths)}-{name}")
+        return self._paths[-1]
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         for df in frames:
             for f in df.inputFiles()[:1]:
-                _delete(self.spark, f.rsplit("/", 1)[0])
+                _delete(lambda: self.spark.sparkContext, f.rsplit("/", 1)[0])
 
+    def sweep(self, last: DataFrame) -> None:
+        """Deletes all tables of this folder but those that the frame reads."""
+        read = {f.rsplit("/", 2)[-2] for f in last.inputFiles()}
+        for path in self._paths:
+            if path.rsplit("/", 1)[1] not in read:
+                _delete(lambda: self.spark.sparkContext, path)
 
-def _delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
+
+def _delete(context: Callable[[], SparkContext | None], path: str) -> None:
+    sc = context() or SparkContext._active_spark_context
+    if sc is None or sc._jsc is None or sc._jsc.sc().isStopped():
         return
     try:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
