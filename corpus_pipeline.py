@@ -46,5 +46,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(out, name)
-    out._pipeline = scratch
     return out
