@@ -36,11 +36,9 @@ GATHER = 8 << 20
 #: Signatures of a bucket (14 bytes each), about; slices in which a task takes a bucket; signatures of an element, about.
 BUCKET_SIGNATURES, SLICES, PER_ELEMENT = 3_000_000, 8, 0.6
 #: Bytes of sets, and pairs, that a task of the comparison should hold.
-TASK_BYTES, TASK_PAIRS = 24 << 20, 100_000
-#: Sets, and bytes of sketches, of a block of an open group.
-BLOCK, BLOCK_BYTES = 1024, 2 << 20
-#: Groups that a member of an open group names.
-LISTED = 256
+TASK_BYTES, TASK_PAIRS = 24 << 20, 20_000
+#: Sets, and bytes of them, of a block of an open group; sets that meet another block at once, and common elements counted at once.
+BLOCK, BLOCK_BYTES, ROWS, MEETINGS = 512, 4 << 20, 64, 1 << 20
 #: Rows of a few numbers up to which they are sent to all tasks (some 100 bytes each in a hash table, 25 MB); beyond, a shuffled join.
 SENT = 250_000
 #: Steps of a size code for each doubling of the size.
@@ -374,27 +372,34 @@ def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, simil
     return _compared(texts.mapInArrow(frugal(sets_of), "bucket int, fp long, body binary"), placed, buckets, lambda x: np.frombuffer(x, U), similar, True)
 
 
-def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, lead) of large groups' members that no link connects yet and whose sketches allow it.
+def open_links(groups: DataFrame, labels: DataFrame, key: DataFrame, docs: DataFrame, size: int, similarity: Fraction, clash: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join what no link connects yet among the members of large groups (gid, fp).
 
-    A group all of whose members are connected has none. In the rest, members come in blocks with
-    their sketches, by classes of size of which only neighbours can link, and two blocks meet in a
-    task, which lets through only pairs of different components that may be similar; so few rows
-    leave, however large a group is. A pair that shares several groups leaves from the first: each
-    member names up to LISTED of its first groups, and longer lists only let a pair leave again.
+    A group all of whose members are connected has none to give. The others are merged where their
+    smallest component is the same, so a set is in few of them. Members come in blocks with their
+    elements, by classes of size of which only neighbours can link; two blocks meet in a task, which
+    counts their common elements by an index of one block's, and lets out no more links than join
+    what is apart. So few rows leave, however large a group is and however close its members are.
     """
-    p, q, c = similarity.numerator, similarity.denominator, (1 - similarity) / (1 + similarity)
+    p, q = similarity.numerator, similarity.denominator
     member = groups.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    left = member.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("gid")
-    member = scratch.save(member.join(left, "gid"), "members")
-    of = member.groupBy("fp").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, LISTED).alias("gids"))
-    body = key.select("fp", "n", "sketch").join(_sent(of, scratch, "listed"), "fp")
+    apart = member.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("gid", "r0")
+    member = member.join(apart, "gid").select(F.col("r0").alias("gid"), "fp", "root").distinct().join(key.select("fp", "rep", "n"), "fp")
     step = max(0.01, 1.0001 * float(np.log(q / p)))
-    member = scratch.save(member.join(body, "fp").withColumn("cls", F.floor(F.log("n") / F.lit(step)).cast("long")), "members")
-    blocks = member.groupBy("gid", "cls").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(BLOCK)), F.sum(F.length("sketch")) / F.lit(float(BLOCK_BYTES)))).cast("long").alias("blocks"))
+    member = scratch.save(member.withColumn("cls", F.floor(F.log("n") / F.lit(step)).cast("long")), "members")
+    texts = docs.join(_sent(member.select("rep").distinct(), scratch, "reps"), F.col("tag") == F.col("rep")).select("text")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in chunks(batch.column("text")):
+                sets, at = shingle_sets(data, offsets, size)
+                yield _batch(fp=prints(sets, at, clash)[0], body=pa.array([sets[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+
+    bodies = scratch.save(texts.mapInArrow(frugal(sets_of), "fp long, body binary").groupBy("fp").agg(F.first("body").alias("body")), "bodies")
+    blocks = member.groupBy("gid", "cls").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(BLOCK)), F.sum("n") * 8 / F.lit(float(BLOCK_BYTES)))).cast("long").alias("blocks"))
     blocks = scratch.save(blocks, "classes")
-    packed = member.join(blocks, ["gid", "cls"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    packed = scratch.save(packed.groupBy("gid", "cls", "block", "blocks").agg(F.collect_list(F.struct("fp", "n", "root", "sketch", "gids")).alias("own")), "blocks")
+    packed = member.join(blocks, ["gid", "cls"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks"))).join(bodies, "fp")
+    packed = scratch.save(packed.groupBy("gid", "cls", "block", "blocks").agg(F.collect_list(F.struct("fp", "root", "body")).alias("own")), "blocks")
     above = blocks.select("gid", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("more"))
     first = packed.join(above, ["gid", "cls"], "left")
     here = first.select("gid", "own", F.col("cls").alias("cls2"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block2"))
@@ -404,22 +409,50 @@ def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, similarity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for gid, own, own2 in zip(batch.column("gid").to_pylist(), batch.column("own"), batch.column("own2"), strict=True):
-                (f, n, r, s, g), (f2, n2, r2, s2, g2) = (
-                    [*(x.values.field(i).to_numpy() for i in range(3)), [opened(y.as_py()) for y in x.values.field(3)], [{z for z in y.as_py() if z < gid} for y in x.values.field(4)]] for x in (own, own2)
-                )
-                ok = (r[:, None] != r2) & (np.minimum(n[:, None], n2) * q >= np.maximum(n[:, None], n2) * p) & (f[:, None] != f2)
-                width = min(len(x[1]) for x in (*s, *s2))
-                flat, flat2 = (np.stack([folded(x[1], width) for x in y]) for y in (s, s2))
-                for i in np.flatnonzero(ok.any(1)):
-                    at = np.flatnonzero(ok[i])
-                    ok[i, at] = np.count_nonzero(flat2[at] != flat[i], axis=1) <= (n[i] + n2[at]) * c.numerator // c.denominator
-                pairs = [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True) if g[i].isdisjoint(g2[j]) and may_be_similar(s[i], s2[j], c)]
-                i, j = np.array(pairs, np.int64).reshape(-1, 2).T
-                a, b = np.minimum(f[i], f2[j]), np.maximum(f[i], f2[j])
-                yield _batch(a=a, b=b, lead=a)
-
-    return meet.select("gid", "own", "own2").mapInArrow(frugal(run), "a long, b long, lead long").groupBy("a", "b").agg(F.min("lead").alias("lead"))
+            for own, own2 in zip(batch.column("own"), batch.column("own2"), strict=True):
+                (fp, root, sets), (fp2, root2, sets2) = ((x.values.field(0).to_numpy(), x.values.field(1).to_numpy(), [np.frombuffer(y.as_buffer(), U) for y in x.values.field(2)]) for x in (own, own2))
+                left, right = [], []
+                above: dict[int, int] = {}
+
+                def find(x: int, above: dict[int, int] = above) -> int:
+                    while above.setdefault(x, x) != x:
+                        above[x] = x = above[above[x]]
+                    return x
+
+                for i, j in _similar_pairs(sets, sets2, p, q):
+                    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                        x, y = find(int(root[a])), find(int(root2[b]))
+                        if x != y:
+                            above[max(x, y)] = min(x, y)
+                            left.append(int(fp[a]))
+                            right.append(int(fp2[b]))
+                yield _batch(a=pa.array(left, pa.int64()), b=pa.array(right, pa.int64()))
+
+    return meet.select("own", "own2").mapInArrow(frugal(run), "a long, b long").distinct()
+
+
+def _similar_pairs(sets: list[np.ndarray], others: list[np.ndarray], p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the similar ones among all pairs of two blocks, from counts of their common elements."""
+    size, size2 = np.array([len(x) for x in sets]), np.array([len(x) for x in others])
+    held = np.concatenate(others)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], np.repeat(np.arange(len(others)), size2)[order]
+    for a in range(0, len(sets), ROWS):
+        some = np.arange(a, min(a + ROWS, len(sets)))
+        both = np.zeros(len(some) * len(others), np.int64)
+        x, row = np.concatenate(sets[a : a + ROWS]), np.repeat(np.arange(len(some)), size[some])
+        low, high = np.searchsorted(held, x), np.searchsorted(held, x, "right")
+        met = np.cumsum(high - low)
+        begin = 0
+        while begin < len(x):  # a slice's meetings are at most MEETINGS, or one element's
+            end = max(begin + 1, int(np.searchsorted(met, (met[begin - 1] if begin else 0) + MEETINGS, "right")))
+            n = high[begin:end] - low[begin:end]
+            at = np.arange(n.sum()) + np.repeat(low[begin:end] - (np.cumsum(n) - n), n)
+            both += np.bincount(np.repeat(row[begin:end], n) * len(others) + owner[at], minlength=len(both))
+            begin = end
+        both = both.reshape(len(some), -1)
+        i, j = np.nonzero(both * q >= p * (size[some][:, None] + size2 - both))
+        yield some[i], j
 
 
 def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), size: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -465,12 +498,10 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), s
     links = scratch.save(verified(pairs, key_rows, docs, size, similarity, clash, scratch), "links")
     labels = connected_components(links.select("a", "b"), scratch)
     if found.filter("gid is not null").limit(1).count():
-        groups = scratch.save(found.filter("gid is not null").select("gid", "fp").distinct(), "groups")
-        more = scratch.save(open_pairs(groups, labels, key_rows, similarity, scratch), "open")
+        groups = found.filter("gid is not null").select("gid", "fp").distinct()
+        more = scratch.save(open_links(groups, labels, key_rows, docs, size, similarity, clash, scratch), "open")
         if more.limit(1).count():
-            again = scratch.save(verified(more, key_rows, docs, size, similarity, clash, scratch), "again")
-            if again.limit(1).count():
-                labels = connected_components(links.select("a", "b").union(again.select("a", "b")), scratch)
+            labels = connected_components(links.select("a", "b").union(more), scratch)
     # Only sets that copies or links have can share a component with another row.
     placed = rows.select("doc_id", "n", "fp").join(_sent(labels.select("node", "root"), scratch, "labels"), F.col("fp") == F.col("node"), "left")
     placed = placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
