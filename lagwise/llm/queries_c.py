@@ -37,13 +37,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence as read back from the shards, in the order of training."""
-    scratch = Scratch(spark, "op4")
-    path = scratch.path("shards")
+    """Every sequence as read back from the shards, in the order of training, with the documents that it holds."""
+    path = Scratch(spark, "op4").path("order")
     training_order.write_shards(table(spark, sf_dir, "documents"), path, seed=20)
-    rows = training_order.checksums(training_order.read_slots(spark, path))
-    rows = rows.select("slot", "shard", "doc_id", "piece", "count", "ids_crc32")
-    return rows
+    stored = training_order.checksums(training_order.read_slots(spark, path)).select("slot", "shard", "ids_crc32")
+    index = spark.read.parquet(f"{path}/index").select(F.col("slot").alias("i_slot"), "count", "docs")
+    return stored.join(index, F.col("slot") == F.col("i_slot")).select("slot", "shard", "count", F.col("docs.doc_id").alias("doc_ids"), F.col("docs.start").alias("starts"), "ids_crc32")
 
 
 QUERIES = {"op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_training_order": op4_training_order}

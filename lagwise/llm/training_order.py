@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +16,14 @@ from pyspark.sql import functions as F
 
 from lagwise.llm import tokens
 from lagwise.llm.scratch import Scratch
-from lagwise.llm.textbytes import U, mix
+from lagwise.llm.textbytes import U, frugal, mix
 
 #: Ids of a sequence, sequences of a shard, rounds of the permutation.
 LENGTH, PER_SHARD, ROUNDS = 1024, 1024, 6
-#: A record: document (8 bytes), piece, count of ids, then the ids, filled with zeros up to the stride.
-HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("count", "<u4")])
-NO_ID = np.iinfo(np.int64).min
+#: Bytes of ids after which a batch goes out.
+FLUSH = 8 << 20
+#: Shards that are named one by one when a part of them is read; beyond, all are listed.
+NAMED = 1_000
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -42,37 +45,67 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
     return out.astype(np.int64)
 
 
+SPANS = "array<struct<doc_id:long,start:long,at:int,count:int>>"
+SEQUENCE_DDL = f"part int, place long, count int, docs {SPANS}, ids binary"
+
+
+def _kind(wide: bool) -> str:
+    return "<u4" if wide else "<u2"
+
+
 def sequences(docs: DataFrame, vocabulary: str, length: int, end_id: int, wide: bool) -> DataFrame:
-    """(doc_id, piece, count, ids, part, place): every text's ids and end_id in pieces of at most `length`."""
-    kind = "<u4" if wide else "<u2"
+    """(part, place, count, docs, ids): each task's texts, one after another with end_id behind each, cut every `length` ids.
+
+    docs: which ids of which documents: doc_id, the first one's number in the document and in the
+    sequence, and how many. Only a task's last sequence is shorter.
+    """
+    kind, size = _kind(wide), 4 if wide else 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokens.encoder(vocabulary).ids, np.array([end_id], "<u4").tobytes()
-        part, place, rows, held = TaskContext.get().partitionId(), 0, [], 0
+        part, place, held, filled = TaskContext.get().partitionId(), 0, bytearray(), 0
+        rows: list[bytes] = []
+        spans: list[tuple] = []
+        cuts = [0]
 
         def send() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "count", "ids", "part", "place"])
+            nonlocal rows, spans, cuts
+            cols = list(zip(*spans, strict=True)) or [[]] * 4
+            kinds = (("doc_id", pa.int64()), ("start", pa.int64()), ("at", pa.int32()), ("count", pa.int32()))
+            own = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+            k = len(rows)
+            arrays = [np.full(k, part, np.int32), np.arange(place - k, place), np.array([len(r) // size for r in rows], np.int32)]
+            batch = pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), own), pa.array(rows, pa.binary())], names=["part", "place", "count", "docs", "ids"])
+            rows, spans, cuts = [], [], [0]
+            return batch
+
+        def close() -> None:
+            nonlocal place, filled
+            rows.append(bytes(held))
+            cuts.append(len(spans))
+            held.clear()
+            place, filled = place + 1, 0
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.frombuffer(encode(text.as_py()) + end, "<u4")
                 if not wide and ids.max() > 0xFFFF:
                     raise ValueError("an id needs more than 16 bits")
-                for k in range(0, len(ids), length):
-                    own = ids[k : k + length].astype(kind).tobytes()
-                    rows.append((doc_id, k // length, min(length, len(ids) - k), own, part, place))
-                    place, held = place + 1, held + len(own)
-                if held > 8 << 20:
+                ids, start = ids.astype(kind), 0
+                while start < len(ids):
+                    n = min(length - filled, len(ids) - start)
+                    spans.append((doc_id, start, filled, n))
+                    held += ids[start : start + n].tobytes()
+                    start, filled = start + n, filled + n
+                    if filled == length:
+                        close()
+                if len(rows) * length * size > FLUSH:
                     yield send()
-                    rows, held = [], 0
+        if filled:
+            close()
         yield send()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, count int, ids binary, part int, place long")
-
-
-SHARD_DDL = "shard long, first_slot long, n int, stride int, payload binary"
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), SEQUENCE_DDL)
 
 
 def write_shards(
@@ -80,16 +113,19 @@ def write_shards(
 ) -> int:
     """Writes all sequences in training order and returns their number.
 
-    Shard s holds the slots from s * per_shard on, each a record of the same stride, so a reader
-    finds slot t at byte (t - first_slot) * stride of shard t // per_shard and can go on from any
-    slot. Shards are rows (shard, first_slot, n, stride, payload) of Parquet files sorted by shard.
+    path/shards has a file a shard, part-<shard>-..., which is nothing but the ids of the slots from
+    shard * per_shard on, 2 bytes each (wide: 4, little-endian), uncompressed, every record filled up
+    with end_id to the same stride; one line feed follows the last. So a reader finds slot t at byte
+    (t - shard * per_shard) * stride of shard t // per_shard, and goes on from any slot in order.
+    path/index has (slot, shard, offset, count, docs), docs naming the documents of a record's ids;
+    path/facts has one row: n, per_shard, length, stride, wide, seed.
 
     Sequences are written once, numbered by the counts of the tasks before their own, and sent
-    once, to the range of shards of their slot; a task holds one shard at a time. As the slots are
-    a permutation, shards are even whatever the documents are. The same documents in the same
-    files, seed and sizes give the same order. A null or empty text is one sequence of the end id;
-    a null id is stored as the lowest 64-bit number. Repeated rows are sequences of their own. An
-    empty table writes no shard.
+    once, to the task of their slot's shard, which holds that shard only. As the slots are a
+    permutation, shards are even whatever the documents are. The same documents in the same files,
+    seed and sizes give the same order. A null or empty text is the end id alone; a null id stays
+    null in the index. Very long texts go on over sequences. Repeated rows are texts of their own.
+    Other columns are ignored, whatever their names. An empty table writes no shard.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "order")
@@ -100,75 +136,77 @@ def write_shards(
     base = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     per_task = scratch.save(per_task.select(F.col("part").alias("c_part"), base.alias("base"), "n"), "counts")
     total = per_task.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    if not total:
-        spark.createDataFrame([], SHARD_DDL).write.parquet(path)
-        return 0
+    stride = length * (4 if wide else 2)
+    spark.createDataFrame([(total, per_shard, length, stride, wide, seed)], "n long, per_shard long, length long, stride long, wide boolean, seed long").write.parquet(f"{path}/facts")
 
     @F.pandas_udf("long")
-    def slot_of(index):
-        import pandas as pd
-
+    def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(), total, seed))
 
     numbered = rows.join(F.broadcast(per_task.select("c_part", "base")), F.col("part") == F.col("c_part")).withColumn("slot", slot_of(F.col("base") + F.col("place")))
-    stride = HEAD.itemsize + length * (4 if wide else 2)
+    shard = F.floor(F.col("slot") / per_shard).cast("long")
+    offset = F.pmod(F.col("slot"), F.lit(per_shard)) * stride
+    numbered.select("slot", shard.alias("shard"), offset.alias("offset"), "count", "docs").write.option("compression", "zstd").parquet(f"{path}/index")
+    if not total:
+        return 0
     shards = -(-total // per_shard)
-    parts = max(1, min(shards, -(-total * stride // (32 << 20)) * 2))
-    sent = numbered.select("slot", "doc_id", "piece", "count", "ids").withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    sent = numbered.select("slot", "ids").repartitionById(shards, shard.cast("int")).sortWithinPartitions("slot")
+    fill = np.array([end_id], _kind(wide)).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, body, n = None, bytearray(), 0
-
-        def send() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            row = (now, now * per_shard, n, stride, bytes(body))
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "first_slot", "n", "stride", "payload"])
-
+        body = bytearray()
         for batch in batches:
-            for slot, doc_id, piece, count, ids in zip(*(batch.column(c).to_pylist() for c in ("slot", "doc_id", "piece", "count", "ids")), strict=True):
-                if slot // per_shard != now:
-                    if now is not None:
-                        yield send()
-                    now, body, n = slot // per_shard, bytearray(), 0
-                record = np.array([(NO_ID if doc_id is None else doc_id, piece, count)], HEAD).tobytes() + ids
-                body += record.ljust(stride, b"\0")
-                n += 1
-        if now is not None:
-            yield send()
-
-    sent.mapInArrow(write, SHARD_DDL).write.option("compression", "zstd").parquet(path)
+            for ids in batch.column("ids"):
+                ids = ids.as_py()
+                body += ids + fill * ((stride - len(ids)) // len(fill))
+        if body:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(body)], pa.binary())], names=["payload"])
+
+    files = sent.mapInArrow(frugal(write), "payload binary").select(F.col("payload").cast("string").alias("value"))
+    files.write.option("compression", "none").option("lineSep", "\n").text(f"{path}/shards")
     scratch.drop(rows)
     return total
 
 
-def read_slots(spark: SparkSession, path: str, first: int = 0, last: int | None = None, wide: bool = False) -> DataFrame:
-    """(slot, shard, doc_id, piece, count, ids) of the slots first <= slot < last, each shard in order."""
-    shards = spark.read.schema(SHARD_DDL).parquet(path).filter(F.col("first_slot") + F.col("n") > first)
-    if last is not None:
-        shards = shards.filter(F.col("first_slot") < last)
-    size = 4 if wide else 2
+def read_records(file: BinaryIO, stride: int, first: int, n: int) -> Iterator[bytes]:
+    """n records of a shard's open file from its first-th on: one seek, then reads in order."""
+    file.seek(first * stride)
+    for _ in range(n):
+        yield file.read(stride)
+
+
+def read_slots(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """(slot, shard, ids) of the slots first <= slot < last, each shard in order; ids with what fills them up.
+
+    Only the shards that hold them are read. Slots beyond the last give no rows.
+    """
+    facts = spark.read.parquet(f"{path}/facts").first()
+    n, per_shard, stride = facts["n"], facts["per_shard"], facts["stride"]
+    first, last = max(0, first), n if last is None else min(n, last)
+    schema = "slot long, shard long, ids binary"
+    if first >= last:
+        return spark.createDataFrame([], schema)
+    a, b = first // per_shard, -(-last // per_shard)
+    files = [f"{path}/shards/part-{s:05d}-*" for s in range(a, b)] if b - a <= NAMED else [f"{path}/shards"]
+    found = spark.read.format("binaryFile").load(files).select(F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("long").alias("shard"), "content").filter(F.col("shard").between(a, b - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, at, n, stride, payload in zip(*(batch.column(c) for c in batch.schema.names), strict=True):
-                shard, at, n, stride = (x.as_py() for x in (shard, at, n, stride))
-                data = payload.as_py()
-                slots = range(max(first, at), at + n if last is None else min(last, at + n))
-                heads = [np.frombuffer(data, HEAD, 1, (t - at) * stride)[0] for t in slots]
-                ids = [data[(o := (t - at) * stride + HEAD.itemsize) : o + int(h["count"]) * size] for t, h in zip(slots, heads, strict=True)]
-                docs = [None if h["doc_id"] == NO_ID else int(h["doc_id"]) for h in heads]
-                cols = (list(slots), [shard] * len(heads), docs, [int(h["piece"]) for h in heads], [int(h["count"]) for h in heads], ids)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["slot", "shard", "doc_id", "piece", "count", "ids"])
+            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                base = shard * per_shard
+                low, high = max(first, base) - base, min(last, base + per_shard) - base
+                data = content.as_buffer()[low * stride : high * stride]
+                ids = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((np.arange(high - low + 1) * stride).astype(np.int32).tobytes()), data])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(base + low, base + high)), pa.array(np.full(high - low, shard)), ids], names=["slot", "shard", "ids"])
 
-    return shards.mapInArrow(run, "slot long, shard long, doc_id long, piece int, count int, ids binary")
+    return found.mapInArrow(frugal(run), schema)
 
 
 def checksums(rows: DataFrame) -> DataFrame:
     """Adds ids_crc32, of the stored ids."""
 
     @F.pandas_udf("long")
-    def crc(ids):
+    def crc(ids: pd.Series) -> pd.Series:
         return ids.map(zlib.crc32)
 
     return rows.withColumn("ids_crc32", crc("ids"))

@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -232,26 +232,38 @@ def test_permutation():
 
 
 def test_shards_hold_every_sequence(spark, tmp_path):
+    """Texts come back whole by the index, slots from any on, and the files by plain seeks."""
     from tokenizers import Tokenizer
 
     from lagwise.llm import tokens
 
-    rows = [(i, "word " * int(n)) for i, n in enumerate(RNG.integers(0, 120, 90))] + [(None, None), (7, ""), (8, "long " * 4000)]
+    rows = [(i, "word " * int(n)) for i, n in enumerate(RNG.integers(0, 120, 90))] + [(None, None), (7, ""), (8, "long " * 4000), (3, "same"), (3, "same")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, slot string").repartition(4)
-    n = training_order.write_shards(docs, f"{tmp_path}/s", 5, length=50, per_shard=16)
-    got = training_order.read_slots(spark, f"{tmp_path}/s").collect()
+    n = training_order.write_shards(docs, f"{tmp_path}/s", 5, length=50, per_shard=16, end_id=3)
+    got = {r.slot: bytes(r.ids) for r in training_order.read_slots(spark, f"{tmp_path}/s").collect()}
+    index = spark.read.parquet(f"{tmp_path}/s/index").collect()
+    assert sorted(got) == list(range(n)) == sorted(r.slot for r in index)
     whole = Tokenizer.from_file(tokens.vocabulary_path())
-    want = []
-    for i, t in rows:
-        ids = whole.encode(t or "", add_special_tokens=False).ids + [0]
-        want += [(i, k // 50, np.array(ids[k : k + 50], "<u2").tobytes()) for k in range(0, len(ids), 50)]
-    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
-    assert sorted(((r.doc_id, r.piece, bytes(r.ids)) for r in got), key=key) == sorted(want, key=key)
-    assert sorted(r.slot for r in got) == list(range(n)) and all(r.shard == r.slot // 16 for r in got)
+    want = Counter((i, tuple(whole.encode(t or "", add_special_tokens=False).ids + [3])) for i, t in rows)
+    pieces = defaultdict(list)
+    for r in index:
+        ids = np.frombuffer(got[r.slot], "<u2")
+        assert len(ids) == 50 and (ids[r["count"] :] == 3).all() and sum(d["count"] for d in r.docs) == r["count"] and r.offset == r.slot % 16 * 100
+        for d in r.docs:
+            pieces[d.doc_id].append((d.start, tuple(ids[d["at"] : d["at"] + d["count"]].tolist())))
+    for key in {i for i, _ in rows}:
+        own = sorted(pieces[key])
+        assert sum(len(p) for _, p in own) == sum(len(t) * k for (i, t), k in want.items() if i == key)
+        if sum(k for (i, _), k in want.items() if i == key) == 1:
+            assert (key, sum((p for _, p in own), ())) in want
     some = training_order.read_slots(spark, f"{tmp_path}/s", 20, 45).collect()
-    assert sorted(r.slot for r in some) == list(range(20, 45))
-    sizes = {(r.shard, r.n, len(r.payload) // r.stride) for r in spark.read.parquet(f"{tmp_path}/s").collect()}
-    assert all(n == size for _, n, size in sizes) and len(sizes) == -(-n // 16)
+    assert {r.slot: bytes(r.ids) for r in some} == {t: got[t] for t in range(20, 45)} and all(r.shard == r.slot // 16 for r in some)
+    files = sorted((tmp_path / "s/shards").glob("part-*"))
+    assert len(files) == -(-n // 16) and all(f.stat().st_size == min(16, n - 16 * k) * 100 + 1 for k, f in enumerate(files))
+    with files[1].open("rb") as f:
+        assert list(training_order.read_records(f, 100, 4, 9)) == [got[t] for t in range(20, 29)]
+    assert training_order.write_shards(docs, f"{tmp_path}/again", 5, length=50, per_shard=16, end_id=3) == n
+    assert {r.slot: bytes(r.ids) for r in training_order.read_slots(spark, f"{tmp_path}/again").collect()} == got
     assert training_order.write_shards(docs.limit(0), f"{tmp_path}/e") == 0 and training_order.read_slots(spark, f"{tmp_path}/e").count() == 0
 
 
