@@ -34,7 +34,7 @@ MET_BITS = 24
 #: Bytes of signatures that a task gathers before it sends them on.
 GATHER = 8 << 20
 #: Signatures of a bucket (14 bytes each), about; slices in which a task takes a bucket; signatures of an element, about.
-BUCKET_SIGNATURES, SLICES, PER_ELEMENT = 3_000_000, 8, 0.6
+BUCKET_SIGNATURES, SLICES, PER_ELEMENT = 5_000_000, 16, 0.6
 #: Bytes of sets, and pairs, that a task of the comparison should hold.
 TASK_BYTES, TASK_PAIRS = 24 << 20, 20_000
 #: Sets, and bytes of them, of a block of an open group; sets that meet another block at once, and common elements counted at once.
@@ -206,11 +206,14 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
                 fps.append(np.frombuffer(fp.as_buffer(), np.int64).copy())
         if not sigs:
             return
-        sig, fp, n = (np.concatenate(x) for x in (sigs, fps, ns))
-        sigs.clear(), fps.clear(), ns.clear()
+        held = []
+        for own in (sigs, fps, ns):
+            held.append(np.concatenate(own))
+            own.clear()
+        sig, fp, n = held
         told: set[int] = set()
         for part in range(SLICES):
-            some = np.flatnonzero((sig >> U(29)) % U(SLICES) == part)
+            some = np.flatnonzero((sig >> U(28)) % U(SLICES) == part)
             if len(some):
                 yield from meet(sig[some], fp[some], n[some].astype(np.int64), told)
 
@@ -372,47 +375,55 @@ def verified(pairs: DataFrame, key: DataFrame, docs: DataFrame, size: int, simil
     return _compared(texts.mapInArrow(frugal(sets_of), "bucket int, fp long, body binary"), placed, buckets, lambda x: np.frombuffer(x, U), similar, True)
 
 
-def open_links(groups: DataFrame, labels: DataFrame, key: DataFrame, docs: DataFrame, size: int, similarity: Fraction, clash: np.ndarray, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join what no link connects yet among the members of large groups (gid, fp).
+def open_pairs(groups: DataFrame, labels: DataFrame, key: DataFrame, docs: DataFrame, size: int, similarity: Fraction, clash: np.ndarray, exact: bool, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that may join what no link connects yet among the members of large groups (gid, fp).
 
-    A group all of whose members are connected has none to give. The others are merged where their
-    smallest component is the same, so a set is in few of them. Members come in blocks with their
-    elements, by classes of size of which only neighbours can link; two blocks meet in a task, which
-    counts their common elements by an index of one block's, and lets out no more links than join
-    what is apart. So few rows leave, however large a group is and however close its members are.
+    A group all of whose members are connected has none to give. The members of the others meet in a
+    task with their elements, cut to 4 bytes unless exact, so that a pair may only seem more similar
+    than it is: a small group as a whole, a larger one in blocks, by classes of size of which only
+    neighbours can link. A task counts common elements by an index, and lets out no more pairs than
+    connect what is apart. So few rows leave, however large a group is and however close its members are.
     """
     p, q = similarity.numerator, similarity.denominator
+    kind, width = ("<u8", 8) if exact else ("<u4", 4)
     member = groups.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    apart = member.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("gid", "r0")
-    member = member.join(apart, "gid").select(F.col("r0").alias("gid"), "fp", "root").distinct().join(key.select("fp", "rep", "n"), "fp")
-    step = max(0.01, 1.0001 * float(np.log(q / p)))
-    member = scratch.save(member.withColumn("cls", F.floor(F.log("n") / F.lit(step)).cast("long")), "members")
+    apart = member.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("gid")
+    member = scratch.save(member.join(apart, "gid").join(key.select("fp", "rep", "n"), "fp"), "members")
     texts = docs.join(_sent(member.select("rep").distinct(), scratch, "reps"), F.col("tag") == F.col("rep")).select("text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
                 sets, at = shingle_sets(data, offsets, size)
-                yield _batch(fp=prints(sets, at, clash)[0], body=pa.array([sets[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+                own, fp = sets if exact else (sets >> U(32)).astype(kind), prints(sets, at, clash)[0]
+                fresh = [r for r, f in enumerate(fp.tolist()) if f not in known and not known.add(f)]
+                yield _batch(fp=fp[fresh], body=pa.array([own[at[r] : at[r + 1]].tobytes() for r in fresh], pa.binary()))
 
-    bodies = scratch.save(texts.mapInArrow(frugal(sets_of), "fp long, body binary").groupBy("fp").agg(F.first("body").alias("body")), "bodies")
-    blocks = member.groupBy("gid", "cls").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(BLOCK)), F.sum("n") * 8 / F.lit(float(BLOCK_BYTES)))).cast("long").alias("blocks"))
+    # Rows that repeat an id may give a set once a task; that it stands twice in a block does no harm.
+    bodies = scratch.save(texts.mapInArrow(frugal(sets_of), "fp long, body binary"), "bodies")
+    n, load = F.count(F.lit(1)), F.sum("n") * width
+    step = max(0.01, 1.0001 * float(np.log(q / p)))
+    small = member.groupBy("gid").agg(((n <= BLOCK) & (load <= BLOCK_BYTES)).alias("small"))
+    cls = F.when(F.col("small"), F.lit(0)).otherwise(F.floor(F.log("n") / F.lit(step)) + 1).cast("long")
+    member = member.join(small, "gid").withColumn("cls", cls).drop("small")
+    blocks = member.groupBy("gid", "cls").agg(F.ceil(F.greatest(n / F.lit(float(BLOCK)), load / F.lit(float(BLOCK_BYTES)))).cast("long").alias("blocks"))
     blocks = scratch.save(blocks, "classes")
     packed = member.join(blocks, ["gid", "cls"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks"))).join(bodies, "fp")
     packed = scratch.save(packed.groupBy("gid", "cls", "block", "blocks").agg(F.collect_list(F.struct("fp", "root", "body")).alias("own")), "blocks")
-    above = blocks.select("gid", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("more"))
-    first = packed.join(above, ["gid", "cls"], "left")
-    here = first.select("gid", "own", F.col("cls").alias("cls2"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block2"))
-    next_up = first.filter("more is not null").select("gid", "own", (F.col("cls") + 1).alias("cls2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("block2"))
-    other = packed.select("gid", F.col("cls").alias("cls2"), F.col("block").alias("block2"), F.col("own").alias("own2"))
-    meet = here.unionByName(next_up).join(other, ["gid", "cls2", "block2"])
+    large = packed.filter("cls > 0")
+    above = blocks.filter("cls > 0").select("gid", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("more"))
+    beside = large.filter("block < blocks - 1").select("gid", "own", F.col("cls").alias("cls2"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block2"))
+    next_up = large.join(above, ["gid", "cls"]).select("gid", "own", (F.col("cls") + 1).alias("cls2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("block2"))
+    other = large.select("gid", F.col("cls").alias("cls2"), F.col("block").alias("block2"), F.col("own").alias("own2"))
+    across = beside.unionByName(next_up).join(other, ["gid", "cls2", "block2"]).select("own", "own2")
+    meet = packed.select("own", F.lit(None).cast(packed.schema["own"].dataType).alias("own2")).unionByName(across)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, own2 in zip(batch.column("own"), batch.column("own2"), strict=True):
-                (fp, root, sets), (fp2, root2, sets2) = ((x.values.field(0).to_numpy(), x.values.field(1).to_numpy(), [np.frombuffer(y.as_buffer(), U) for y in x.values.field(2)]) for x in (own, own2))
-                left, right = [], []
-                above: dict[int, int] = {}
+                (fp, root, sets), (fp2, root2, sets2) = ((x.values.field(0).to_numpy(), x.values.field(1).to_numpy(), [np.frombuffer(y.as_buffer(), kind) for y in x.values.field(2)]) for x in (own, own2 if own2.is_valid else own))
+                left, right, above = [], [], {}
 
                 def find(x: int, above: dict[int, int] = above) -> int:
                     while above.setdefault(x, x) != x:
@@ -420,7 +431,8 @@ def open_links(groups: DataFrame, labels: DataFrame, key: DataFrame, docs: DataF
                     return x
 
                 for i, j in _similar_pairs(sets, sets2, p, q):
-                    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    some = root[i] != root2[j]
+                    for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True):
                         x, y = find(int(root[a])), find(int(root2[b]))
                         if x != y:
                             above[max(x, y)] = min(x, y)
@@ -428,7 +440,7 @@ def open_links(groups: DataFrame, labels: DataFrame, key: DataFrame, docs: DataF
                             right.append(int(fp2[b]))
                 yield _batch(a=pa.array(left, pa.int64()), b=pa.array(right, pa.int64()))
 
-    return meet.select("own", "own2").mapInArrow(frugal(run), "a long, b long").distinct()
+    return meet.mapInArrow(frugal(run), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _similar_pairs(sets: list[np.ndarray], others: list[np.ndarray], p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -498,10 +510,19 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), s
     links = scratch.save(verified(pairs, key_rows, docs, size, similarity, clash, scratch), "links")
     labels = connected_components(links.select("a", "b"), scratch)
     if found.filter("gid is not null").limit(1).count():
-        groups = found.filter("gid is not null").select("gid", "fp").distinct()
-        more = scratch.save(open_links(groups, labels, key_rows, docs, size, similarity, clash, scratch), "open")
-        if more.limit(1).count():
-            labels = connected_components(links.select("a", "b").union(more), scratch)
+        groups = scratch.save(found.filter("gid is not null").select("gid", "fp").distinct(), "groups")
+        for exact in (False, True):
+            more = scratch.save(open_pairs(groups, labels, key_rows, docs, size, similarity, clash, exact, scratch), "open")
+            if not more.limit(1).count():
+                break
+            again = more if exact else scratch.save(verified(more.withColumn("lead", F.col("a")), key_rows, docs, size, similarity, clash, scratch), "again")
+            links = scratch.save(links.select("a", "b").unionByName(again.select("a", "b")), "links")
+            labels = connected_components(links, scratch)
+            # A pair that connected others and then did not link may have hidden one that does: then once more, exactly.
+            root = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))  # noqa: E731, B023
+            ends = more.join(root("a"), "a", "left").join(root("b"), "b", "left")
+            if not ends.filter("r_a is null or r_b is null or r_a != r_b").limit(1).count():
+                break
     # Only sets that copies or links have can share a component with another row.
     placed = rows.select("doc_id", "n", "fp").join(_sent(labels.select("node", "root"), scratch, "labels"), F.col("fp") == F.col("node"), "left")
     placed = placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
