@@ -6,23 +6,19 @@ target, loss_improvement. Keys (a horizon, say) may stand before source and targ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.operators.panel import require
-from lagwise.operators.transforms import decay
+from lagwise.operators.transforms import days
 
 EDGE = ["source", "target"]
 #: Relative variance below which differences are rounding.
 FLAT = 1e-18
 
 
-def weighted_mean(v: Column, w: Column) -> Column:
-    """Null if nothing has weight."""
-    total = F.sum(F.when(v.isNotNull(), w))
-    return F.when(total > 0, F.sum(w * v) / total)
-
-
 def stability(snapshots: DataFrame, threshold: float, recent: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Per edge: selection_frequency, mean_strength, latest_strength, sign_stability (null if never selected).
 
@@ -34,7 +30,7 @@ def stability(snapshots: DataFrame, threshold: float, recent: int | None = None,
         dates = snapshots.select(*keys, "date").distinct()
         w = Window.partitionBy(*keys).orderBy(F.desc("date")) if keys else Window.partitionBy(F.lit(1)).orderBy(F.desc("date"))
         kept = dates.withColumn("__r", F.dense_rank().over(w)).filter(F.col("__r") <= recent).drop("__r")
-        snapshots = snapshots.join(F.broadcast(kept), [*keys, "date"], "left_semi")
+        snapshots = snapshots.join(kept, [*keys, "date"], "left_semi")
     sel = F.col("strength") >= threshold
     up, down, n = (F.count_if(sel & (F.col("signed_weight") > 0)), F.count_if(sel & (F.col("signed_weight") < 0)), F.count_if(sel))
     return snapshots.groupBy(*keys, *EDGE).agg(
@@ -42,28 +38,83 @@ def stability(snapshots: DataFrame, threshold: float, recent: int | None = None,
     )
 
 
-def _t(mean: str, wv: str, w: str, w2: str, n: Column) -> Column:
-    """mean / sqrt(var / n_eff): null for fewer than two, 0 without variance or effective rows."""
-    var, n_eff = F.col(wv) / F.col(w), F.col(w) * F.col(w) / F.col(w2)
-    flat = (var <= FLAT * F.col(mean) * F.col(mean)) | (n_eff <= 1)
-    return F.when(n >= 2, F.when(flat, F.lit(0.0)).otherwise(F.col(mean) / F.sqrt(var / n_eff)))
-
-
-def recency_statistics(rows: DataFrame, by: list[str], half_life: float) -> DataFrame:
-    """Per group of (as_of, realized_date, loss_improvement): n, mean, hit rate and t with recency weights.
-
-    The variance is taken around the group's weighted mean, in a second pass over a window.
+HISTORY = "n_snapshots long, selection_frequency double, sign_stability double, weighted_strength double, latest_strength double, n long, mean double, hit_rate double, t_stat double, no_variance boolean"
+
+
+class _Recent:
+    """Sums with recency weights of one group's events, brought forward from date to date."""
+
+    def __init__(self, half_lives: tuple[float, float]):
+        self.rates = [np.log(2.0) / max(h, 1e-9) for h in half_lives]
+        self.at, self.seen, self.latest, self.base = None, [0, 0], None, 0.0
+        # Weight, selected, up, down, strength; then weight, its square, value and square from base, hits.
+        self.shape, self.value = np.zeros(5), np.zeros(5)
+
+    def forward(self, at: float) -> None:
+        if self.at is not None and at > self.at:
+            f, g = (np.exp(-r * (at - self.at)) for r in self.rates)
+            self.shape *= f
+            self.value *= np.array([g, g * g, g, g, g])
+        self.at = at if self.at is None else max(self.at, at)
+
+    def snapshot(self, strength: float, signed: float, threshold: float) -> None:
+        self.seen[0] += 1
+        self.latest = strength
+        if strength == strength:
+            sel = strength >= threshold
+            self.shape += (1, sel, sel and signed > 0, sel and signed < 0, strength)
+
+    def outcome(self, v: float) -> None:
+        if not self.seen[1]:
+            self.base = v
+        self.seen[1] += 1
+        d = v - self.base
+        self.value += (1, 1, d, d * d, v > 0)
+
+    def row(self) -> tuple:
+        w, sel, up, down, strength = self.shape.tolist()
+        first = (self.seen[0], sel / w if w else None, max(up, down) / sel if sel else None, strength / w if w else None, self.latest)
+        v, v2, d, dd, hits = self.value.tolist()
+        if not v:
+            return (*first, self.seen[1], None, None, None, None)
+        mean, var, n_eff = self.base + d / v, max(dd / v - (d / v) ** 2, 0.0), v * v / v2
+        flat = var <= FLAT * mean * mean
+        t = None if self.seen[1] < 2 else 0.0 if flat or n_eff <= 1 else mean / np.sqrt(var / n_eff)
+        return (*first, self.seen[1], mean, hits / v, t, flat)
+
+
+def history(snapshots: DataFrame | None, outcomes: DataFrame, asked: DataFrame, by: list[str], threshold: float, structural_half_life: float, contribution_half_life: float) -> DataFrame:
+    """(by..., as_of, HISTORY) for each of asked (by..., as_of): what its group had by then.
+
+    Snapshots count up to the date, outcomes before it. All three meet in one exchange, sorted by
+    group and date, and a task streams along it with one group's sums, so the work is linear in
+    rows and dates asked for, however long the history is.
     """
-    rows = rows.filter("loss_improvement is not null").withColumn("__w", decay(F.col("as_of"), F.col("realized_date"), half_life))
-    w, v = F.col("__w"), F.col("loss_improvement")
-    every = Window.partitionBy(*by)
-    rows = rows.withColumn("__m", F.sum(w * v).over(every) / F.sum(w).over(every))
-    got = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.first("__m").alias("__mean"), weighted_mean((v > 0).cast("double"), w).alias("contribution_hit_rate"), F.sum(w * (v - F.col("__m")) * (v - F.col("__m"))).alias("__wv"), F.sum(w).alias("__w"), F.sum(w * w).alias("__w2")
-    )
-    flat = F.col("__wv") / F.col("__w") <= FLAT * F.col("__mean") * F.col("__mean")
-    got = got.withColumns({"contribution_t_stat": _t("__mean", "__wv", "__w", "__w2", F.col("n")), "no_variance": flat})
-    return got.select(*by, "n", F.col("__mean").alias("mean"), "contribution_hit_rate", "contribution_t_stat", "no_variance")
+    one = lambda df, date, side, strength, signed, v: df.select(*by, F.col(date).alias("__d"), F.lit(side).alias("__side"), days(F.col(date)).alias("__at"), strength.cast("double").alias("__s"), signed.cast("double").alias("__g"), v.cast("double").alias("__v"))
+    none = F.lit(None)
+    rows = one(asked, "as_of", 1, none, none, none).unionByName(one(outcomes.filter("loss_improvement is not null"), "realized_date", 2, none, none, F.col("loss_improvement")))
+    if snapshots is not None:
+        rows = rows.unionByName(one(snapshots, "date", 0, F.col("strength"), F.col("signed_weight"), none))
+    kind = dict(asked.dtypes)
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "__at", "__side", "__s", "__v")
+
+    def fold(parts):
+        now, state = None, None
+        for part in parts:
+            own, out = list(zip(*(part[c] for c in by), strict=True)) if len(part) else [], []
+            for key, d, side, at, s, g, v in zip(own, part["__d"], part["__side"], part["__at"], part["__s"], part["__g"], part["__v"], strict=True):
+                if key != now:
+                    now, state = key, _Recent((structural_half_life, contribution_half_life))
+                state.forward(at)
+                if side == 0:
+                    state.snapshot(s, g, threshold)
+                elif side == 2:
+                    state.outcome(v)
+                else:
+                    out.append((*key, d, *state.row()))
+            yield pd.DataFrame(out, columns=[*by, "as_of", *(x.split()[0] for x in HISTORY.split(", "))]).astype({"n_snapshots": "int64", "n": "int64"})
+
+    return dealt.mapInPandas(fold, ", ".join([*(f"`{c}` {kind[c]}" for c in by), f"as_of {kind['as_of']}", HISTORY]))
 
 
 def survival(snapshots: DataFrame, contributions: DataFrame, as_of: DataFrame, threshold: float = 0.05, structural_half_life: float = 180.0, contribution_half_life: float = 120.0, keys: list[str] | None = None) -> DataFrame:
@@ -74,22 +125,16 @@ def survival(snapshots: DataFrame, contributions: DataFrame, as_of: DataFrame, t
     keys = keys or []
     require(snapshots, "date", *EDGE, "strength", "signed_weight")
     require(contributions, "realized_date", *EDGE, "loss_improvement")
-    as_of = F.broadcast(as_of.select(*keys, "as_of").distinct())
-    meet = lambda df, on: df.join(as_of, keys).filter(on) if keys else df.join(as_of, on)
-    snaps = meet(snapshots, F.col("date") <= F.col("as_of")).withColumn("__w", decay(F.col("as_of"), F.col("date"), structural_half_life))
-    w, sel, sgn = F.col("__w"), F.col("strength") >= threshold, F.col("signed_weight")
-    total = F.sum(F.when(sel, w))
-    by = [*keys, "as_of", *EDGE]
-    shape = snaps.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_snapshots"), weighted_mean(sel.cast("double"), w).alias("selection_frequency"),
-        F.when(total > 0, F.greatest(F.coalesce(F.sum(F.when(sel & (sgn > 0), w)), F.lit(0.0)), F.coalesce(F.sum(F.when(sel & (sgn < 0), w)), F.lit(0.0))) / total).alias("sign_stability"),
-        weighted_mean(F.col("strength"), w).alias("weighted_strength"), F.max_by("strength", "date").alias("latest_strength"),
+    by = [*keys, *EDGE]
+    dates = as_of.select(*keys, "as_of").distinct()
+    asked = snapshots.select(*by).distinct().join(dates, keys) if keys else snapshots.select(*by).distinct().crossJoin(dates)
+    own = contributions.join(snapshots.select(*by).distinct(), by, "left_semi")
+    got = history(snapshots, own, asked, by, threshold, structural_half_life, contribution_half_life).filter("n_snapshots > 0")
+    retention = F.when(F.col("weighted_strength") > 1e-12, F.col("latest_strength") / F.col("weighted_strength")).otherwise(0.0)
+    out = got.select(
+        *keys, "as_of", *EDGE, "n_snapshots", "selection_frequency", "sign_stability", "weighted_strength", "latest_strength", retention.alias("strength_retention"),
+        F.col("n").alias("n_contributions"), F.col("mean").alias("weighted_mean_loss_improvement"), F.col("hit_rate").alias("contribution_hit_rate"), F.col("t_stat").alias("contribution_t_stat"),
     )
-    wstr = F.col("weighted_strength")
-    shape = shape.withColumn("strength_retention", F.when(wstr > 1e-12, F.col("latest_strength") / wstr).otherwise(0.0))
-    own = recency_statistics(meet(contributions, F.col("realized_date") < F.col("as_of")), by, contribution_half_life)
-    own = own.select(*by, F.col("n").alias("n_contributions"), F.col("mean").alias("weighted_mean_loss_improvement"), "contribution_hit_rate", "contribution_t_stat")
-    out = shape.join(own, by, "left").withColumn("n_contributions", F.coalesce("n_contributions", F.lit(0)))
     t = F.col("contribution_t_stat")
     structural = F.greatest("selection_frequency", F.lit(0.0)) * F.greatest(F.coalesce("sign_stability", F.lit(0.0)), F.lit(0.0)) * F.least(F.greatest("strength_retention", F.lit(0.0)), F.lit(1.0))
     return out.withColumns({"structural_score": structural, "predictive_score": F.when(t > 0, F.tanh(t / 2)).otherwise(0.0)}).withColumn("survival_score", F.col("structural_score") * F.col("predictive_score"))
@@ -133,11 +178,9 @@ def gates(contributions: DataFrame, as_of: DataFrame, targets: list[str], half_l
     """
     keys = keys or []
     require(contributions, "realized_date", "target", "loss_improvement")
-    as_of = as_of.select(*keys, "as_of").distinct()
-    spine = as_of.withColumn("target", F.explode(F.array(*(F.lit(t) for t in targets))))
-    few = F.broadcast(as_of)
-    rows = contributions.join(few, keys).filter(F.col("realized_date") < F.col("as_of")) if keys else contributions.join(few, F.col("realized_date") < F.col("as_of"))
-    got = spine.join(recency_statistics(rows, [*keys, "as_of", "target"], half_life), [*keys, "as_of", "target"], "left")
+    spine = as_of.select(*keys, "as_of").distinct().withColumn("target", F.explode(F.array(*(F.lit(t) for t in targets))))
+    got = history(None, contributions.filter(F.col("target").isin(targets)), spine, [*keys, "target"], 0.0, half_life, half_life)
+    got = got.withColumnsRenamed({"hit_rate": "contribution_hit_rate", "t_stat": "contribution_t_stat"})
     t, ready = F.col("contribution_t_stat"), (F.col("n") >= min_observations) & (F.col("mean") > 0)
     gate = F.when(ready & F.col("no_variance"), F.lit(1.0)).when(ready & (t > 0), F.tanh(t / F.lit(max(float(t_scale), 1e-9)))).otherwise(0.0)
-    return got.select(*keys, "as_of", "target", F.coalesce("n", F.lit(0)).alias("n"), F.col("mean").alias("weighted_mean_loss_improvement"), "contribution_hit_rate", "contribution_t_stat", gate.alias("gate"))
+    return got.select(*keys, "as_of", "target", "n", F.col("mean").alias("weighted_mean_loss_improvement"), "contribution_hit_rate", "contribution_t_stat", gate.alias("gate"))

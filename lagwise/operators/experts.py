@@ -53,12 +53,9 @@ def fixed_share(forecasts: DataFrame, experts: list[str], shares: list[float] |
     for s in shares:
         _check(1, s, window, clip, experts)
     rows = bounded_losses(complete_rows(forecasts, experts), experts, window, clip)
-    w = Window.partitionBy("horizon", "target").orderBy("pos")
-    h = F.col("horizon")
-    # The outcome that row i learns: that of row i - h. Horizons are few, so one lag for each.
-    hs = sorted(r[0] for r in forecasts.select("horizon").distinct().collect())
-    pick = lambda c: F.coalesce(*(F.when(h == k, F.lag(c, k).over(w)) for k in hs)) if hs else F.lit(None)
-    rows = rows.withColumns({"seen": pick("bounded"), "rate": pick("eta"), "updates": F.coalesce(pick("n"), F.lit(0))})
+    # The outcome that row i learns: that of row i - h.
+    known = rows.select("horizon", "target", (F.col("pos") + F.col("horizon")).cast("int").alias("pos"), F.col("bounded").alias("seen"), F.col("eta").alias("rate"), F.col("n").alias("updates"))
+    rows = rows.join(known, ["horizon", "target", "pos"], "left").withColumn("updates", F.coalesce("updates", F.lit(0)))
     rows = rows.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
     keys, k = ["share", "horizon", "target"], len(experts)
     dealt = rows.select(*keys, "pos", "date", "actual", "predictions", "seen", "rate", "updates").repartition(*keys).sortWithinPartitions(*keys, "pos")

@@ -91,5 +91,10 @@ def nested_tests(forecasts: DataFrame, comparisons: list[tuple[str, str]], base_
     return benjamini_hochberg(out.withColumn("p_value", two_sided_p("dm_stat")), q, ["comparison"], tie=["horizon", "target"])
 
 
+def ordered(tests: DataFrame) -> DataFrame:
+    """By comparison, discoveries first, then by improvement."""
+    return tests.orderBy("comparison", F.desc("fdr_reject"), F.desc("mean_loss_improvement"), "horizon", "target")
+
+
 def comparison_summary(tests: DataFrame) -> DataFrame:
     return tests.groupBy("comparison").agg(F.count(F.lit(1)).alias("n_tests"), F.count_if("challenger_better").alias("n_better"), F.count_if("fdr_reject").alias("n_reject"))

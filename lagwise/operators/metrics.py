@@ -55,9 +55,9 @@ def lag_sensitivity(tests: DataFrame, by: list[str], skill: str = "skill") -> Da
 
 
 def preferred_segment(df: DataFrame, preferred: str, fallback: str = "all") -> DataFrame:
-    """The rows of the preferred segment, or of the fallback where it has none."""
-    have = F.max((F.col("segment") == preferred).cast("int")).over(Window.partitionBy("model"))
-    return df.withColumn("__have", have).filter(F.col("segment") == F.when(F.col("__have") == 1, preferred).otherwise(fallback)).drop("__have")
+    """The rows of the preferred segment, or of the fallback if the table has none of it."""
+    have = df.filter(F.col("segment") == preferred).limit(1).agg(F.count(F.lit(1)).alias("__have"))
+    return df.filter(F.col("segment").isin(preferred, fallback)).crossJoin(have).filter(F.col("segment") == F.when(F.col("__have") > 0, preferred).otherwise(fallback)).drop("__have")
 
 
 def latest(df: DataFrame, by: list[str], date: str = "date") -> DataFrame:

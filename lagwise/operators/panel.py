@@ -36,7 +36,7 @@ def numbered(df: DataFrame, keys: list[str], order: str = "date") -> DataFrame:
 def filled_on_calendar(totals: DataFrame, fill: float = 0.0) -> DataFrame:
     """(series, date, value): every series on every day from the first to the last day of all."""
     days = totals.agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
-    spine = days.join(F.broadcast(totals.select("series").distinct()))
+    spine = days.crossJoin(totals.select("series").distinct())
     return spine.join(totals, ["series", "date"], "left").select("series", "date", F.coalesce("value", F.lit(float(fill))).alias("value"))
 
 
@@ -50,25 +50,30 @@ def stamped_releases(features: DataFrame, names: list[str], lag_days: int, sourc
     )
 
 
-def as_of(releases: DataFrame, times: DataFrame, features: list[str] | None = None, time: str = "date") -> DataFrame:
+def as_of(releases: DataFrame, times: DataFrame, features: list[str] | None = None, time: str = "date", unit: str = "month") -> DataFrame:
     """(time, feature, value): the release of each feature that was last available at each time.
 
     Exact matches count. A release whose value is missing hides older ones. Releases available at
     the same moment: the latest observation wins, then the larger value. Times before a feature's
-    first release have a null. Releases and times meet in one sort a feature: no range join. A
-    feature's times are few beside its releases; features spread over tasks.
+    first release have a null. Releases and times meet in one sort within each feature and `unit`
+    of the calendar, so a feature with a long history spreads over tasks; what was last known
+    before a unit is carried over by one row a feature and unit. No range join.
     """
     require(releases, "feature", "available_at", "value")
-    kinds = releases.columns
-    seen = F.col("observation_time") if "observation_time" in kinds else F.lit(None).cast("date")
+    seen = F.col("observation_time") if "observation_time" in releases.columns else F.lit(None).cast("date")
     log = releases if features is None else releases.filter(F.col("feature").isin(features))
-    left = log.select("feature", F.col("available_at").alias(time), F.lit(0).alias("side"), seen.alias("observed"), F.struct(F.col("value").alias("value")).alias("release"))
+    bin_ = lambda c: F.date_trunc(unit, c).alias("bin")
+    left = log.select("feature", bin_("available_at"), F.col("available_at").alias(time), F.lit(0).alias("side"), seen.alias("observed"), F.struct(F.col("value").alias("value")).alias("release"))
     names = log.select("feature").distinct() if features is None else releases.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    asked = times.select(time).distinct().join(F.broadcast(names))
-    right = asked.select("feature", F.col(time), F.lit(1).alias("side"), F.lit(None).cast(left.schema["observed"].dataType).alias("observed"), F.lit(None).cast(left.schema["release"].dataType).alias("release"))
-    w = Window.partitionBy("feature").orderBy(time, "side", "observed", F.col("release.value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("last", F.last("release", ignorenulls=True).over(w))
-    return both.filter("side = 1").select(time, "feature", F.col("last.value").alias("value"))
+    asked = times.select(time).distinct().crossJoin(names)
+    right = asked.select("feature", bin_(time), F.col(time), F.lit(1).alias("side"), F.lit(None).cast(left.schema["observed"].dataType).alias("observed"), F.lit(None).cast(left.schema["release"].dataType).alias("release"))
+    w = Window.partitionBy("feature", "bin").orderBy(time, "side", "observed", F.col("release.value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right).withColumn("last", F.last("release", ignorenulls=True).over(w)).filter("side = 1")
+    ends = left.groupBy("feature", "bin").agg(F.max(F.struct(F.col(time).alias("t"), "observed", "release")).getField("release").alias("end"))
+    before = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = right.select("feature", "bin").distinct().join(ends, ["feature", "bin"], "full").withColumn("carried", F.last("end", ignorenulls=True).over(before))
+    out = both.join(carried.select("feature", "bin", "carried"), ["feature", "bin"])
+    return out.select(time, "feature", F.coalesce("last", "carried").getField("value").alias("value"))
 
 
 def as_of_panel(releases: DataFrame, times: DataFrame, features: list[str], time: str = "date") -> DataFrame:

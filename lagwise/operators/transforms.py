@@ -66,9 +66,16 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
 
 
+def days(date: Column) -> Column:
+    """A date or timestamp as days, with the time of day as a fraction, by the session's calendar."""
+    at = date.cast("timestamp_ntz")
+    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.extract(F.lit("SECONDS"), at).cast("double")
+    return F.datediff(at, F.lit("1970-01-01").cast("date")) + seconds / 86400.0
+
+
 def decay(as_of: Column, date: Column, half_life: float) -> Column:
     """Weight of a date as of another: a half for each half-life of days, 1 for dates to come."""
-    age = F.greatest(F.datediff(as_of, date), F.lit(0))
+    age = F.greatest(days(as_of) - days(date), F.lit(0.0))
     return F.exp(-F.ln(F.lit(2.0)) * age / F.lit(max(float(half_life), 1e-9)))
 
 

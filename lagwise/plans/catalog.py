@@ -318,7 +318,7 @@ def stability_mask(spark: SparkSession, d: str) -> DataFrame:
     return edges.stability_mask(edges.stability(T.edge_snapshots(spark, d), THRESHOLD), T.SERIES, T.SERIES)
 
 
-_SURV = T.SNAPSHOTS + f""",{T.CONTRIBUTIONS},{T.LAST},
+_SURV = T.SNAPSHOTS + f""",{T.CONTRIBUTIONS},{T.AS_OF},
 sw AS (SELECT a.as_of, s.*, exp(-ln(2) * greatest(a.as_of - s.date, 0) / 180.0) AS w, strength >= {THRESHOLD} AS sel FROM snapshots s JOIN asat a ON s.date <= a.as_of),
 sh AS (SELECT as_of, source, target, count(*) AS n_snapshots, sum(w * sel::INT) / sum(w) AS selection_frequency,
   greatest(coalesce(sum(w) FILTER (sel AND signed_weight > 0), 0), coalesce(sum(w) FILTER (sel AND signed_weight < 0), 0)) / sum(w) FILTER (sel) AS sign_stability,
@@ -336,7 +336,7 @@ _SURV_COLS = ("selection_frequency", "sign_stability", "weighted_strength", "lat
 
 def _survival(spark: SparkSession, d: str) -> DataFrame:
     snaps = T.edge_snapshots(spark, d)
-    return edges.survival(snaps, T.edge_contributions(spark, d), T.last_dates(snaps), THRESHOLD)
+    return edges.survival(snaps, T.edge_contributions(spark, d), T.snapshot_dates(snaps), THRESHOLD)
 
 
 @query(f"WITH {_SURV} SELECT as_of, source, target, n_snapshots, n_contributions, {_r(*_SURV_COLS, digits=5)}, round(structural_score * predictive_score, 5) AS survival_score FROM surv")
@@ -358,7 +358,7 @@ def edge_topk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("source", "target", "survival_score"), 5)
 
 
-_GATE = T.SNAPSHOTS + f""",{T.CONTRIBUTIONS},{T.LAST},
+_GATE = T.SNAPSHOTS + f""",{T.CONTRIBUTIONS},{T.AS_OF},
 tc AS (SELECT realized_date, target, sum(loss_improvement) AS loss_improvement FROM contributions GROUP BY ALL),
 cw AS (SELECT a.as_of, c.*, exp(-ln(2) * greatest(a.as_of - realized_date, 0) / 120.0) AS w FROM tc c JOIN asat a ON realized_date < a.as_of),
 cm AS (SELECT *, sum(w * loss_improvement) OVER p / sum(w) OVER p AS m FROM cw WINDOW p AS (PARTITION BY as_of, target)),
@@ -368,7 +368,7 @@ co AS (SELECT as_of, target, count(*) AS n, max(m) AS m, sum(w * (loss_improveme
 
 def _gates(spark: SparkSession, d: str) -> DataFrame:
     total = T.edge_contributions(spark, d).groupBy("realized_date", "target").agg(F.sum("loss_improvement").alias("loss_improvement"))
-    return edges.gates(total, T.last_dates(T.edge_snapshots(spark, d)), T.SERIES)
+    return edges.gates(total, T.snapshot_dates(T.edge_snapshots(spark, d)), T.SERIES)
 
 
 _GATE_COLS = f"as_of, target, n, round(m, 5) AS weighted_mean_loss_improvement, round(hit, 5) AS contribution_hit_rate, round(t, 5) AS contribution_t_stat, round(CASE WHEN n >= 30 AND m > 0 AND t > 0 THEN tanh(t / 2) ELSE 0 END, 5) AS gate"

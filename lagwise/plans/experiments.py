@@ -40,7 +40,7 @@ class Settings:
 class Store:
     """Keeps stages that several others read as Parquet in the shared folder: lineage ends there.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests) a local one is made.
+    The folder is spark.checkpoint.dir; where that is unset a local one is made, for a local master only.
     """
 
     def __init__(self, folder: str | None = None):
@@ -51,6 +51,9 @@ class Store:
         if self.folder is None:
             shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
             if not shared:
+                master = spark.sparkContext.master
+                if not master.startswith("local") or master.startswith("local-cluster"):
+                    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
                 shared = "file://" + tempfile.mkdtemp(prefix="lagwise-")
                 spark.conf.set("spark.checkpoint.dir", shared)
             self.folder = f"{shared.rstrip('/')}/experiment-{uuid.uuid4().hex}"

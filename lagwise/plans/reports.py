@@ -21,8 +21,8 @@ def lines_of(df: DataFrame, limit: int = 200) -> list[str]:
     return ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)]
 
 
-def markdown(metrics: DataFrame, tests: DataFrame, survival: DataFrame | None = None, gates: DataFrame | None = None, title: str = "Results") -> DataFrame:
-    """(line_no, line) of a report: errors by horizon and model, comparisons, and the strongest edges and gates."""
+def markdown(metrics: DataFrame, tests: DataFrame, survival: DataFrame | None = None, gates: DataFrame | None = None, title: str = "Results", more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(line_no, line) of a report: errors by horizon and model, comparisons, the strongest edges and gates, and more tables by title."""
     from lagwise.operators.inference import comparison_summary
 
     out = [f"# {title}", "", "## Errors by horizon and model", ""]
@@ -32,6 +32,8 @@ def markdown(metrics: DataFrame, tests: DataFrame, survival: DataFrame | None =
         out += ["", "## Edges", "", *lines_of(survival.orderBy(F.desc("survival_score"), F.desc("selection_frequency"), "source", "target").limit(15))]
     if gates is not None:
         out += ["", "## Gates", "", *lines_of(gates.orderBy(F.desc("gate"), "target").limit(8))]
+    for heading, df in (more or {}).items():
+        out += ["", f"## {heading}", "", *lines_of(df)]
     spark = metrics.sparkSession
     return spark.createDataFrame(list(enumerate(out, 1)), "line_no int, line string")
 

@@ -123,12 +123,10 @@ CONTRIBUTIONS = """
 contributions AS (SELECT date AS realized_date, source, target, y * y - (y + 0.3 * x) * (y + 0.3 * x) AS loss_improvement FROM pairs)"""
 
 
-def last_dates(snapshots: DataFrame, n: int = 3) -> DataFrame:
-    """as_of: the day after each of the last n snapshot dates."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("date"))
-    rows = snapshots.select("date").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
-    return rows.select(F.date_add("date", 1).alias("as_of"))
+def snapshot_dates(snapshots: DataFrame) -> DataFrame:
+    """as_of: the day after each snapshot date."""
+    return snapshots.select(F.date_add("date", 1).alias("as_of")).distinct()
 
 
-LAST = """
-asat AS (SELECT date + 1 AS as_of FROM (SELECT DISTINCT date FROM snapshots) ORDER BY date DESC LIMIT 3)"""
+AS_OF = """
+asat AS (SELECT DISTINCT date + 1 AS as_of FROM snapshots)"""

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns by which a result's folder is split.
-SPLIT = {"forecasts": ("horizon", "model"), "snapshots": ("h",), "contributions": ("h",), "survival": ("h",), "gates": ("h",), "weights": ("horizon",)}
+SPLIT = {"forecasts": ("horizon", "model"), "snapshots": ("h",), "contributions": ("h",), "survival": ("h",), "gates": ("h",), "weights": ("horizon",), "losses": ("horizon",)}
 
 
 def evidence(results: dict[str, DataFrame], folder: str, report: DataFrame | None = None, form: str = "parquet") -> list[str]:
     """Writes each table under folder/name, split by horizon and model where it has them; returns the paths."""
     out = []
     for name, df in results.items():
+        if form == "csv":  # which has no arrays
+            df = df.select(*(F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else c for c, t in df.dtypes))
         split = [c for c in SPLIT.get(name, ()) if c in df.columns]
         writer = df.write.mode("overwrite").partitionBy(*split) if split else df.write.mode("overwrite")
         (writer.option("header", True) if form == "csv" else writer).format(form).save(path := f"{folder}/{name}")

@@ -83,8 +83,8 @@ def test_sinks_round_trip(spark, tmp_path):
 def test_cli_demo_and_entry(spark, tmp_path):
     from lagwise import cli
 
-    got = cli.main(["demo", "--lags", "1", "--min-train", "300", "--refit-every", "100", "--out", f"{tmp_path}/out"], spark)
-    assert {r.model for r in got.collect()} >= {"ar", "full_sparse_var"}
+    got = cli.main(["online-demo", "--out", f"{tmp_path}/out"], spark)
+    assert {r.model for r in got.collect()} >= {"financial_core", "online_fixed_share"}
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
