@@ -15,14 +15,14 @@ from lagwise.llm.textbytes import U, chunks, frugal, spans, word_hashes
 
 #: Bits of a term's bucket, terms that are taken for what they tell alone, factors, bytes of a word's beginning that are a term too.
 BITS, TERMS, FACTORS, STEM = 20, 768, 8, 5
-#: Labelled rows that it learns from, at most (those first by a hash of the id), and terms in them, about.
-SAMPLE, SAMPLE_TERMS = 24_000, 16_000_000
+#: Labelled rows that it learns from, at most: those first by a hash of the id.
+SAMPLE = 24_000
 #: Texts that a term, or a pair of terms, must be in.
 LEAST_TEXTS, LEAST_PAIR = 5, 12
 #: Pairs that are taken for what they tell together, and standard errors by which their rate must leave that of both terms.
 PAIRS, PAIR_Z = 128, 6.0
-#: For pairs: texts with up to PAIR_TERMS candidate terms, as many as give PAIR_WORK meetings; share of the texts that a candidate has at most.
-PAIR_TERMS, PAIR_WORK, PAIR_SHARE = 1_024, 120_000_000, 0.6
+#: For pairs: sampled texts with up to PAIR_TERMS terms, as many as give PAIR_WORK meetings; share of them that a candidate is in at most.
+PAIR_TERMS, PAIR_WORK, PAIR_SHARE = 192, 120_000_000, 0.6
 THRESHOLD = 0.3
 #: Everything in ASCII but letters and digits parts words here.
 APART = np.ones(256, bool)
@@ -85,14 +85,13 @@ def fit(x: np.ndarray, y: np.ndarray, terms: np.ndarray, pairs: np.ndarray | Non
     return Machine(terms, float(p[0][0]), p[1], p[2])
 
 
-def telling_terms(idx: np.ndarray, y_of: np.ndarray, n: int, pos: int) -> np.ndarray:
-    """The TERMS buckets with the largest chi-square against the label, ascending."""
-    a, b = np.bincount(idx, minlength=1 << BITS).astype(np.float64), np.bincount(idx, y_of, 1 << BITS)
+def telling_terms(term: np.ndarray, a: np.ndarray, b: np.ndarray, n: float, pos: float) -> np.ndarray:
+    """Of terms in a of n texts, b of the pos labelled 1: the TERMS with the largest chi-square, ascending."""
     with np.errstate(divide="ignore", invalid="ignore"):
         # 2 x 2 table of term and label: chi-square = n (b n - a pos)^2 / (a (n - a) pos (n - pos)).
         chi = n * (b * n - a * pos) ** 2 / (a * (n - a) * pos * (n - pos))
     found = np.flatnonzero((a >= LEAST_TEXTS) & np.isfinite(chi))
-    return np.sort(found[np.lexsort((found, -chi[found]))][:TERMS])
+    return np.sort(term[found[np.lexsort((term[found], -chi[found]))][:TERMS]])
 
 
 def telling_pairs(idx: np.ndarray, at: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
@@ -141,11 +140,12 @@ def telling_pairs(idx: np.ndarray, at: np.ndarray, y: np.ndarray) -> list[tuple[
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Machine:
     """The machine for the labelled rows: at most `sample` of them, first by a hash of the id.
 
-    Every one of the 2^20 buckets is weighed over the sample's whole texts, alone and in pairs: the
-    machine sees the TERMS with the largest chi-square against the label, and the terms of up to
-    PAIRS pairs that tell what neither of their terms does. Where the sample's texts have more than
-    SAMPLE_TERMS terms in all, rows are taken in the order of a hash up to that. The driver gets a
-    sampled text's terms as numbers (64 MB at most) and learns from them.
+    Every one of the 2^20 buckets is weighed: alone by grouped counts over the sample's whole texts,
+    and in pairs over the sample's texts of up to PAIR_TERMS terms, as longer ones say little about
+    any one pair. The machine sees the TERMS with the largest chi-square against the label, and the
+    terms of up to PAIRS pairs that tell what neither of their terms does. The driver gets the counts
+    of the buckets, the terms of those short texts (18 MB at most), and which of the machine's terms
+    each sampled text has.
 
     Several labels of an id: the highest; null labels and ids are left out. Several texts of an id
     are learned from each on its own. Ties, of chi-square or z, go to the smaller bucket. Null and
@@ -168,21 +168,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, len(offsets) - 1), held], names=["y", "terms"])
 
     rows = scratch.save(texts.mapInArrow(frugal(run), "y int, terms array<int>").withColumn("h", F.xxhash64("terms", "y")), "terms")
-    sizes = rows.select("h", F.size("terms").alias("m")).toPandas().sort_values("h")
-    upto = sizes["h"][sizes["m"].cumsum() <= SAMPLE_TERMS].max() if len(sizes) else 0
-    got = rows.filter(F.col("h") <= F.lit(int(upto) if upto == upto else 0)).select("y", "terms", "h").toArrow().combine_chunks().sort_by([("h", "ascending")])
-    col = got.column("terms").combine_chunks()
-    idx, at = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-    y = got.column("y").to_numpy().astype(np.float64)
-    single = telling_terms(idx, np.repeat(y, np.diff(at)), len(y), int(y.sum()))
-    pairs = telling_pairs(idx, at, y)
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
+    seen = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("a"), F.sum("y").alias("b")).filter(F.col("a") >= LEAST_TEXTS).toPandas()
+    single = telling_terms(*(seen[c].to_numpy(np.float64 if c != "term" else np.int64) for c in ("term", "a", "b")), float(total["n"]), float(total["pos"]))
+    short = _terms_of(rows.filter(F.size("terms").between(2, PAIR_TERMS)))
+    pairs = telling_pairs(*short)
     terms = np.unique(np.concatenate((single, np.array([t for i, j, _ in pairs for t in (i, j)], np.int64))))
-    place = np.full(1 << BITS, -1)
-    place[terms] = np.arange(len(terms))
+    picked = F.array_intersect("terms", F.array(*(F.lit(int(t)) for t in terms))) if len(terms) else F.array().cast("array<int>")
+    idx, at, y = _terms_of(rows.select("y", picked.alias("terms"), "h"))
     x = np.zeros((len(y), len(terms)), np.float32)
-    column, row = place[idx], np.repeat(np.arange(len(y)), np.diff(at))
-    x[row[column >= 0], column[column >= 0]] = 1
-    return fit(x, y, terms, np.array([(place[i], place[j], sign) for i, j, sign in pairs]).reshape(-1, 3))
+    x[np.repeat(np.arange(len(y)), np.diff(at)), np.searchsorted(terms, idx)] = 1
+    place = {t: k for k, t in enumerate(terms.tolist())}
+    return fit(x, y, terms, np.array([(place[i], place[j], sign) for i, j, sign in pairs], np.int64).reshape(-1, 3))
+
+
+def _terms_of(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All terms of bounded rows (y, terms, h) in the order of h, the first of each row, and the labels."""
+    got = rows.select("y", F.array_sort("terms").alias("terms"), "h").toArrow().combine_chunks().sort_by([("h", "ascending")])
+    col = got.column("terms").combine_chunks()
+    sizes = col.value_lengths().to_numpy(zero_copy_only=False)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), got.column("y").to_numpy().astype(np.float64)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -24,6 +24,8 @@ def tables(folder, spark, docs, labels):
 
 
 def small_corpus():
+    global RNG
+    RNG = np.random.default_rng(11)  # the same rows in whatever order tests run
     docs, labels = [], []
     for i in range(150):
         lang = ["aa", "bb", "cc"][i % 3]
@@ -87,7 +89,7 @@ def test_query_three_is_the_plain_formula(spark, tmp_path):
     for d, text, *_ in docs:
         assert got[d].score == pytest.approx(plain.toxic_score(machine, text), abs=1e-6)
         assert got[d].predicted == int(got[d].score >= 0.3) and got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
-    assert np.mean([got[d].predicted == y for d, _, y in labels]) > 0.95
+    assert np.mean([got[d].predicted == y for d, _, y in labels if not got[d].held_out]) > 0.95
 
 
 def test_machine_finds_a_pair_that_is_harmless_alone(spark):
