@@ -22,8 +22,8 @@ EVIDENCE = 60.0
 #: What smoothing adds: to a trigram's count, and rows of the parent level to each level of hosts.
 ADDED, PARENT_ROWS = 0.05, 20.0
 CONFIDENCE = 0.5
-#: Rejected rows up to which they are broadcast (16 bytes each).
-BROADCAST_ROWS = 2_000_000
+#: Rejected rows up to which they are broadcast (some 100 bytes each in a hash table, 25 MB).
+BROADCAST_ROWS = 250_000
 #: Steps of a 63-bit hash, each 1/32 of where it begins at most: its length in bits, then the five bits after the first.
 _HASH = "(xxhash64(text, declared) & 9223372036854775807)"
 _STEP = f"length(bin({_HASH})) * 32 + cast(shiftright({_HASH}, greatest(length(bin({_HASH})) - 6, 0)) & 31 as int)"
@@ -121,9 +121,10 @@ def identify(rows: DataFrame, accepted: tuple[str, ...] | None = None, confidenc
     language, with confidence 1: nothing here can gainsay it, and it is not rejected for that.
 
     Nulls: an evidence that is null says nothing; a null host falls back to its parent. A null
-    text, or one without a letter, is und. Repeated rows are judged alike, each for itself. Very
-    long texts are read whole. An empty table gives no rows. Texts are read once after learning
-    and never shuffled; a row's numbers are.
+    text, or one without a letter, is und. Ties go to the language that comes first by its name,
+    und last. Repeated rows are judged alike, each for itself. Very long texts are read whole. Other
+    columns are ignored, whatever their names. An empty table gives no rows. Texts are read once
+    after learning and never shuffled; a row's numbers are.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "language")
@@ -226,10 +227,12 @@ def page_rows(pages: DataFrame, id_: Column) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, accepted: tuple[str, ...] | None = None, confidence: float = CONFIDENCE) -> DataFrame:
-    """The rows of documents that identify() keeps, with their own columns.
+    """The rows of documents that identify() keeps, with their own columns, whatever their names.
 
-    Rejected rows are few, and are told by their id and a hash of what was judged; so texts move
-    only if there are more of them than BROADCAST_ROWS.
+    Nulls, ties and very long texts as in identify(): a document with a null or empty text goes, one
+    with a null id, declaration or source is judged by the rest. Repeated rows go or stay together.
+    An empty table gives no rows. Rejected rows are few, and are told by their id and a hash of what
+    was judged; so texts move only if there are more of them than BROADCAST_ROWS.
     """
     judged = F.xxhash64("doc_id", "text", "lang", "source")
     out = identify(document_rows(docs, F.struct(F.col("doc_id").alias("d"), judged.alias("h"))), accepted, confidence)

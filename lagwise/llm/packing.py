@@ -111,7 +111,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     tasks before its own, plus its place in its task; so no length is ever sorted or gathered,
     however many share it. Slots come by joining on length and rank with the plan's segments.
     A null or empty text is the end id alone. A null id stays null; repeated rows and ids are
-    packed each on their own. Very long texts give many pieces. Empty table: no rows.
+    packed each on their own. Very long texts give many pieces. Other columns are ignored, whatever
+    their names. Empty table: no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
