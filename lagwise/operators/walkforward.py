@@ -61,6 +61,10 @@ def refit_of(i: Column, spec: Window_) -> Column:
     return F.floor((i - spec.min_train) / F.lit(float(spec.refit_every))).cast("int")
 
 
+#: Bytes of matrices after which a task sends them on.
+HELD = 16 << 20
+
+
 def prefixes(rows: DataFrame, n_z: int, names: list[str], spec: Window_) -> DataFrame:
     """(h, k, m): moments of all training rows of refit k. rows: h, i, z, g, y."""
     wide = rows.groupBy("h", "i").agg(F.first("z").alias("z"), *(F.max(F.when(F.col("g") == g, F.col("y"))).alias(f"y{j}") for j, g in enumerate(names)))
@@ -86,9 +90,13 @@ def prefixes(rows: DataFrame, n_z: int, names: list[str], spec: Window_) -> Data
             for h, k, m in part[["h", "k", "m"]].itertuples(index=False):
                 if h != now:
                     now, total, last = h, np.zeros(d * d), -1
-                out += [(h, j, total.tobytes()) for j in range(last + 1, k) if last >= 0]  # refits without new rows
+                for j in range(last + 1, k) if last >= 0 else ():  # refits without new rows
+                    out.append((h, j, total.tobytes()))
                 total, last = total + np.frombuffer(m), k
                 out.append((h, k, total.tobytes()))
+                if len(out) * total.nbytes >= HELD:
+                    yield pd.DataFrame(out, columns=["h", "k", "m"])
+                    out = []
             yield pd.DataFrame(out, columns=["h", "k", "m"])
 
     kind = "h int, k int, m binary"
