@@ -38,7 +38,7 @@ BUCKET_SIGNATURES, SLICES, PER_ELEMENT = 5_000_000, 16, 0.6
 #: Bytes of sets, and pairs, that a task of the comparison should hold.
 TASK_BYTES, TASK_PAIRS = 24 << 20, 20_000
 #: Sets, and bytes of them, of a block of an open group; sets that meet another block at once, and common elements counted at once.
-BLOCK, BLOCK_BYTES, ROWS, MEETINGS = 512, 4 << 20, 64, 1 << 20
+BLOCK, BLOCK_BYTES, ROWS, MEETINGS = 512, 2 << 20, 64, 1 << 19
 #: Rows of a few numbers up to which they are sent to all tasks (some 100 bytes each in a hash table, 25 MB); beyond, a shuffled join.
 SENT = 250_000
 #: Steps of a size code for each doubling of the size.

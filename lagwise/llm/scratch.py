@@ -11,8 +11,9 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
-#: Shuffle files go when the write that needed them ends, not when the driver next collects garbage.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when the write ends, not when the driver next collects garbage;
+#: and what a task hands to Python at once is bounded, in the JVM and in the worker.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +47,15 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = self.path(name)
-        before = self.spark.conf.get(_CLEAN, None)
-        self.spark.conf.set(_CLEAN, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in _WRITING}
+        for k, v in _WRITING.items():
+            conf.set(k, v)
         try:
             df.write.option("compression", compression).parquet(path)
         finally:
-            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:
