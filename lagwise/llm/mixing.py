@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lagwise.llm.scratch import Scratch
 
+#: Weights up to which they are sent to all tasks (some 100 bytes each in a hash table, 25 MB); beyond, a shuffled join.
+SENT = 250_000
 #: Rows that a bucket of one source should hold; buckets only bound the work of a task.
 BUCKET_ROWS = 4_096
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -59,11 +61,18 @@ def _ordered(docs: DataFrame, text: str, source: str, key: str, seed: str) -> di
     return {"m_key": F.col(f"`{key}`"), "m_source": F.col(f"`{source}`"), "m_size": size, "m_order": -F.log(u)}
 
 
-def _weighed(rows: DataFrame, quality: DataFrame | None) -> DataFrame:
-    """The rows with m_order divided by quality's weight of their key; several weights of a key: the highest."""
+def _weights(quality: DataFrame | None, scratch: Scratch) -> DataFrame | None:
+    """(q_key, weight), written; several weights of a key: the highest. Marked to be sent to all tasks if it is small enough."""
     if quality is None:
+        return None
+    q = scratch.save(quality.groupBy(F.col("key").alias("q_key")).agg(F.max("weight").alias("weight")), "weights")
+    return F.broadcast(q) if q.count() <= SENT else q
+
+
+def _weighed(rows: DataFrame, q: DataFrame | None) -> DataFrame:
+    """The rows with m_order divided by the weight of their key."""
+    if q is None:
         return rows
-    q = quality.groupBy(F.col("key").alias("q_key")).agg(F.max("weight").alias("weight"))
     weight = F.when(F.col("weight") >= 0, F.col("weight")).otherwise(1.0)
     return rows.join(q, F.col("m_key").eqNullSafe(F.col("q_key")), "left").withColumn("m_order", F.coalesce(F.try_divide(F.col("m_order"), weight), F.lit(float("inf")))).drop("q_key", "weight")
 
@@ -169,7 +178,7 @@ def mix(
     """
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(*(c.alias(k) for k, c in _ordered(docs, text, source, key, seed).items()))
-    rows = scratch.save(_weighed(rows, quality), "rows")
+    rows = scratch.save(_weighed(rows, _weights(quality, scratch)), "rows")
     plans = plan(rows, weights, share, cap, scratch)
     both = _with_picks(rows.join(plans, F.col("m_source").eqNullSafe(F.col("source"))), plans, scratch)
     out = both.select(F.col("m_key").alias("key"), F.col("m_source").alias("source"), F.col("m_size").alias("size"), "source_size", "target", "epochs", "picked")
@@ -191,14 +200,15 @@ def repeat_mixed(
 
     The plan is made from numbers alone; then whether a row is picked follows from the row, its
     weight and its source's line of the plan. So texts only move to meet their weights, where
-    Spark does not find these small enough to send. Nulls, ties, repeated rows and clashing
+    these are more than SENT. Nulls, ties, repeated rows and clashing
     columns as in mix().
     """
     scratch = Scratch(docs.sparkSession, "mix")
     found = {k: c.alias(k) for k, c in _ordered(docs, text, source, key, seed).items()}
-    plans = plan(scratch.save(_weighed(docs.select(*found.values()), quality), "rows"), weights, share, cap, scratch)
+    q = _weights(quality, scratch)
+    plans = plan(scratch.save(_weighed(docs.select(*found.values()), q), "rows"), weights, share, cap, scratch)
     names = docs.columns
-    rows = _weighed(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), *found.values()), quality)
+    rows = _weighed(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), *found.values()), q)
     rows = _with_picks(rows.join(plans, F.col("m_source").eqNullSafe(F.col("source"))), plans, scratch)
     copies = (F.col("epochs") + F.when(F.col("picked"), 1).otherwise(0)).cast("int")
     return rows.select("__row", F.explode(F.array_repeat(F.lit(True), copies)).alias("__copy")).select(*(F.col(f"__row.`{c}`") for c in names))
