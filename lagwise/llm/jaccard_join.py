@@ -23,7 +23,7 @@ from lagwise.llm.partenum import Signer
 from lagwise.llm.scratch import Scratch
 from lagwise.llm.textbytes import WORDS, U, chunks, frugal, mix, shingle_sets
 
-#: Groups up to this size are compared whole at once, larger ones along their order of sizes first.
+#: Groups up to this size are compared whole at once; of larger ones, each set with a few others first.
 SMALL_GROUP = 8
 #: A signature is common if one task sees it in COMMON_LOCAL sets and all tasks in COMMON_TOTAL; at
 #: most COMMON_KEPT, the commonest, are sent to all tasks (16 bytes each).
@@ -190,10 +190,10 @@ def dealt(docs: DataFrame, size: int, similarity: Fraction, common, clash: np.nd
 
 
 def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b, lead, gid, fp): pairs to compare, and the members of large groups (gid set).
+    """(a, b, lead, gid, fp, shared): pairs to compare, and the members of large groups (gid set).
 
-    Groups of one signature up to SMALL_GROUP sets give all their pairs; larger ones, sorted by
-    size, the next two of each set and the first. What that leaves open is settled later.
+    Groups of one signature up to SMALL_GROUP sets give all their pairs. Of larger ones only the members
+    are told, by the group's smallest set, with how many signatures of a slice they share there.
     """
     apart = int(np.ceil(CODE * np.log2(similarity.denominator / similarity.numerator))) + 1
 
@@ -211,14 +211,12 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
             held.append(np.concatenate(own))
             own.clear()
         sig, fp, n = held
-        told: set[int] = set()
         for part in range(SLICES):
             some = np.flatnonzero((sig >> U(28)) % U(SLICES) == part)
             if len(some):
-                yield from meet(sig[some], fp[some], n[some].astype(np.int64), told)
+                yield from meet(sig[some], fp[some], n[some].astype(np.int64))
 
-    def meet(sig: np.ndarray, fp: np.ndarray, n: np.ndarray, told: set[int]) -> Iterator[pa.RecordBatch]:
-        """told: names of the member lists of large groups that have been sent."""
+    def meet(sig: np.ndarray, fp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         same = np.zeros(len(sig) + 1, bool)
@@ -240,31 +238,49 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
         lead = np.repeat(np.minimum.reduceat(fp, heads), count)
         left, right = [], []
         for d in range(1, SMALL_GROUP):
-            i = np.flatnonzero((np.arange(len(sig)) + d < head + many) & ((many <= SMALL_GROUP) | (d <= 2)))
+            i = np.flatnonzero((np.arange(len(sig)) + d < head + many) & (many <= SMALL_GROUP))
             left.append(i)
             right.append(i + d)
-        star = np.flatnonzero((many > SMALL_GROUP) & (np.arange(len(sig)) > head))
-        left.append(head[star])
-        right.append(star)
         i, j = np.concatenate(left), np.concatenate(right)
         ok = (n[i] >= n[j] - apart) & (fp[i] != fp[j])
         i, j = i[ok], j[ok]
         pairs = np.unique(np.rec.fromarrays([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), lead[i]], names="a,b,lead"))
         none = lambda k: pa.nulls(k, pa.int64())
-        yield _batch(a=np.ascontiguousarray(pairs.a), b=np.ascontiguousarray(pairs.b), lead=np.ascontiguousarray(pairs.lead), gid=none(len(pairs)), fp=none(len(pairs)))
+        k = len(pairs)
+        yield _batch(a=np.ascontiguousarray(pairs.a), b=np.ascontiguousarray(pairs.b), lead=np.ascontiguousarray(pairs.lead), gid=none(k), fp=none(k), shared=none(k))
         # Large groups meet again by their smallest set: those of one cluster mostly share it, and so
         # a set goes there once and not with every signature.
-        name = np.minimum.reduceat(fp, heads)
-        same_members = np.add.reduceat(mix(fp.view(U)), heads)
-        large = np.flatnonzero(count > SMALL_GROUP)
-        large = large[np.unique(same_members[large], return_index=True)[1]]
-        large = np.array([g for g in large.tolist() if (m := int(same_members[g])) not in told and not told.add(m)], np.int64)
-        for g in large.tolist():
-            s = slice(heads[g], heads[g] + count[g])
-            k = int(count[g])
-            yield _batch(a=none(k), b=none(k), lead=none(k), gid=np.full(k, name[g]), fp=fp[s])
+        large = many > SMALL_GROUP
+        own, shared = np.unique(np.rec.fromarrays([lead[large], fp[large]], names="gid,fp"), return_counts=True)
+        k = len(own)
+        yield _batch(a=none(k), b=none(k), lead=none(k), gid=np.ascontiguousarray(own.gid), fp=np.ascontiguousarray(own.fp), shared=shared.astype(np.int64))
 
-    return blobs.mapInArrow(frugal(run), "a long, b long, lead long, gid long, fp long")
+    return blobs.mapInArrow(frugal(run), "a long, b long, lead long, gid long, fp long, shared long")
+
+
+def along(groups: DataFrame, key: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, lead) that connect most of what is similar in large groups (gid, fp, shared).
+
+    However many groups a set is in, it gives three pairs at most: with the smallest sets of the two
+    groups with which it shares most signatures, and with the next one by size in the first of them.
+    What that leaves open is settled later.
+    """
+    best = groups.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("s"), "gid"))), 1, 2).alias("best"))
+    best = scratch.save(best.select("fp", F.col("best")[0]["gid"].alias("gid"), F.get("best", F.lit(1))["gid"].alias("other")), "best")
+    rows = best.join(key.select("fp", "n"), "fp").select("gid", "n", "fp").repartitionByRange("gid", "n", "fp").sortWithinPartitions("gid", "n", "fp")
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((2, 0), np.int64)
+        for batch in batches:
+            gid, fp = np.concatenate((last, [batch.column(c).to_numpy() for c in ("gid", "fp")]), axis=1)
+            last = np.array([gid[-1:], fp[-1:]])
+            i = np.flatnonzero(gid[1:] == gid[:-1])
+            yield _batch(a=fp[i], b=fp[i + 1], lead=gid[i])
+
+    out = rows.mapInArrow(neighbours, "a long, b long, lead long")
+    for c in ("gid", "other"):
+        out = out.unionByName(best.filter(F.col(c) != F.col("fp")).select(F.col("fp").alias("a"), F.col(c).alias("b"), F.col(c).alias("lead")))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lead")
 
 
 def _placed(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
@@ -506,11 +522,16 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(75, 100), s
     found = scratch.save(candidates(blobs, similarity), "candidates")
     common.destroy()
     key_rows = scratch.save(_of_each_set(some, found, scratch), "sketches")
-    pairs = found.filter("gid is null").groupBy("a", "b").agg(F.min("lead").alias("lead"))
+    groups = scratch.save(found.filter("gid is not null").groupBy("gid", "fp").agg(F.sum("shared").alias("shared")), "groups")
+    some_large = groups.limit(1).count() > 0
+    pairs = found.filter("gid is null").select("a", "b", "lead")
+    if some_large:
+        pairs = pairs.unionByName(along(groups, key_rows, scratch))
+    pairs = pairs.groupBy("a", "b").agg(F.min("lead").alias("lead"))
     links = scratch.save(verified(pairs, key_rows, docs, size, similarity, clash, scratch), "links")
     labels = connected_components(links.select("a", "b"), scratch)
-    if found.filter("gid is not null").limit(1).count():
-        groups = scratch.save(found.filter("gid is not null").select("gid", "fp").distinct(), "groups")
+    if some_large:
+        groups = groups.select("gid", "fp")
         for exact in (False, True):
             more = scratch.save(open_pairs(groups, labels, key_rows, docs, size, similarity, clash, exact, scratch), "open")
             if not more.limit(1).count():
