@@ -31,8 +31,9 @@ COMMON_LOCAL, COMMON_TOTAL, COMMON_KEPT = 3, 4, 1_000_000
 #: Bits of the table in which a task marks signatures it has met (a byte each); marks that coincide only
 #: make a signature look more common.
 MET_BITS = 24
-#: Bytes of signatures that a task gathers before it sends them on.
-GATHER = 8 << 20
+#: Bytes of signatures that a task gathers before it sends them on; signatures of a row (14 bytes each), so that no
+#: row takes half a region of an executor's heap; and of the rows that go out at once.
+GATHER, ROW_SIGNATURES, SENT_SIGNATURES = 4 << 20, 1 << 14, 1 << 17
 #: Signatures of a bucket (14 bytes each), about; slices in which a task takes a bucket; signatures of an element, about.
 BUCKET_SIGNATURES, SLICES, PER_ELEMENT = 5_000_000, 16, 0.6
 #: Bytes of sets, and pairs, that a task of the comparison should hold.
@@ -122,17 +123,22 @@ def keys(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
                 where = (sig >> U(64 - MET_BITS)).astype(np.int64)
                 more = met[where] | (count > 1)
                 again.append(sig[more])
-                times.append(count[more])
+                times.append(count[more].astype(np.int32))
                 met[where] = True
         if id_type is None:
             return
-        sig, where = np.unique(np.concatenate(again or [np.zeros(0, U)]), return_inverse=True)
-        seen = 1 + np.bincount(where, np.concatenate(times or [np.zeros(0)]), len(sig)).astype(np.int64)
-        often = seen >= COMMON_LOCAL
-        if often.any():
+        sig, count = np.concatenate(again or [np.zeros(0, U)]), np.concatenate(times or [np.zeros(0, np.int32)])
+        again.clear()
+        times.clear()
+        slices = (sig >> U(60)).astype(np.uint8)
+        for part in range(16):
+            own, where = np.unique(sig[slices == part], return_inverse=True)
+            seen = 1 + np.bincount(where, count[slices == part], len(own)).astype(np.int64)
+            often = seen >= COMMON_LOCAL
             k = int(often.sum())
-            none = pa.nulls(k, pa.int64())
-            yield _batch(doc_id=pa.nulls(k, id_type), tag=none, n=none, fp=none, fp2=none, sketch=pa.nulls(k, pa.binary()), sig=sig[often].view(np.int64), seen=seen[often])
+            if k:
+                none = pa.nulls(k, pa.int64())
+                yield _batch(doc_id=pa.nulls(k, id_type), tag=none, n=none, fp=none, fp2=none, sketch=pa.nulls(k, pa.binary()), sig=own[often].view(np.int64), seen=seen[often])
 
     return docs.select("doc_id", "tag", "text").mapInArrow(frugal(run), f"doc_id {kind}, tag long, n long, fp long, fp2 long, sketch binary, sig long, seen long")
 
@@ -161,14 +167,24 @@ def dealt(docs: DataFrame, size: int, similarity: Fraction, common, clash: np.nd
         sigs, fps, codes, held = [], [], [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
+            nonlocal held
             sig, fp, code = (np.concatenate(x) for x in (sigs, fps, codes))
-            bucket = sig % U(buckets)
+            for x in (sigs, fps, codes):
+                x.clear()
+            held = 0
+            bucket = (sig % U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
             order = np.argsort(bucket, kind="stable")
-            own, fp, code = (sig[order] >> U(32)).astype("<u4"), fp[order], code[order]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
-            for b in np.flatnonzero(np.diff(cut)):
-                s = slice(cut[b], cut[b + 1])
-                yield _batch(bucket=np.array([b], np.int32), **{k: pa.array([x[s].tobytes()], pa.binary()) for k, x in (("sigs", own), ("sizes", code), ("fps", fp))})
+            own, fp, code, bucket = (sig[order] >> U(32)).astype("<u4"), fp[order], code[order], bucket[order]
+            new = np.flatnonzero(np.diff(bucket, prepend=bucket[:1])) if len(bucket) else np.zeros(0, np.int64)
+            heads = np.concatenate(([0], new))
+            # A bucket's signatures start new rows every ROW_SIGNATURES.
+            cut = np.concatenate([np.arange(a, b, ROW_SIGNATURES) for a, b in zip(heads, np.append(new, len(own)), strict=True)] + [[len(own)]]).astype(np.int64)
+            i = 0
+            while i < len(cut) - 1:
+                j = max(i + 1, int(np.searchsorted(cut, cut[i] + SENT_SIGNATURES, "right")) - 1)
+                rows = [slice(a, b) for a, b in zip(cut[i:j], cut[i + 1 : j + 1], strict=True)]
+                yield _batch(bucket=bucket[cut[i:j]].astype(np.int32), **{k: pa.array([x[r].tobytes() for r in rows], pa.binary()) for k, x in (("sigs", own), ("sizes", code), ("fps", fp))})
+                i = j
 
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
@@ -182,7 +198,6 @@ def dealt(docs: DataFrame, size: int, similarity: Fraction, common, clash: np.nd
                 held += sig.nbytes
                 if held >= GATHER:
                     yield from send()
-                    sigs, fps, codes, held = [], [], [], 0
         if sigs:
             yield from send()
 
@@ -198,23 +213,22 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
     apart = int(np.ceil(CODE * np.log2(similarity.denominator / similarity.numerator))) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, fps, ns = [], [], []
+        told: dict[int, tuple[list, list, list]] = {}
         for batch in batches:
-            for bucket, sig, code, fp in zip(batch.column("bucket").to_pylist(), *(batch.column(k) for k in ("sigs", "sizes", "fps")), strict=True):
-                sigs.append(np.frombuffer(sig.as_buffer(), "<u4").astype(U) | U(bucket << 32))
-                ns.append(np.frombuffer(code.as_buffer(), np.uint16).copy())
-                fps.append(np.frombuffer(fp.as_buffer(), np.int64).copy())
-        if not sigs:
-            return
-        held = []
-        for own in (sigs, fps, ns):
-            held.append(np.concatenate(own))
-            own.clear()
-        sig, fp, n = held
-        for part in range(SLICES):
-            some = np.flatnonzero((sig >> U(28)) % U(SLICES) == part)
-            if len(some):
-                yield from meet(sig[some], fp[some], n[some].astype(np.int64))
+            for bucket, *own in zip(batch.column("bucket").to_pylist(), *(batch.column(k) for k in ("sigs", "fps", "sizes")), strict=True):
+                for held, x, kind in zip(told.setdefault(bucket, ([], [], [])), own, ("<u4", np.int64, np.uint16), strict=True):
+                    held.append(np.frombuffer(x.as_buffer(), kind).copy())
+        for bucket in list(told):
+            all_held = []
+            for own in told.pop(bucket):
+                all_held.append(np.concatenate(own))
+                own.clear()
+            sig, fp, n = all_held
+            slices = (sig >> np.uint32(28)).astype(np.uint8) % SLICES
+            for part in range(SLICES):
+                some = np.flatnonzero(slices == part)
+                if len(some):
+                    yield from meet(sig[some], fp[some], n[some].astype(np.int64))
 
     def meet(sig: np.ndarray, fp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(sig, kind="stable")

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
 #: While a table is written: shuffle files go when the write ends, not when the driver next collects garbage;
-#: and what a task hands to Python at once is bounded, in the JVM and in the worker.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: and what a task reads and hands to Python at once is bounded, in the JVM and in the worker.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,8 +1,12 @@
 """What operators move and hold stays in proportion, however large a group of near copies is."""
 
+from fractions import Fraction
+
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType
 
 from lagwise.llm import jaccard_join as J
 
@@ -37,3 +41,31 @@ def test_a_large_group_gives_a_few_pairs_a_set(spark, monkeypatch, n):
     got = {tuple(r) for r in J.near_duplicates(docs).collect()}
     assert got == plain.brute_components(rows)
     assert max(seen) <= 6 * len(rows)
+
+
+class Plan:
+    """Stands for a table: its function of batches is called as a task would."""
+
+    schema = {"doc_id": type("F", (), {"dataType": LongType()})}
+
+    def select(self, *cols):
+        return self
+
+    def mapInArrow(self, f, ddl):
+        return f
+
+
+def test_rows_of_the_exchange_are_small_and_whole(monkeypatch):
+    """However many signatures a bucket takes, no row has more than ROW_SIGNATURES, and none is lost."""
+    texts = near_copies(400, 400) + [" ".join(f"v{i}" for i in range(60_000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    common = type("B", (), {"value": None})
+    monkeypatch.setattr(J, "GATHER", 1 << 30)  # all in one go, as a long text is
+    out = list(J.dealt(Plan(), 5, Fraction(3, 4), common, np.zeros(0, np.int64), 2)(iter([batch])))
+    rows = [(b, *(x.as_py() for x in r)) for o in out for b, *r in zip(o.column("bucket").to_pylist(), o.column("sigs"), o.column("sizes"), o.column("fps"), strict=True)]
+    assert max(sum(map(len, r[1:])) for r in rows) <= 14 << 14 and max(o.nbytes for o in out) <= 2 << 20
+    sets, at = J.shingle_sets(*[x for x in J.chunks(pa.array(texts), 1 << 30)][0][1:])
+    sig, owner = J.Signer(Fraction(3, 4), None).emit(sets, at)
+    fp = J.prints(sets, at)[0]
+    got = sorted((b, s, f) for b, sigs, _, fps in rows for s, f in zip(np.frombuffer(sigs, "<u4").tolist(), np.frombuffer(fps, np.int64).tolist(), strict=True))
+    assert got == sorted(zip((sig % np.uint64(2)).tolist(), (sig >> np.uint64(32)).tolist(), fp[owner].tolist(), strict=True))
