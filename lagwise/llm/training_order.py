@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -154,6 +153,7 @@ def write_shards(
     fill = np.array([end_id], _kind(wide)).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         body = bytearray()
         for batch in batches:
             for ids in batch.column("ids"):
@@ -204,9 +204,4 @@ def read_slots(spark: SparkSession, path: str, first: int = 0, last: int | None
 
 def checksums(rows: DataFrame) -> DataFrame:
     """Adds ids_crc32, of the stored ids."""
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32)
-
-    return rows.withColumn("ids_crc32", crc("ids"))
+    return rows.withColumn("ids_crc32", F.crc32("ids"))

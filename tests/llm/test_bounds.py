@@ -1,5 +1,6 @@
 """What operators move and hold stays in proportion, however large a group of near copies is."""
 
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql.types import LongType
 
 from lagwise.llm import jaccard_join as J
+from lagwise.llm import tokens, training_order
 
 RNG = np.random.default_rng(11)
 WORDS = [f"w{i}" for i in range(4000)]
@@ -69,3 +71,39 @@ def test_rows_of_the_exchange_are_small_and_whole(monkeypatch):
     fp = J.prints(sets, at)[0]
     got = sorted((b, s, f) for b, sigs, _, fps in rows for s, f in zip(np.frombuffer(sigs, "<u4").tolist(), np.frombuffer(fps, np.int64).tolist(), strict=True))
     assert got == sorted(zip((sig % np.uint64(2)).tolist(), (sig >> np.uint64(32)).tolist(), fp[owner].tolist(), strict=True))
+
+
+def test_encoder_remembers_pieces_and_not_words():
+    """The same letters with other marks behind are no new work, and marks don't go to the whole tokenizer."""
+    e = tokens.Encoder(tokens.vocabulary_path())
+    whole, asked = e.tokenizer, []
+    e.pieces.tokenize = lambda x, f=e.pieces.tokenize: asked.append(x) or f(x)
+    e.tokenizer = None  # only texts that are not sure go there
+    text = " ".join(w + m for w in ("alpha", "Beta", "bêta", "it's") for m in ("", ".", ",", ".***", "$$$", "½", "7"))
+    assert e.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(asked) == len(set(asked)) == 11
+
+
+def test_encoder_takes_every_sign_of_latin_1():
+    e = tokens.Encoder(tokens.vocabulary_path())
+    signs = [*map(chr, range(256)), "'s", "'LL", "<|", "don't", "3.5", " ", " ", "ab"]
+    for _ in range(3000):
+        text = "".join(RNG.choice(signs[: 128 if RNG.random() < 0.5 else None], int(RNG.integers(1, 30))))
+        assert e.ids(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_checksums_need_no_worker_of_their_own(spark, tmp_path):
+    """Records of a shard are cut by a worker; their checksums are summed by the engine."""
+    docs = spark.createDataFrame([(i, f"w{i} and more " * 9) for i in range(40)], "doc_id long, text string").repartition(3)
+    n = training_order.write_shards(docs, f"{tmp_path}/s", 1, length=30, per_shard=8)
+    for first, last in ((0, None), (3, 5), (7, 17), (n - 1, n + 9)):
+        got = training_order.checksums(training_order.read_slots(spark, f"{tmp_path}/s", first, last))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan
+        rows = sorted(got.collect())
+        assert [(r.slot, r.shard) for r in rows] == [(t, t // 8) for t in range(first, min(n, last or n))]
+        for r in rows:
+            (name,) = (tmp_path / "s/shards").glob(f"part-{r.shard:05d}-*")
+            with name.open("rb") as f:
+                (ids,) = training_order.read_records(f, 60, r.slot % 8, 1)
+            assert (bytes(r.ids), r.ids_crc32) == (ids, zlib.crc32(ids))
