@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql.types import LongType
 
 from lagwise.llm import jaccard_join as J
-from lagwise.llm import tokens, training_order
+from lagwise.llm import textbytes, tokens, training_order
 
 RNG = np.random.default_rng(11)
 WORDS = [f"w{i}" for i in range(4000)]
@@ -107,3 +107,18 @@ def test_checksums_need_no_worker_of_their_own(spark, tmp_path):
             with name.open("rb") as f:
                 (ids,) = training_order.read_records(f, 60, r.slot % 8, 1)
             assert (bytes(r.ids), r.ids_crc32) == (ids, zlib.crc32(ids))
+
+
+def test_shingle_hashes_are_those_of_plain_sets():
+    """What test_texts.py means to compare, where a local name hides the module of plain versions."""
+    texts = ["", None, " \n", "one", "One two", "a b c d e", "A B c d e f", "é ü\u00a0x\u3000y z  q\tr", "x " * 3000, "long" * 9000 + " b c d e f"] + [" ".join(RNG.choice(WORDS, int(n))) for n in RNG.integers(0, 60, 50)]
+    hashes, at = {}, 0
+    for _, data, offsets in textbytes.chunks(pa.array(texts), 500):
+        sets, begin = textbytes.shingle_sets(data, offsets)
+        for r in range(len(offsets) - 1):
+            want, own = plain.shingles_of(texts[at + r]), sets[begin[r] : begin[r + 1]].tolist()
+            assert len(own) == len(want) and own == sorted(set(own))
+            for s in want:
+                hashes[s] = hashes.get(s, set(own)) & set(own)
+        at += len(offsets) - 1
+    assert at == len(texts) and all(hashes.values())
