@@ -35,7 +35,7 @@ MET_BITS = 24
 #: row takes half a region of an executor's heap; and of the rows that go out at once.
 GATHER, ROW_SIGNATURES, SENT_SIGNATURES = 4 << 20, 1 << 14, 1 << 17
 #: Signatures of a bucket (14 bytes each), about; slices in which a task takes a bucket; signatures of an element, about.
-BUCKET_SIGNATURES, SLICES, PER_ELEMENT = 5_000_000, 16, 0.6
+BUCKET_SIGNATURES, SLICES, PER_ELEMENT = 2_500_000, 4, 1.2
 #: Bytes of sets, and pairs, that a task of the comparison should hold.
 TASK_BYTES, TASK_PAIRS = 24 << 20, 20_000
 #: Sets, and bytes of them, of a block of an open group; sets that meet another block at once, and common elements counted at once.
@@ -213,17 +213,14 @@ def candidates(blobs: DataFrame, similarity: Fraction) -> DataFrame:
     apart = int(np.ceil(CODE * np.log2(similarity.denominator / similarity.numerator))) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: dict[int, tuple[list, list, list]] = {}
+        # Each column of a bucket grows in one place, so that it is never held twice.
+        told: dict[int, tuple[bytearray, bytearray, bytearray]] = {}
         for batch in batches:
             for bucket, *own in zip(batch.column("bucket").to_pylist(), *(batch.column(k) for k in ("sigs", "fps", "sizes")), strict=True):
-                for held, x, kind in zip(told.setdefault(bucket, ([], [], [])), own, ("<u4", np.int64, np.uint16), strict=True):
-                    held.append(np.frombuffer(x.as_buffer(), kind).copy())
+                for held, x in zip(told.setdefault(bucket, (bytearray(), bytearray(), bytearray())), own, strict=True):
+                    held += x.as_buffer()
         for bucket in list(told):
-            all_held = []
-            for own in told.pop(bucket):
-                all_held.append(np.concatenate(own))
-                own.clear()
-            sig, fp, n = all_held
+            sig, fp, n = (np.frombuffer(x, kind) for x, kind in zip(told.pop(bucket), ("<u4", np.int64, np.uint16), strict=True))
             slices = (sig >> np.uint32(28)).astype(np.uint8) % SLICES
             for part in range(SLICES):
                 some = np.flatnonzero(slices == part)

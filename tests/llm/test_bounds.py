@@ -1,5 +1,6 @@
 """What operators move and hold stays in proportion, however large a group of near copies is."""
 
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -122,3 +123,26 @@ def test_shingle_hashes_are_those_of_plain_sets():
                 hashes[s] = hashes.get(s, set(own)) & set(own)
         at += len(offsets) - 1
     assert at == len(texts) and all(hashes.values())
+
+
+def test_a_bucket_is_held_once(monkeypatch):
+    """Signatures that a task gathers are held once, and give the same pairs and groups."""
+    n, row = 1_200_000, 2_000
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 32, n, np.uint64).astype("<u4")
+    sig[: n // 100] = np.repeat(sig[: n // 200], 2)
+    fp, code = rng.integers(1, 1 << 62, n), np.full(n, 900, np.uint16)
+    rows = [slice(i, i + row) for i in range(0, n, row)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([7] * 50, pa.int32()), *(pa.array([x[r].tobytes() for r in rows[i : i + 50]], pa.binary()) for x in (sig, code, fp))], names=["bucket", "sigs", "sizes", "fps"])
+        for i in range(0, len(rows), 50)
+    ]
+    monkeypatch.setattr(J, "SLICES", 16)
+    pairs = set()
+    tracemalloc.start()
+    for out in J.candidates(Plan(), Fraction(3, 4))(iter(batches)):
+        pairs |= {p for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True) if p[0] is not None}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {tuple(sorted(p)) for p in fp[: n // 100].reshape(-1, 2).tolist()} <= pairs
+    assert peak < 1.5 * 14 * n
