@@ -19,6 +19,8 @@ from lagwise.llm.textbytes import U, frugal, mix
 
 #: Ids of a sequence, sequences of a shard, rounds of the permutation.
 LENGTH, PER_SHARD, ROUNDS = 1024, 1024, 6
+#: Texts, and characters of each, whose ids tell which ones are common; that changes the size of what is moved, never the result.
+LOOKED_AT, LOOKED_AT_CHARS = 200, 4_000
 #: Bytes of ids after which a batch goes out.
 FLUSH = 8 << 20
 #: Shards that are named one by one when a part of them is read; beyond, all are listed.
@@ -45,15 +47,61 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
 
 
 SPANS = "array<struct<doc_id:long,start:long,at:int,count:int>>"
-SEQUENCE_DDL = f"part int, place long, count int, docs {SPANS}, ids binary"
+SEQUENCE_DDL = f"part int, place long, count int, docs {SPANS}, packed binary"
 
 
 def _kind(wide: bool) -> str:
     return "<u4" if wide else "<u2"
 
 
-def sequences(docs: DataFrame, vocabulary: str, length: int, end_id: int, wide: bool) -> DataFrame:
-    """(part, place, count, docs, ids): each task's texts, one after another with end_id behind each, cut every `length` ids.
+class Packing:
+    """Ids on their way to a shard, in a form that compresses better: their ranks, the low bytes of all before the high ones (wide: as they are).
+
+    common: ids, the commonest first. They only make what is moved smaller; any id and any number of them can be packed.
+    """
+
+    def __init__(self, common: np.ndarray, wide: bool):
+        self.kind, self.size = _kind(wide), 4 if wide else 2
+        self.id_of = self.rank = None
+        if not wide:
+            first = common[common <= 0xFFFF].astype(np.int64)
+            self.id_of = np.concatenate((first, np.setdiff1d(np.arange(1 << 16), first))).astype(self.kind)
+            self.rank = np.empty(1 << 16, self.kind)
+            self.rank[self.id_of] = np.arange(1 << 16)
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        if self.rank is None:
+            return ids.tobytes()
+        own = self.rank.take(ids)
+        return own.astype(np.uint8).tobytes() + (own >> 8).astype(np.uint8).tobytes()
+
+    def records(self, packed: pa.Array, length: int, end_id: int) -> bytes:
+        """Sequences, one after another, each filled up with end_id to `length` ids."""
+        whole, full = [x.as_buffer() for x in packed], length * self.size
+        for i, x in enumerate(whole):
+            if x.size < full:
+                own, more = x.to_pybytes(), length - x.size // self.size
+                end = self.pack(np.array([end_id], self.kind))
+                n = len(own) // 2
+                whole[i] = own + end * more if self.rank is None else own[:n] + end[:1] * more + own[n:] + end[1:] * more
+        out = b"".join(whole)
+        if self.id_of is None:
+            return out
+        low, high = np.frombuffer(out, np.uint8).reshape(-1, 2, length).transpose(1, 0, 2)
+        return self.id_of.take(low | high.astype(self.kind) << 8).tobytes()
+
+
+def common_ids(docs: DataFrame, vocabulary: str) -> np.ndarray:
+    """The ids of a few texts, the commonest first."""
+    encode = tokens.encoder(vocabulary).ids
+    some = [encode(r["text"]) for r in docs.select(F.substring("text", 1, LOOKED_AT_CHARS).alias("text")).limit(LOOKED_AT).collect()]
+    tokens.forget()
+    ids, n = np.unique(np.frombuffer(b"".join(some), "<u4"), return_counts=True)
+    return ids[np.argsort(-n, kind="stable")]
+
+
+def sequences(docs: DataFrame, vocabulary: str, length: int, end_id: int, wide: bool, packing: Packing) -> DataFrame:
+    """(part, place, count, docs, packed): each task's texts, one after another with end_id behind each, cut every `length` ids.
 
     docs: which ids of which documents: doc_id, the first one's number in the document and in the
     sequence, and how many. Only a task's last sequence is shorter.
@@ -64,23 +112,25 @@ def sequences(docs: DataFrame, vocabulary: str, length: int, end_id: int, wide:
         encode, end = tokens.encoder(vocabulary).ids, np.array([end_id], "<u4").tobytes()
         part, place, held, filled = TaskContext.get().partitionId(), 0, bytearray(), 0
         rows: list[bytes] = []
+        counts: list[int] = []
         spans: list[tuple] = []
         cuts = [0]
 
         def send() -> pa.RecordBatch:
-            nonlocal rows, spans, cuts
+            nonlocal rows, counts, spans, cuts
             cols = list(zip(*spans, strict=True)) or [[]] * 4
             kinds = (("doc_id", pa.int64()), ("start", pa.int64()), ("at", pa.int32()), ("count", pa.int32()))
             own = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
             k = len(rows)
-            arrays = [np.full(k, part, np.int32), np.arange(place - k, place), np.array([len(r) // size for r in rows], np.int32)]
-            batch = pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), own), pa.array(rows, pa.binary())], names=["part", "place", "count", "docs", "ids"])
-            rows, spans, cuts = [], [], [0]
+            arrays = [np.full(k, part, np.int32), np.arange(place - k, place), np.array(counts, np.int32)]
+            batch = pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), own), pa.array(rows, pa.binary())], names=["part", "place", "count", "docs", "packed"])
+            rows, counts, spans, cuts = [], [], [], [0]
             return batch
 
         def close() -> None:
             nonlocal place, filled
-            rows.append(bytes(held))
+            rows.append(packing.pack(np.frombuffer(bytes(held), kind)))
+            counts.append(filled)
             cuts.append(len(spans))
             held.clear()
             place, filled = place + 1, 0
@@ -120,8 +170,9 @@ def write_shards(
     path/facts has one row: n, per_shard, length, stride, wide, seed.
 
     Sequences are written once, numbered by the counts of the tasks before their own, and sent
-    once, to the task of their slot's shard, which holds that shard only. As the slots are a
-    permutation, shards are even whatever the documents are. The same documents in the same files,
+    once, to the task of their slot's shard, which holds that shard only. Until then, unless wide,
+    they are ranks among the ids of a few texts looked at first, which compress better. As the slots
+    are a permutation, shards are even whatever the documents are. The same documents in the same files,
     seed and sizes give the same order. A null or empty text is the end id alone; a null id stays
     null in the index. Very long texts go on over sequences. Repeated rows are texts of their own.
     Other columns are ignored, whatever their names. An empty table writes no shard.
@@ -129,7 +180,9 @@ def write_shards(
     spark = docs.sparkSession
     scratch = Scratch(spark, "order")
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = scratch.save(sequences(docs, vocabulary or tokens.vocabulary_path(), length, end_id, wide), "sequences")
+    vocabulary = vocabulary or tokens.vocabulary_path()
+    packing = Packing(np.zeros(0, np.int64) if wide else common_ids(docs, vocabulary), wide)
+    rows = scratch.save(sequences(docs, vocabulary, length, end_id, wide, packing), "sequences")
     per_task = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     # One row a task goes through this window.
     base = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -149,16 +202,13 @@ def write_shards(
     if not total:
         return 0
     shards = -(-total // per_shard)
-    sent = numbered.select("slot", "ids").repartitionById(shards, shard.cast("int")).sortWithinPartitions("slot")
-    fill = np.array([end_id], _kind(wide)).tobytes()
+    sent = numbered.select("slot", "packed").repartitionById(shards, shard.cast("int")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         body = bytearray()
         for batch in batches:
-            for ids in batch.column("ids"):
-                ids = ids.as_py()
-                body += ids + fill * ((stride - len(ids)) // len(fill))
+            body += packing.records(batch.column("packed"), length, end_id)
         if body:
             yield pa.RecordBatch.from_arrays([pa.array([bytes(body)], pa.binary())], names=["payload"])
 

@@ -9,6 +9,7 @@ import plain
 import pyarrow as pa
 import pytest
 from pyspark.sql.types import LongType
+from tokenizers import Tokenizer
 
 from lagwise.llm import jaccard_join as J
 from lagwise.llm import textbytes, tokens, training_order
@@ -146,3 +147,44 @@ def test_a_bucket_is_held_once(monkeypatch):
     tracemalloc.stop()
     assert {tuple(sorted(p)) for p in fp[: n // 100].reshape(-1, 2).tolist()} <= pairs
     assert peak < 1.5 * 14 * n
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_sequences_are_moved_packed(spark, monkeypatch, tmp_path, wide):
+    """What is written and sent on the way to the shards compresses better than the shards (unless wide), and nothing of it is lost."""
+    encode, size, seen, save = tokens.encoder(tokens.vocabulary_path()).ids, 4 if wide else 2, [], J.Scratch.save
+    words = sorted(w for w in Tokenizer.from_file(tokens.vocabulary_path()).get_vocab() if w.isascii() and w.isalpha() and w.islower())[::7]
+    texts = [" ".join(words[int(i) * 31 % len(words)] for i in RNG.zipf(1.3, int(n)) % 3000) for n in RNG.integers(300, 3000, 60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+
+    def counted(self, df, name, *more):
+        out = save(self, df, name, *more)
+        if name == "sequences":
+            (kept,) = (f.name for f in out.schema if f.dataType.simpleString() == "binary")
+            seen.extend(bytes(r[0]) for r in out.select(kept).collect())
+        return out
+
+    monkeypatch.setattr(training_order.Scratch, "save", counted)
+    n = training_order.write_shards(docs, f"{tmp_path}/s", 3, length=512, per_shard=32, end_id=9, wide=wide)
+    stored = {r.slot: bytes(r.ids) for r in training_order.read_slots(spark, f"{tmp_path}/s").collect()}
+    assert len(seen) == len(stored) == n
+    moved, plain_ids = (len(pa.compress(b"".join(x), codec="lz4", asbytes=True)) for x in (seen, stored.values()))
+    assert moved < 0.95 * plain_ids or wide
+    pieces = {}
+    for r in spark.read.parquet(f"{tmp_path}/s/index").collect():
+        ids = np.frombuffer(stored[r.slot], f"<u{size}")
+        assert len(ids) == 512 and (ids[r["count"] :] == 9).all()
+        for d in r.docs:
+            pieces.setdefault(d.doc_id, []).append((d.start, ids[d["at"] : d["at"] + d["count"]].tolist()))
+    for i, text in enumerate(texts):
+        assert sum((p for _, p in sorted(pieces[i])), []) == [*np.frombuffer(encode(text), "<u4").tolist(), 9]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_any_ids_can_be_packed(wide):
+    top = (1 << 32 if wide else 1 << 16) - 1
+    for common in (np.zeros(0, np.int64), np.array([5, 70_000, 3, top], np.int64)):
+        p = training_order.Packing(common, wide)
+        rows = [RNG.integers(0, top, int(k), np.uint32, endpoint=True).astype(p.kind) for k in (64, 1, 63, 64, 7)]
+        got = p.records(pa.array([p.pack(r) for r in rows], pa.binary()), 64, 11)
+        assert got == b"".join(r.tobytes() + np.array([11], p.kind).tobytes() * (64 - len(r)) for r in rows)
